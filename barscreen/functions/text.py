@@ -37,43 +37,38 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return hit
 
 
-def number_text(x: Column) -> Column:
+def _number_sql(x: str) -> str:
+    """SQL text of `number_text`."""
+
+    def plain(scale: int) -> str:
+        digits = f"rtrim('0', cast(cast({x} as decimal(38,{scale})) as string))"
+        return f"regexp_replace({digits}, '[.]$', '.0')"
+
+    exponent = f"cast(split_part(cast({x} as string), 'E', 2) as int)"
+    mantissa = f"regexp_replace(split_part(cast({x} as string), 'E', 1), '[.]0$', '')"
+    return f"""case
+        when {x} = 0 or abs({x}) >= 1e-3 and abs({x}) < 1e7 then cast({x} as string)
+        when abs({x}) >= 1e7 and abs({x}) < 1e16 then {plain(12)}
+        when abs({x}) >= 1e-4 and abs({x}) < 1e-3 then {plain(24)}
+        else concat({mantissa}, if({exponent} < 0, 'e-', 'e+'),
+                    lpad(abs({exponent}), greatest(2, length(abs({exponent}))), '0')) end"""
+
+
+def _zone_sql(zone: str) -> str:
+    low, high = (f"coalesce({_number_sql(f'{zone}.{end}')}, 'nan')" for end in ("low", "high"))
+    return f"concat('(', {low}, ', ', {high}, ')')"
+
+
+def number_text(column: str) -> Column:
     """A double as Python prints it: plain digits from 1e-4 up to 1e16, else `1.5e-05`."""
-    size = F.abs(x)
-    java = x.cast("string")
-
-    def plain(scale: int) -> Column:
-        digits = F.regexp_replace(x.cast(f"decimal(38,{scale})").cast("string"), "0+$", "")
-        return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-
-    mantissa = F.regexp_replace(F.split_part(java, F.lit("E"), F.lit(1)), r"\.0$", "")
-    exponent = F.split_part(java, F.lit("E"), F.lit(2))
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent.startswith("-"), "e-").otherwise("e+"),
-        F.regexp_replace(F.regexp_replace(exponent, "^-", ""), r"^(\d)$", "0$1"),
-    )
-    return (
-        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
-        .when((size >= 1e7) & (size < 1e16), plain(12))
-        .when((size >= 1e-4) & (size < 1e-3), plain(24))
-        .otherwise(scientific)
-    )
-
-
-def zone_text(zone: Column) -> Column:
-    """`(low, high)` of one zone struct."""
-    return F.concat(
-        F.lit("("),
-        F.coalesce(number_text(zone["low"]), F.lit("nan")),
-        F.lit(", "),
-        F.coalesce(number_text(zone["high"]), F.lit("nan")),
-        F.lit(")"),
-    )
-
-
-def zones_text(zones: Column) -> Column:
-    """`[(low, high), ...]` of a zone list."""
-    return F.concat(
-        F.lit("["), F.array_join(F.transform(zones, zone_text), ", "), F.lit("]")
-    )
+    return F.expr(_number_sql(column))
+
+
+def zone_text(column: str) -> Column:
+    """`(low, high)` of a zone struct column."""
+    return F.expr(_zone_sql(column))
+
+
+def zones_text(column: str) -> Column:
+    """`[(low, high), ...]` of a zone list column."""
+    return F.expr(f"concat('[', array_join(transform({column}, z -> {_zone_sql('z')}), ', '), ']')")

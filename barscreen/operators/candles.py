@@ -42,23 +42,65 @@ def resample_ticks(
     )
 
 
+def _merged() -> list[Column]:
+    """Open, high, low, close and volume of the finer bars of one bar."""
+    return [
+        F.min_by("open", "ts").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "ts").alias("close"),
+        F.sum("volume").cast("bigint").alias("volume"),
+    ]
+
+
 def rollup_bars(bars: DataFrame, interval_min: int, offset_minutes: int = 0) -> DataFrame:
     """Finer bars to bars of a multiple of their interval; the ticks are not read again."""
     return (
         bars.withColumn("bar", bucket_start(bars, "ts", interval_min, offset_minutes))
         .groupBy("symbol", "bar")
-        .agg(
-            F.min_by("open", "ts").alias("open"),
-            F.max("high").alias("high"),
-            F.min("low").alias("low"),
-            F.max_by("close", "ts").alias("close"),
-            F.sum("volume").cast("bigint").alias("volume"),
-        )
+        .agg(*_merged())
         .select("symbol", F.lit(interval_min).alias("interval_min"),
                 F.col("bar").alias("ts"), *VALUES)
     )
 
 
+def timeframes(bars: DataFrame, intervals: list[int]) -> DataFrame:
+    """Bars of several intervals from one pass over finer bars, clustered by symbol.
+
+    Each interval is a multiple of that of `bars`. Every finer bar is sent once, to its symbol, and
+    takes part in one bar of each interval there; what follows per symbol needs no other shuffle.
+    A symbol's finer bars meet in one task, so bound them by a look-back first.
+    """
+    starts = F.array(
+        *[
+            F.struct(
+                F.lit(minutes).alias("interval_min"),
+                bucket_start(bars, "ts", minutes).alias("start"),
+            )
+            for minutes in intervals
+        ]
+    )
+    return (
+        bars.select("symbol", "ts", *VALUES)
+        .repartition("symbol")
+        .withColumn("bar", F.explode(starts))
+        .groupBy("symbol", F.col("bar.interval_min"), F.col("bar.start"))
+        .agg(*_merged())
+        .withColumnRenamed("start", "ts")
+    )
+
+
+def recent_ticks(
+    ticks: DataFrame, interval_min: int, days_back: int, as_of: Instant
+) -> DataFrame:
+    """All ticks of the bars that `lookback` will keep; a plain range on `ts` for the reader."""
+    kind = column_type(ticks, "ts")
+    end = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    first = instant(end - timedelta(days=days_back), kind)
+    beyond = instant(end + timedelta(minutes=interval_min), kind)
+    return ticks.where((F.col("ts") >= first) & (F.col("ts") < beyond))
+
+
 def lookback(
     bars: DataFrame, windows: list[tuple[int, int]], as_of: Instant
 ) -> DataFrame:

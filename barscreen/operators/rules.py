@@ -93,11 +93,11 @@ def evaluate(profiles: DataFrame) -> DataFrame:
         F.when(given("fourh_liq_sweep", F.lit(False)), LIQUIDITY_SWEEP),
     ]
     if "fourh_order_block" in have:
-        block = F.col("fourh_order_block")
-        found.append(F.when(block.isNotNull(), F.concat(F.lit(ORDER_BLOCK), zone_text(block))))
+        block = F.concat(F.lit(ORDER_BLOCK), zone_text("fourh_order_block"))
+        found.append(F.when(F.col("fourh_order_block").isNotNull(), block))
     if "daily_fvg" in have:
-        gaps = F.col("daily_fvg")
-        found.append(F.when(F.size(gaps) > 0, F.concat(F.lit(VALUE_GAP), zones_text(gaps))))
+        gaps = F.concat(F.lit(VALUE_GAP), zones_text("daily_fvg"))
+        found.append(F.when(F.size("daily_fvg") > 0, gaps))
     found.append(F.when(positive, POSITIVE_NEWS))
 
     no_reasons = F.array().cast("array<string>")

@@ -45,9 +45,11 @@ def _bars(spark: SparkSession, sf_dir: str, interval_min: int) -> DataFrame:
 
 
 def _both_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily and four-hour bars; the daily ones are rolled up, so ticks are aggregated once."""
-    fourh = _bars(spark, sf_dir, FOUR_HOUR[0])
-    return fourh.unionByName(cd.rollup_bars(fourh, DAILY[0]))
+    """Daily and four-hour bars within the daily look-back; ticks are aggregated once."""
+    interval_min, days_back = DAILY
+    ticks = cd.recent_ticks(wh.ticks(spark, sf_dir), interval_min, days_back, AS_OF)
+    fourh = cd.resample_ticks(ticks, FOUR_HOUR[0])
+    return cd.timeframes(fourh, [FOUR_HOUR[0], DAILY[0]])
 
 
 def _announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,12 +189,12 @@ def fair_value_gaps(spark, sf_dir):
 
 def technical_profile(spark, sf_dir):
     recent = cd.lookback(_both_timeframes(spark, sf_dir), [DAILY, FOUR_HOUR], AS_OF)
-    profile = screen.technical_profile(recent)
+    profile = screen.technical_profile(recent, split_bars=None)
     return profile.select(
         "symbol", "daily_bars", "fourh_bars", "daily_trend", "daily_bos", "fourh_bos",
         "daily_choch",
-        zones_text(F.col("order_blocks")).alias("order_blocks"),
-        zones_text(F.col("daily_fvg")).alias("daily_fvg"),
+        zones_text("order_blocks").alias("order_blocks"),
+        zones_text("daily_fvg").alias("daily_fvg"),
         "fourh_liq_sweep",
     )
 
@@ -371,6 +373,7 @@ def _assessed(spark: SparkSession, sf_dir: str, mapping: str = "corrected") -> D
         _announcements(spark, sf_dir),
         AS_OF,
         mapping=mapping,
+        split_bars=None,  # the bars are resampled here, so the look-back bounds every series
     )
 
 
@@ -402,6 +405,7 @@ def failures(spark, sf_dir):
         AS_OF,
         symbols=asked,
         bad_series=_landed_responses(spark, sf_dir).bad_series,
+        split_bars=None,
     )
     return screen.failures(assessed)
 

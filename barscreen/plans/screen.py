@@ -24,6 +24,10 @@ def technical_profile(bars: DataFrame, split_bars: int | None = SPLIT_BARS) -> D
     """One row per symbol from its daily and four-hour bars.
 
     `fourh_liq_sweep` and `fourh_order_block` are slots for callers with such detectors.
+
+    `split_bars=None` is for bars that are one per interval by construction (`resample_ticks`,
+    `rollup_bars`, `timeframes`): the look-back then leaves at most 366 daily and 541 four-hour bars
+    to a symbol. The series of other tables are cut as in `with_neighbours`.
     """
     c = F.col
     daily = c("interval_min") == DAILY[0]

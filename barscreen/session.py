@@ -22,6 +22,8 @@ def build_session(app_name: str = "barscreen", cores: int | None = None) -> Spar
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", os.environ.get("BARSCREEN_DRIVER_MEMORY", "8g"))
+        # Call sites are recorded per column otherwise, at several gateway calls each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
