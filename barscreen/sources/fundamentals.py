@@ -81,30 +81,34 @@ def read_fundamentals(
     raw_schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
     raw = _csv(spark, multi_line).option("header", True).schema(raw_schema).csv(path)
 
-    cells = {h: missing_to_null(F.col(f"c{i}")) for i, h in enumerate(headers)}
+    # Cells, typed columns and the list of bad cells are separate projections, so that every cell
+    # is parsed once although it is referred to twice.
+    cells = raw.select(
+        file_order().alias("ord"),
+        *[missing_to_null(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(headers))],
+    )
 
-    def typed(header: str) -> Column:
+    def typed(header: str, cell: Column) -> Column:
         if header in NUMERIC_HEADERS:
-            return number_or_null(cells[header])
+            return number_or_null(cell)
         if header in DATE_HEADERS:
-            return date_or_null(cells[header], date_formats)
+            return date_or_null(cell, date_formats)
         if header in ("NSE Code", "BSE Code"):
-            return clean_code(cells[header])
-        return cells[header]
-
-    non_numeric = F.array_compact(
-        F.array(
-            *[
-                F.when(cells[h].isNotNull() & number_or_null(cells[h]).isNull(), h)
-                for h in headers
-                if h in NUMERIC_HEADERS
-            ]
-        )
+            return clean_code(cell)
+        return cell
+
+    parsed = cells.select(
+        "*", *[typed(h, F.col(f"c{i}")).alias(f"t{i}") for i, h in enumerate(headers)]
     )
-    frame = raw.select(
-        file_order().alias("ord"),
-        *[typed(h).alias(n) for h, n in zip(headers, names, strict=True)],
-        non_numeric.alias("non_numeric"),
+    bad_cells = [
+        F.when(F.col(f"c{i}").isNotNull() & F.col(f"t{i}").isNull(), h)
+        for i, h in enumerate(headers)
+        if h in NUMERIC_HEADERS
+    ]
+    frame = parsed.select(
+        "ord",
+        *[F.col(f"t{i}").alias(name) for i, name in enumerate(names)],
+        F.array_compact(F.array(*bad_cells)).alias("non_numeric"),
     )
     return Landed(frame, extra)
 

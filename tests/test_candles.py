@@ -1,0 +1,143 @@
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from barscreen.operators import candles as cd
+from barscreen.plans import screen
+from barscreen.sources import sinks
+from barscreen.sources.candles import parse_responses, read_candles, read_responses
+from tests.helpers import START, bars_frame, random_series
+
+TICKS = "symbol string, ts timestamp, seq bigint, price double, volume bigint"
+
+
+def tick(symbol, minute, seq, price, volume=1):
+    return (symbol, START + timedelta(minutes=minute), seq, float(price), volume)
+
+
+def values(df):
+    return sorted(
+        (r["symbol"], r["ts"], r["open"], r["high"], r["low"], r["close"], r["volume"])
+        for r in df.collect()
+    )
+
+
+def test_resample_orders_ticks_of_one_instant_by_sequence(spark):
+    ticks = spark.createDataFrame(
+        [tick("A", 5, 2, 11), tick("A", 5, 1, 10, 4), tick("A", 9, 3, 8), tick("A", 9, 9, 9),
+         tick("A", 239, 12, 20), tick("A", 240, 13, 7), tick("B", 1, 1, 1)],
+        TICKS,
+    )
+    assert values(cd.resample_ticks(ticks, 240)) == [
+        ("A", START, 10.0, 20.0, 8.0, 20.0, 8),
+        ("A", START + timedelta(hours=4), 7.0, 7.0, 7.0, 7.0, 1),
+        ("B", START, 1.0, 1.0, 1.0, 1.0, 1),
+    ]
+    assert [r[1] for r in values(cd.resample_ticks(ticks, 1440))] == [START, START]
+
+
+def test_bars_can_start_off_the_full_hour(spark):
+    ticks = spark.createDataFrame([tick("A", 0, 1, 1), tick("A", 15, 2, 2)], TICKS)
+    starts = [r[1] for r in values(cd.resample_ticks(ticks, 60, offset_minutes=15))]
+    assert starts == [START - timedelta(minutes=45), START + timedelta(minutes=15)]
+
+
+def random_ticks(spark, n=5000):
+    return spark.range(n).select(
+        F.concat(F.lit("S"), F.pmod(F.xxhash64("id"), F.lit(7))).alias("symbol"),
+        (F.lit(START) + F.make_dt_interval(
+            F.lit(0), F.lit(0), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(40000)).cast("int"))
+         ).alias("ts"),
+        F.col("id").alias("seq"),
+        F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1000)).cast("double").alias("price"),
+        F.lit(2).cast("bigint").alias("volume"),
+    )
+
+
+def test_rollup_and_timeframes_equal_resampling_the_ticks(spark):
+    ticks = random_ticks(spark)
+    fourh, daily = cd.resample_ticks(ticks, 240), cd.resample_ticks(ticks, 1440)
+    assert values(cd.rollup_bars(fourh, 1440)) == values(daily)
+    both = cd.timeframes(cd.resample_ticks(ticks, 60), [240, 1440])
+    assert values(both.where("interval_min = 240")) == values(fourh)
+    assert values(both.where("interval_min = 1440")) == values(daily)
+
+
+def test_lookback_includes_both_ends(spark):
+    bars = bars_frame(spark, {"A": random_series(1, 10)})
+    as_of = START + timedelta(days=8)
+    kept = cd.lookback(bars, [(1440, 3)], as_of)
+    assert sorted(r["ts"] for r in kept.collect()) == [START + timedelta(days=d) for d in (5, 6, 7, 8)]
+    assert cd.lookback(bars, [(240, 3)], as_of).isEmpty()
+    assert cd.lookback(bars, [(1440, 3)], as_of.isoformat(sep=" ")).count() == 4
+
+
+def test_recent_ticks_keep_every_tick_of_a_kept_bar(spark):
+    ticks = random_ticks(spark)
+    as_of = START + timedelta(days=20, hours=6)
+    for interval_min in (240, 1440):
+        want = cd.lookback(cd.resample_ticks(ticks, interval_min), [(interval_min, 7)], as_of)
+        recent = cd.recent_ticks(ticks, interval_min, 7, as_of)
+        got = cd.lookback(cd.resample_ticks(recent, interval_min), [(interval_min, 7)], as_of)
+        assert values(got) == values(want)
+        assert recent.count() < ticks.count()
+
+
+def test_the_bar_that_landed_last_stands(spark):
+    bars = bars_frame(spark, {"A": [(1, 2, 0, 1)]}).withColumn("ord", F.lit(1))
+    again = bars_frame(spark, {"A": [(5, 6, 4, 5)]}).withColumn("ord", F.lit(2))
+    assert values(cd.dedupe_bars(again.unionByName(bars)))[0][2:6] == (5.0, 6.0, 4.0, 5.0)
+
+
+def test_candle_table_is_pruned_by_interval_and_day(spark, tmp_path):
+    bars = bars_frame(spark, {"A": random_series(1, 60), "B": random_series(2, 60)}).unionByName(
+        bars_frame(spark, {"A": random_series(3, 60)}, interval_min=240)
+    )
+    path = str(tmp_path / "candles")
+    sinks.write_candles(bars, path)
+    as_of = START + timedelta(days=59)
+    found = read_candles(spark, path, [(1440, 10), (240, 365)], as_of)
+    assert values(found) == values(cd.lookback(bars, [(1440, 10), (240, 365)], as_of))
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "interval_min" in plan.split("PartitionFilters: [")[1]
+
+
+RESPONSES = [
+    '{"symbol":"GOOD","interval_min":1440,"candles":[[1704067200,1,2,0.5,1.5,100],'
+    '[1704153600,2,3,1.5,2.5,200]]}',
+    '{"symbol":"PART","interval_min":1440,"candles":[[1704067200,1,2,0.5,1.5],'
+    '[1704153600,2,3,1.5,2.5,200]]}',
+    '{"symbol":"NARROW","interval_min":1440,"candles":[[1704067200,1,2,0.5,1.5]]}',
+    '{"symbol":"WIDE","interval_min":240,"candles":[[1704067200,1,2,0.5,1.5,1,7],'
+    '[1704153600,2,3,1.5,2.5,200]]}',
+    '{"symbol":"MILLIS","interval_min":1440,"candles":[[1704067200000,1,2,0.5,1.5,100]]}',
+    '{"symbol":"NONE","interval_min":1440}',
+    '{"symbol":"EMPTY","interval_min":1440,"candles":[]}',
+]
+
+
+def test_candle_responses(spark, tmp_path):
+    (tmp_path / "r.json").write_text("\n".join(RESPONSES))
+    parsed = parse_responses(read_responses(spark, str(tmp_path)))
+    bad = sorted((r["symbol"], r["interval_min"]) for r in parsed.bad_series.collect())
+    assert bad == [("MILLIS", 1440), ("NARROW", 1440), ("WIDE", 240)]
+    rows = sorted(
+        ((r["symbol"], r["ts"], r["open"], r["volume"], r["ord"]) for r in parsed.candles.collect()),
+        key=str,
+    )
+    first, second = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    assert rows == [
+        ("GOOD", first, 1.0, 100, 0), ("GOOD", second, 2.0, 200, 1),
+        ("PART", first, 1.0, None, 0), ("PART", second, 2.0, 200, 1),
+    ]
+
+
+def test_technical_profile_is_the_same_however_series_are_cut(spark):
+    bars = bars_frame(spark, {s: random_series(i, 50) for i, s in enumerate("ABCD")}).unionByName(
+        bars_frame(spark, {s: random_series(i + 9, 50) for i, s in enumerate("ABC")}, 240)
+    )
+
+    def rows(split):
+        return sorted(screen.technical_profile(bars, split).collect(), key=lambda r: r["symbol"])
+
+    assert rows(None) == rows(7) == rows(4096)

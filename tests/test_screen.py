@@ -1,0 +1,127 @@
+import json
+import os
+from datetime import timedelta
+
+import pytest
+
+from barscreen.__main__ import main
+from barscreen.operators import news
+from barscreen.plans import screen
+from barscreen.sources import sinks
+from tests.helpers import START, bars_frame, random_series
+from tests.test_fundamentals import row, write_csv
+from tests.test_news import document, items
+
+AS_OF = START + timedelta(days=40)
+RISING = [(1, 2 + i, 1 + i, 2 + i) for i in range(8)]
+FLAT = [(5, 5, 5, 5)] * 8
+
+FUNDAMENTALS = (
+    "ord bigint, nse_code string, return_on_capital_employed double, debt_to_equity double,"
+    " altman_z_score double, piotroski_score double"
+)
+
+
+def fundamentals(spark):
+    return spark.createDataFrame(
+        [(9, "UP", 20.0, 1.0, 3.0, 5.0), (1, "NEWS", 20.0, 1.0, 3.0, 5.0),
+         (2, "BAD", 20.0, 1.0, 3.0, 8.0), (3, "FLAT", 5.0, 1.0, 3.0, 5.0),
+         (4, "ONE", 1.0, 1.0, 1.0, 1.0), (5, "NO4H", 1.0, 1.0, 1.0, 1.0),
+         (6, None, 1.0, 1.0, 1.0, 1.0), (7, "MUTE", 1.0, 1.0, 1.0, 1.0),
+         (10, "UP", 1.0, 9.0, 1.0, 1.0)],
+        FUNDAMENTALS,
+    )
+
+
+def candles(spark):
+    daily = {"UP": RISING, "NEWS": FLAT, "BAD": RISING, "FLAT": FLAT, "ONE": RISING[:1],
+             "NO4H": RISING, "LOST": RISING, "MUTE": RISING}
+    fourh = {s: FLAT for s in daily if s != "NO4H"}
+    return bars_frame(spark, daily).unionByName(bars_frame(spark, fourh, 240))
+
+
+def feed(spark):
+    return news.shape_items(items(spark, ["NEWS: bonus", "BAD: loss", "BAD: bonus"]))
+
+
+def test_shortlist_and_failures(spark):
+    assessed = screen.assess(candles(spark), fundamentals(spark), feed(spark), AS_OF)
+    assert [(r["symbol"], r["line"]) for r in screen.shortlist(assessed).collect()] == [
+        ("NEWS", "NEWS: Positive news/announcement"),
+        ("MUTE", "MUTE: Weak fundamentals (ROCE<10% or D/E>2); Altman Z-Score low (distress sign);"
+                 " Daily uptrend; Daily BOS confirmed"),
+        ("UP", "UP: Daily uptrend; Daily BOS confirmed"),
+    ]
+    failed = {r["symbol"]: r["cause"] for r in screen.failures(assessed).collect()}
+    assert failed == {"ONE": "short_daily", "NO4H": "no_4h_bars"}
+    bad = {r["symbol"]: r for r in assessed.collect()}["BAD"]
+    assert (bad["decision"], bad["reasons"], bad["veto_reason"]) == (
+        "Hold", [], "Negative news: BAD: loss")
+
+
+def test_asked_symbols_and_bad_series(spark):
+    asked = spark.createDataFrame(
+        [("LOST", 1), ("MUTE", 2), ("GONE", 3), ("UP", 4)], "symbol string, ord bigint")
+    bad = spark.createDataFrame([("MUTE", 240), ("MUTE", 1440)], "symbol string, interval_min int")
+    assessed = screen.assess(candles(spark), fundamentals(spark), feed(spark), AS_OF,
+                             symbols=asked, bad_series=bad)
+    found = {r["symbol"]: r["cause"] for r in assessed.collect()}
+    assert found == {"LOST": "no_fundamentals", "MUTE": "bad_candle_row", "GONE": "short_daily",
+                     "UP": None}
+
+
+def test_bars_out_of_the_lookback_do_not_count(spark):
+    late = screen.assess(candles(spark), fundamentals(spark), feed(spark),
+                         AS_OF + timedelta(days=400))
+    causes = {r["cause"] for r in screen.failures(late).collect()}
+    assert causes == {"short_daily"} and screen.shortlist(late).isEmpty()
+
+
+def test_literal_mapping_always_reports_weak_fundamentals(spark):
+    assessed = screen.assess(candles(spark), fundamentals(spark), feed(spark), AS_OF,
+                             mapping="literal")
+    assert all(r["reasons"][0].startswith("Weak") for r in screen.shortlist(assessed).collect())
+
+
+@pytest.fixture
+def landed(tmp_path):
+    names = ["UP", "NEWS", "SHORT", "WIDE"]
+    csv = write_csv(tmp_path / "stocks.csv", [row(n, n, f"IN{n}") for n in names])
+    epoch = int((START - type(START)(1970, 1, 1)).total_seconds())
+
+    def response(symbol, interval_min, bars, extra=()):
+        rows = [[epoch + 60 * interval_min * i, *b, 10, *extra] for i, b in enumerate(bars)]
+        return json.dumps({"symbol": symbol, "interval_min": interval_min, "candles": rows})
+
+    lines = []
+    for name, bars in {"UP": RISING, "NEWS": FLAT, "SHORT": FLAT[:1]}.items():
+        lines += [response(name, 1440, bars), response(name, 240, FLAT)]
+    lines += [response("WIDE", 1440, FLAT, extra=(1,)), response("WIDE", 240, FLAT)]
+    for folder in ("candles", "feed"):
+        os.mkdir(tmp_path / folder)
+    (tmp_path / "candles" / "r.json").write_text("\n".join(lines))
+    (tmp_path / "feed" / "poll.xml").write_text(document(["NEWS: dividend"]))
+    return tmp_path, csv
+
+
+def test_command_line_run(spark, landed, capsys):
+    folder, csv = landed
+    args = ["--fundamentals", csv, "--feed", f"{folder}/feed", "--responses", f"{folder}/candles",
+            "--out", f"{folder}/out", "--as-of", AS_OF.isoformat()]
+    main(args)
+    printed = capsys.readouterr().out.splitlines()
+    assert sorted(line for line in printed if line.startswith("Failed")) == [
+        "Failed SHORT: short_daily", "Failed WIDE: bad_candle_row"]
+    after = printed[printed.index("Final shortlist:") + 1:]
+    assert after == ["UP: Daily uptrend; Daily BOS confirmed", "NEWS: Positive news/announcement"]
+
+
+def test_run_on_a_candle_table(spark, landed, capsys):
+    folder, csv = landed
+    bars = bars_frame(spark, {"UP": RISING, "NEWS": random_series(1, 9)}).unionByName(
+        bars_frame(spark, {"UP": FLAT, "NEWS": FLAT}, 240))
+    sinks.write_candles(bars, f"{folder}/table")
+    main(["--fundamentals", csv, "--feed", f"{folder}/feed", "--candles", f"{folder}/table",
+          "--out", f"{folder}/out", "--as-of", AS_OF.isoformat(), "--mapping", "literal"])
+    printed = capsys.readouterr().out.splitlines()
+    assert printed[printed.index("Final shortlist:") + 1].startswith("UP: Weak fundamentals")
