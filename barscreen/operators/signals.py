@@ -15,7 +15,7 @@ spans the whole series.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -54,16 +54,22 @@ FORWARD: dict[str, Callable[[WindowSpec], Column]] = {
 FORWARD_REACH = 2
 
 
-def with_neighbours(bars: DataFrame, split_bars: int | None = SPLIT_BARS) -> DataFrame:
-    """Add the look-ups of `BACKWARD` and `FORWARD` to every bar.
+def with_neighbours(
+    bars: DataFrame,
+    split_bars: int | None = SPLIT_BARS,
+    names: Collection[str] = (*BACKWARD, *FORWARD),
+) -> DataFrame:
+    """Add the named look-ups of `BACKWARD` and `FORWARD` to every bar.
 
     `split_bars=None` uses one window per series: right when the length of a series is bounded,
     as after `lookback`.
     """
+    backward = {n: make for n, make in BACKWARD.items() if n in names}
+    forward = {n: make for n, make in FORWARD.items() if n in names}
     if split_bars is None:
         series = W.partitionBy(*SERIES).orderBy("ts")
         return bars.withColumns(
-            {name: make(series) for name, make in {**BACKWARD, **FORWARD}.items()}
+            {name: make(series) for name, make in {**backward, **forward}.items()}
         )
 
     # Pieces are calendar spans, so rows find theirs without knowing the others.
@@ -72,7 +78,7 @@ def with_neighbours(bars: DataFrame, split_bars: int | None = SPLIT_BARS) -> Dat
     keys = W.partitionBy(*SERIES, "_piece")
     piece = keys.orderBy("ts")
     local = pieced.withColumns(
-        {name: make(piece) for name, make in {**BACKWARD, **FORWARD}.items()}
+        {name: make(piece) for name, make in {**backward, **forward}.items()}
     ).withColumns(
         {
             "_from_start": F.row_number().over(piece),
@@ -89,8 +95,8 @@ def with_neighbours(bars: DataFrame, split_bars: int | None = SPLIT_BARS) -> Dat
     head = F.col("_from_start") <= BREAK_LOOKBACK
     tail = ~F.col("_next_far")
     edges = local.where(~inner).withColumns(
-        {n: F.when(head, make(series)).otherwise(F.col(n)) for n, make in BACKWARD.items()}
-        | {n: F.when(tail, make(series)).otherwise(F.col(n)) for n, make in FORWARD.items()}
+        {n: F.when(head, make(series)).otherwise(F.col(n)) for n, make in backward.items()}
+        | {n: F.when(tail, make(series)).otherwise(F.col(n)) for n, make in forward.items()}
     )
     return (
         local.where(inner)
@@ -156,7 +162,7 @@ SIGNALS = ["trend", "bullish_bos", "bearish_bos", "bullish_choch"]
 
 def history(bars: DataFrame, split_bars: int | None = SPLIT_BARS) -> DataFrame:
     """All four signals at every bar; a series' first bar has no trend."""
-    return with_neighbours(bars, split_bars).select(
+    return with_neighbours(bars, split_bars, BACKWARD).select(
         *SERIES, "ts", *[col.alias(name) for name, col in signal_columns().items()]
     )
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from barscreen.operators.signals import SERIES, SPLIT_BARS, with_neighbours
 
-ZONE = ["kind", "zone_low", "zone_high"]
+BLOCK_LOOK_UPS = ["open_n", "close_n"]
+GAP_LOOK_UPS = ["has_next2", "high_n", "low_n"]
 
 
 def order_block_kind() -> Column:
@@ -32,7 +33,7 @@ def gap_zones() -> Column:
 def order_blocks(bars: DataFrame, split_bars: int | None = SPLIT_BARS) -> DataFrame:
     """One row per order block: the zone of the first bar of the pair."""
     return (
-        with_neighbours(bars, split_bars)
+        with_neighbours(bars, split_bars, BLOCK_LOOK_UPS)
         .select(*SERIES, "ts", order_block_kind().alias("kind"),
                 F.col("low").alias("zone_low"), F.col("high").alias("zone_high"))
         .where(F.col("kind").isNotNull())
@@ -42,7 +43,7 @@ def order_blocks(bars: DataFrame, split_bars: int | None = SPLIT_BARS) -> DataFr
 def fair_value_gaps(bars: DataFrame, split_bars: int | None = SPLIT_BARS) -> DataFrame:
     """One row per gap, stamped with the first bar of the pair."""
     return (
-        with_neighbours(bars, split_bars)
+        with_neighbours(bars, split_bars, GAP_LOOK_UPS)
         .select(*SERIES, "ts", F.explode(gap_zones()).alias("zone"))
         .select(*SERIES, "ts", "zone.*")
     )

@@ -381,7 +381,7 @@ def evaluate_candidates(spark, sf_dir):
     assessed = _assessed(spark, sf_dir).where(F.col("cause").isNull())
     return assessed.select(
         "symbol", "decision", "veto_reason", F.concat_ws("; ", "reasons").alias("reasons"),
-        F.size("reasons").alias("n_reasons"),
+        F.size("reasons").cast("bigint").alias("n_reasons"),
     )
 
 

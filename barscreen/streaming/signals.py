@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from barscreen.operators.signals import BREAK_LOOKBACK, SERIES, signal_columns, with_neighbours
+from barscreen.operators.signals import BACKWARD, BREAK_LOOKBACK, SERIES, signal_columns, with_neighbours
 from barscreen.sources.storage import committed_versions, drop_versions, version_path
 
 BAR = [*SERIES, "ts", "open", "high", "low", "close", "volume"]
@@ -28,7 +28,7 @@ def signals_of_batch(batch: DataFrame, recent: DataFrame | None) -> DataFrame:
     if recent is not None:
         rows = rows.unionByName(recent.select(*BAR, F.lit(False).alias("is_new")))
     return (
-        with_neighbours(rows)
+        with_neighbours(rows, names=BACKWARD)
         .where("is_new")
         .select(*BAR, *[col.alias(name) for name, col in signal_columns().items()])
     )

@@ -1,0 +1,36 @@
+"""Every registered query against its SQL counterpart at the smallest scale."""
+
+import os
+
+import pytest
+
+from __spark_entry__ import entry, oracle_sql, queries
+from tests.oracle_check import compare, duck
+
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+
+SAME_TYPE = {
+    "string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
+    "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF_DIR)
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_query_equals_sql(spark, con, name):
+    equal, got, want, (types, sql_types) = compare(
+        spark, con, queries()[name], oracle_sql()[name], SF_DIR)
+    assert equal, (got[:3], want[:3])
+    assert {c: SAME_TYPE[t] for c, t in types} == sql_types
+
+
+def test_every_query_has_sql():
+    assert list(queries()) == list(oracle_sql())
+
+
+def test_entry(spark):
+    assert entry(spark).columns == ["ord", "symbol", "line"]
