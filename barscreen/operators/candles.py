@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,12 @@ KEYS = ["symbol", "interval_min", "ts"]
 VALUES = ["open", "high", "low", "close", "volume"]
 
 
-def ohlcv() -> list[Column]:
+TICK_ORDER = ("ts", "seq")
+
+
+def ohlcv(order: Sequence[str] = TICK_ORDER) -> list[Column]:
     """Open, high, low, close and volume of the ticks of one bar."""
-    place = F.struct("ts", "seq")
+    place = F.struct(*order) if len(order) > 1 else F.col(order[0])
     return [
         F.min_by("price", place).alias("open"),
         F.max("price").alias("high"),
@@ -26,17 +30,22 @@ def ohlcv() -> list[Column]:
 
 
 def resample_ticks(
-    ticks: DataFrame, interval_min: int, offset_minutes: int = 0
+    ticks: DataFrame,
+    interval_min: int,
+    offset_minutes: int = 0,
+    order: Sequence[str] = TICK_ORDER,
 ) -> DataFrame:
     """Ticks `(symbol, ts, seq, price, volume)` to OHLCV bars of one interval.
 
-    `seq` orders ticks of one instant. Every aggregate has a partial form, so a hot symbol is
-    reduced to one row per bar and map task before anything is shuffled.
+    Every aggregate has a partial form, so a hot symbol is reduced to one row per bar and map task
+    before anything is shuffled. `seq` orders ticks of one instant. Where it orders all ticks of a
+    symbol, as an exchange's sequence number does, `order=("seq",)` lets the aggregation run in a
+    hash map instead of sorting the ticks of a task by bar.
     """
     return (
         ticks.withColumn("bar", bucket_start(ticks, "ts", interval_min, offset_minutes))
         .groupBy("symbol", "bar")
-        .agg(*ohlcv())
+        .agg(*ohlcv(order))
         .select("symbol", F.lit(interval_min).alias("interval_min"),
                 F.col("bar").alias("ts"), *VALUES)
     )

@@ -42,7 +42,7 @@ def check_headers(headers: list[str]) -> list[str]:
         raise ValueError(f"fundamentals file lacks required columns: {missing}")
     extra = extra_headers(headers)
     if extra:
-        warnings.warn(f"fundamentals file has extra columns, kept as they are: {extra}", stacklevel=2)
+        warnings.warn(f"fundamentals file has extra columns, kept: {extra}", stacklevel=2)
     return extra
 
 

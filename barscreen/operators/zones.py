@@ -19,7 +19,7 @@ def order_block_kind() -> Column:
 
 
 def gap_zones() -> Column:
-    """Gaps between a bar and the next, up before down; the last pair of a series is not looked at."""
+    """Gaps between a bar and the next, up before down; a series' last pair is not looked at."""
     c = F.col
 
     def gap(kind: str, low: Column, high: Column) -> Column:

@@ -7,8 +7,13 @@ import re
 from pyspark.sql import types as T
 
 # The headers a fundamentals file must carry, in reporting order.
-TEXT_HEADERS = ["Name", "NSE Code", "BSE Code", "ISIN", "Industry", "Sector"]
-NUMERIC_HEADERS_BEFORE_DATES = [
+REQUIRED_HEADERS = [
+    "Name",
+    "NSE Code",
+    "BSE Code",
+    "ISIN",
+    "Industry",
+    "Sector",
     "Market Capitalization",
     "Price to Earnings",
     "Price to Book Value",
@@ -37,14 +42,14 @@ NUMERIC_HEADERS_BEFORE_DATES = [
     "Pledged percentage",
     "Number of equity shares",
     "Number of equity shares preceding year",
+    "Last annual result date",
+    "Last quarterly result date",
+    "Piotroski score",
+    "Altman Z Score",
 ]
+TEXT_HEADERS = ["Name", "NSE Code", "BSE Code", "ISIN", "Industry", "Sector"]
 DATE_HEADERS = ["Last annual result date", "Last quarterly result date"]
-NUMERIC_HEADERS_AFTER_DATES = ["Piotroski score", "Altman Z Score"]
-
-REQUIRED_HEADERS = (
-    TEXT_HEADERS + NUMERIC_HEADERS_BEFORE_DATES + DATE_HEADERS + NUMERIC_HEADERS_AFTER_DATES
-)
-NUMERIC_HEADERS = NUMERIC_HEADERS_BEFORE_DATES + NUMERIC_HEADERS_AFTER_DATES
+NUMERIC_HEADERS = [h for h in REQUIRED_HEADERS if h not in TEXT_HEADERS + DATE_HEADERS]
 
 
 def snake(header: str) -> str:
@@ -52,11 +57,14 @@ def snake(header: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", header.lower()).strip("_")
 
 
+def _fundamentals_type(header: str) -> T.DataType:
+    if header in TEXT_HEADERS:
+        return T.StringType()
+    return T.TimestampType() if header in DATE_HEADERS else T.DoubleType()
+
+
 FUNDAMENTALS = T.StructType(
-    [T.StructField(snake(h), T.StringType()) for h in TEXT_HEADERS]
-    + [T.StructField(snake(h), T.DoubleType()) for h in NUMERIC_HEADERS_BEFORE_DATES]
-    + [T.StructField(snake(h), T.TimestampType()) for h in DATE_HEADERS]
-    + [T.StructField(snake(h), T.DoubleType()) for h in NUMERIC_HEADERS_AFTER_DATES]
+    [T.StructField(snake(h), _fundamentals_type(h)) for h in REQUIRED_HEADERS]
 )
 
 MASTER_FIELDS = ["name", "symbol_nse", "symbol_bse", "sector", "industry"]

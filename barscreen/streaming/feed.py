@@ -27,7 +27,8 @@ def stream_announcements(items: DataFrame, delay: str = "7 days") -> DataFrame:
     readable date count as published when they landed.
     """
     order = F.lit(None).cast("bigint").alias("feed_ord")
-    shaped = shape_items(items.select(order, "title", "link", "pubDate", "landed_at"), ["landed_at"])
+    landed = items.select(order, "title", "link", "pubDate", "landed_at")
+    shaped = shape_items(landed, ["landed_at"])
     return classify(
         shaped.withColumn("event_time", F.coalesce("published_at", "landed_at"))
         .withWatermark("event_time", delay)

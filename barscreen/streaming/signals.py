@@ -7,7 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from barscreen.operators.signals import BACKWARD, BREAK_LOOKBACK, SERIES, signal_columns, with_neighbours
+from barscreen.operators.signals import (
+    BACKWARD,
+    BREAK_LOOKBACK,
+    SERIES,
+    signal_columns,
+    with_neighbours,
+)
 from barscreen.sources.storage import committed_versions, drop_versions, version_path
 
 BAR = [*SERIES, "ts", "open", "high", "low", "close", "volume"]
@@ -17,9 +23,8 @@ KEPT_VERSIONS = 3
 def recent_bars(bars: DataFrame, n: int = BREAK_LOOKBACK) -> DataFrame:
     """The last `n` bars of every series."""
     newest_first = W.partitionBy(*SERIES).orderBy(F.desc("ts"))
-    return (
-        bars.withColumn("_rn", F.row_number().over(newest_first)).where(F.col("_rn") <= n).drop("_rn")
-    )
+    ranked = bars.withColumn("_rn", F.row_number().over(newest_first))
+    return ranked.where(F.col("_rn") <= n).drop("_rn")
 
 
 def signals_of_batch(batch: DataFrame, recent: DataFrame | None) -> DataFrame:

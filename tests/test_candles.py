@@ -63,6 +63,15 @@ def test_rollup_and_timeframes_equal_resampling_the_ticks(spark):
     assert values(both.where("interval_min = 1440")) == values(daily)
 
 
+def test_ticks_in_sequence_order_are_aggregated_without_a_sort(spark):
+    ticks = random_ticks(spark)
+    rank = F.expr("unix_seconds(ts) * 10000 + seq")
+    ordered = cd.resample_ticks(ticks.withColumn("seq", rank), 240, order=("seq",))
+    assert values(ordered) == values(cd.resample_ticks(ticks, 240))
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
 def test_lookback_includes_both_ends(spark):
     bars = bars_frame(spark, {"A": random_series(1, 10)})
     as_of = START + timedelta(days=8)
