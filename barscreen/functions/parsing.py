@@ -44,7 +44,8 @@ def number_or_null(col: Column) -> Column:
 
 
 def nan_to_null(col: Column) -> Column:
-    return F.when(~F.isnan(col), col)
+    """NaN, which compares as larger than every number, to null."""
+    return F.nanvl(col, F.lit(None).cast("double"))
 
 
 def date_or_null(col: Column, formats: list[str] | None = None) -> Column:

@@ -44,9 +44,11 @@ def _number_sql(x: str) -> str:
         digits = f"rtrim('0', cast(cast({x} as decimal(38,{scale})) as string))"
         return f"regexp_replace({digits}, '[.]$', '.0')"
 
-    exponent = f"cast(split_part(cast({x} as string), 'E', 2) as int)"
+    exponent = f"try_cast(split_part(cast({x} as string), 'E', 2) as int)"
     mantissa = f"regexp_replace(split_part(cast({x} as string), 'E', 1), '[.]0$', '')"
     return f"""case
+        when isnan({x}) then 'nan'
+        when abs({x}) = double('Infinity') then if({x} > 0, 'inf', '-inf')
         when {x} = 0 or abs({x}) >= 1e-3 and abs({x}) < 1e7 then cast({x} as string)
         when abs({x}) >= 1e7 and abs({x}) < 1e16 then {plain(12)}
         when abs({x}) >= 1e-4 and abs({x}) < 1e-3 then {plain(24)}

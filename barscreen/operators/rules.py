@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barscreen.functions.parsing import nan_to_null
 from barscreen.functions.text import zone_text, zones_text
 
 # Profile field -> landed column. `literal` looks for other spellings of two headers and falls back
@@ -77,9 +78,11 @@ def evaluate(profiles: DataFrame) -> DataFrame:
     def holds(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(False))
 
-    zero = F.lit(0.0)
-    roce, debt = given("roce", zero), given("de_ratio", zero)
-    altman, piotroski = given("altman_z", zero), given("piotroski_score", zero)
+    def ratio(name: str) -> Column:
+        return nan_to_null(given(name, F.lit(0.0)).cast("double"))
+
+    roce, debt = ratio("roce"), ratio("de_ratio")
+    altman, piotroski = ratio("altman_z"), ratio("piotroski_score")
     bos = holds(given("daily_bos", F.lit(False)))
     sentiment = given("sentiment", F.lit("Neutral"))
     positive, veto = holds(sentiment == "Positive"), holds(sentiment == "Negative")

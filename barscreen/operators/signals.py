@@ -22,8 +22,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barscreen.functions.instants import day_number
+from barscreen.functions.parsing import nan_to_null
 
 SERIES = ["symbol", "interval_min"]
+PRICES = ["open", "high", "low", "close"]
 BREAK_LOOKBACK = 5  # bars before the current one that form the prior swing
 SPLIT_BARS = 4096
 
@@ -54,6 +56,11 @@ FORWARD: dict[str, Callable[[WindowSpec], Column]] = {
 FORWARD_REACH = 2
 
 
+def clean_prices(bars: DataFrame) -> DataFrame:
+    """Prices with null for NaN, so that maxima pass over them and no comparison holds."""
+    return bars.withColumns({p: nan_to_null(F.col(p)) for p in PRICES if p in bars.columns})
+
+
 def with_neighbours(
     bars: DataFrame,
     split_bars: int | None = SPLIT_BARS,
@@ -64,6 +71,7 @@ def with_neighbours(
     `split_bars=None` uses one window per series: right when the length of a series is bounded,
     as after `lookback`.
     """
+    bars = clean_prices(bars)
     backward = {n: make for n, make in BACKWARD.items() if n in names}
     forward = {n: make for n, make in FORWARD.items() if n in names}
     if split_bars is None:
@@ -171,7 +179,7 @@ def latest(bars: DataFrame) -> DataFrame:
     """All four signals at the last bar of every series."""
     newest_first = W.partitionBy(*SERIES).orderBy(F.desc("ts"))
     recent = (
-        bars.select(*SERIES, "ts", "high", "low", "close")
+        clean_prices(bars.select(*SERIES, "ts", "high", "low", "close"))
         .withColumn("_rn", F.row_number().over(newest_first))
         .where(F.col("_rn") <= BREAK_LOOKBACK + 1)
     )

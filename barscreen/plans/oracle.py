@@ -264,6 +264,9 @@ select distinct symbol, interval_min from delivered where {BAD}""",
     "latest_bullish_bos": _latest("bullish_bos", BULLISH_BOS),
     "latest_bearish_bos": _latest("bearish_bos", BEARISH_BOS),
     "latest_bullish_choch": _latest("bullish_choch", BULLISH_CHOCH),
+    "latest_signals_fourh": f"""with {TICKS}, {_bars(240)}, {_lagged("bars")}, last_bars as (
+  select * from lagged where not has_next1)
+{_signals("last_bars")}""",
     "signal_history": f"with {TICKS}, {_bars(1440)}, {_lagged('bars')} {_signals()}",
     "signal_history_fourh": f"with {TICKS}, {_bars(240)}, {_lagged('bars')} {_signals()}",
     "order_blocks": f"""with {TICKS}, {_bars(1440)}, {_lagged("bars")}
@@ -295,6 +298,8 @@ select count(*) filter (where nse_code is null) as missing_nse,
 select {FILING_COLUMNS} from filings
 qualify isin is null or row_number() over (partition by isin order by ord) = 1""",
     "distinct_symbols": f"with {VALIDATED}, {LISTED} select symbol, ord from listed",
+    "symbol_count": f"""with {VALIDATED}, {LISTED}
+select count(*) as n_symbols from listed""",
     "symbol_head": f"""with {VALIDATED}, {LISTED}
 select symbol, ord from listed order by ord limit 10""",
     "fundamentals_csv": f"""with {FILINGS}
@@ -302,6 +307,9 @@ select ord, name, nse_code, bse_code, isin, return_on_capital_employed, debt_to_
   cast(null as double) as interest_coverage_ratio,
   case when bse_code is not null then last_quarterly_result_date end as last_quarterly_result_date,
   case when isin is null then 1 else 0 end as bad_cells from filings""",
+    "fundamentals_warnings": f"""with {FILINGS}
+select nse_code as symbol, 'Interest Coverage Ratio' as header from filings
+where isin is null""",
     "validated_reload": f"with {VALIDATED} select {FILING_COLUMNS} from validated",
     "fundamental_profile": _profile("return_on_capital_employed", "debt_to_equity"),
     "fundamental_profile_literal": _profile("cast(0 as double)", "cast(0 as double)"),
@@ -318,8 +326,30 @@ select l.symbol, coalesce(sentiment, 'Neutral') as sentiment, coalesce(title, ''
 from listed l left join first_announced a on a.symbol = l.symbol""",
     "announcement_feed": f"""with {ANNOUNCED}
 select symbol, title, link, date, event_type, sentiment from announced""",
+    "assembled_profiles": f"""with {TECHNICAL}, {VALIDATED}, {FIRST_FILED}, {ANNOUNCED}
+select f.nse_code as symbol, f.return_on_capital_employed as roce, f.debt_to_equity as de_ratio,
+  f.altman_z_score as altman_z, f.piotroski_score, t.daily_trend, t.daily_bos, t.daily_bars,
+  t.fourh_bars, coalesce(a.sentiment, 'Neutral') as sentiment, coalesce(a.title, '') as title,
+  case when coalesce(t.daily_bars, 0) < 2 then 'short_daily'
+    when coalesce(t.fourh_bars, 0) < 1 then 'no_4h_bars' end as cause
+from filed f left join technical t on t.symbol = f.nse_code
+left join first_announced a on a.symbol = f.nse_code""",
     "evaluate_candidates": f"""{CORRECTED}
 select symbol, decision, veto_reason, reasons, n_reasons from decided""",
+    "evaluate_with_slots": f"""with {TECHNICAL}, last_blocks as (
+  select symbol, arg_max(low, ts) as block_low, arg_max(high, ts) as block_high
+  from lagged where interval_min = 1440 and {BLOCK_KIND} is not null group by 1)
+select t.symbol, case when daily_bos then 'Buy' else 'Hold' end as decision,
+  array_to_string([x for x in [
+    'Weak fundamentals (ROCE<10% or D/E>2)', 'Altman Z-Score low (distress sign)',
+    case when daily_trend = 'Bullish' then 'Daily uptrend' end,
+    case when daily_bos then 'Daily BOS confirmed' end,
+    case when daily_choch then '4H liquidity sweep detected' end,
+    case when block_low is not null
+      then 'Order block at ' || {ZONE_TEXT.format("block_low", "block_high")} end,
+    case when daily_fvg is not null then 'Fair Value Gap at ' || daily_fvg end
+  ] if x is not null], '; ') as reasons
+from technical t left join last_blocks b on b.symbol = t.symbol""",
     "shortlist": f"{CORRECTED} {SHORTLIST}",
     "shortlist_literal": f"{LITERAL} {SHORTLIST}",
     "failures": f"""with {TECHNICAL}, {VALIDATED}, {LISTED}, asked as (

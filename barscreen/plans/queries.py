@@ -19,7 +19,11 @@ from barscreen.schemas import DAILY, FOUR_HOUR, HOURLY, MASTER_FIELDS, REQUIRED_
 from barscreen.sources import candles as candle_source
 from barscreen.sources import sinks
 from barscreen.sources.feed import ROW_TAG, read_feed
-from barscreen.sources.fundamentals import read_fundamentals, read_validated
+from barscreen.sources.fundamentals import (
+    non_numeric_warnings,
+    read_fundamentals,
+    read_validated,
+)
 from barscreen.sources.storage import shared_dir
 from barscreen.streaming.bars import stream_bars
 from barscreen.streaming.feed import stream_announcements, stream_feed
@@ -179,6 +183,10 @@ def signal_history_fourh(spark, sf_dir):
     return signals.history(_bars(spark, sf_dir, FOUR_HOUR[0]), split_bars=42)
 
 
+def latest_signals_fourh(spark, sf_dir):
+    return signals.latest(_bars(spark, sf_dir, FOUR_HOUR[0]))
+
+
 def order_blocks(spark, sf_dir):
     return zones.order_blocks(_bars(spark, sf_dir, DAILY[0]))
 
@@ -234,6 +242,11 @@ def distinct_symbols(spark, sf_dir):
     return symbols.distinct_symbols(_validated(spark, sf_dir))
 
 
+def symbol_count(spark, sf_dir):
+    listed = symbols.distinct_symbols(_validated(spark, sf_dir))
+    return listed.agg(F.count(F.lit(1)).alias("n_symbols"))
+
+
 def symbol_head(spark, sf_dir):
     return symbols.head(symbols.distinct_symbols(_validated(spark, sf_dir)), 10)
 
@@ -284,6 +297,11 @@ def fundamentals_csv(spark, sf_dir):
     )
 
 
+def fundamentals_warnings(spark, sf_dir):
+    """Number cells of the landed CSV that hold other text."""
+    return non_numeric_warnings(_landed_csv(spark, sf_dir))
+
+
 def validated_reload(spark, sf_dir):
     """Store the validated table and read it again."""
     path = shared_dir(spark, "validated")
@@ -385,6 +403,28 @@ def evaluate_candidates(spark, sf_dir):
     )
 
 
+def assembled_profiles(spark, sf_dir):
+    """The three profiles of every listed symbol side by side, failed ones included."""
+    return _assessed(spark, sf_dir).select(
+        "symbol", *PROFILE_FIELDS, "daily_trend", "daily_bos", "daily_bars", "fourh_bars",
+        "sentiment", "title", "cause",
+    )
+
+
+def evaluate_with_slots(spark, sf_dir):
+    """The rules with the two open slots filled: the last order block, a change of character."""
+    recent = cd.lookback(_both_timeframes(spark, sf_dir), [DAILY, FOUR_HOUR], AS_OF)
+    filled = screen.technical_profile(recent, split_bars=None).withColumns(
+        {
+            "fourh_order_block": F.try_element_at("order_blocks", F.lit(-1)),
+            "fourh_liq_sweep": F.col("daily_choch"),
+        }
+    )
+    return rules.evaluate(filled).select(
+        "symbol", "decision", F.concat_ws("; ", "reasons").alias("reasons")
+    )
+
+
 def shortlist(spark, sf_dir):
     return screen.shortlist(_assessed(spark, sf_dir)).select("ord", "symbol", "line")
 
@@ -484,6 +524,7 @@ QUERIES: dict[str, Query] = {
     "latest_bullish_bos": _latest("bullish_bos"),
     "latest_bearish_bos": _latest("bearish_bos"),
     "latest_bullish_choch": _latest("bullish_choch"),
+    "latest_signals_fourh": latest_signals_fourh,
     "signal_history": signal_history,
     "signal_history_fourh": signal_history_fourh,
     "order_blocks": order_blocks,
@@ -495,8 +536,10 @@ QUERIES: dict[str, Query] = {
     "dedupe_isin": dedupe_isin,
     "dedupe_keep_null_isin": dedupe_keep_null_isin,
     "distinct_symbols": distinct_symbols,
+    "symbol_count": symbol_count,
     "symbol_head": symbol_head,
     "fundamentals_csv": fundamentals_csv,
+    "fundamentals_warnings": fundamentals_warnings,
     "validated_reload": validated_reload,
     "fundamental_profile": _profile("corrected"),
     "fundamental_profile_literal": _profile("literal"),
@@ -507,7 +550,9 @@ QUERIES: dict[str, Query] = {
     "first_announcement": first_announcement,
     "event_profile": event_profile,
     "announcement_feed": announcement_feed,
+    "assembled_profiles": assembled_profiles,
     "evaluate_candidates": evaluate_candidates,
+    "evaluate_with_slots": evaluate_with_slots,
     "shortlist": shortlist,
     "shortlist_literal": shortlist_literal,
     "failures": failures,

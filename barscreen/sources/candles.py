@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barscreen.functions.instants import Instant
 from barscreen.functions.parsing import nan_to_null
 from barscreen.operators.candles import VALUES, lookback
+from barscreen.operators.signals import clean_prices
 from barscreen.schemas import CANDLE_RESPONSE
 
 FIELDS = ["ts", *VALUES]
@@ -31,7 +32,7 @@ def read_candles(
     `sinks.write_candles` partitions by interval and day, so whole directories are skipped; within
     the files the bounds on `ts` reach the Parquet reader.
     """
-    recent = lookback(spark.read.parquet(path), windows, as_of)
+    recent = clean_prices(lookback(spark.read.parquet(path), windows, as_of))
     if "day" not in recent.columns:
         return recent
     end = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of

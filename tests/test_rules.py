@@ -62,10 +62,18 @@ def test_absent_columns(spark):
     assert found["reasons"] == [rules.WEAK_FUNDAMENTALS, rules.LOW_ALTMAN]
 
 
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("A", nan, nan, nan, nan)],
+                               "symbol string, roce double, de_ratio double, altman_z double,"
+                               " piotroski_score double")
+    assert rules.evaluate(df).first()["reasons"] == []
+
+
 def test_numbers_print_as_in_python(spark):
     values = [0.0, -0.0, 1.5, -2.25, 0.1, 0.001, 0.0005, 1.25e-4, 9.99e-5, 1.5e-5, 1e-10, 1e7,
               12345678.25, 123456789012345.6, 1e15, 1e16, 1.5e16, 1e22, 1.7e300, 100.0, -1e16,
-              -3e-7, 1e-100, 2.5e8, 40000000.0]
+              -3e-7, 1e-100, 2.5e8, 40000000.0, float("inf"), float("-inf"), float("nan")]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     found = df.select("x", number_text("x").alias("text")).collect()
     assert [r["text"] for r in found] == [repr(r["x"]) for r in found]

@@ -68,6 +68,16 @@ def test_latest_equals_the_last_bar_of_the_history(spark):
     assert signal_rows(signals.latest(bars)) == want
 
 
+def test_nan_prices_count_as_missing(spark):
+    bars = bars_frame(spark, SERIES)
+    spoiled = bars.fillna(float("nan"), ["open", "high", "low", "close"])
+    assert spoiled.where("isnan(high)").count() > 0
+    for split in (None, 4):
+        assert signal_rows(signals.history(spoiled, split)) == signal_rows(
+            signals.history(bars, None))
+    assert signal_rows(signals.latest(spoiled)) == signal_rows(signals.latest(bars))
+
+
 def test_series_of_two_timeframes_do_not_mix(spark):
     daily = bars_frame(spark, {"A": random_series(1, 30)})
     fourh = bars_frame(spark, {"A": random_series(2, 30)}, interval_min=240)
