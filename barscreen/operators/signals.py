@@ -9,7 +9,7 @@ Two forms:
   all others before the shuffle (`WindowGroupLimit`).
 
 A single series may hold a large part of all rows. `with_neighbours` therefore sorts a series in
-pieces of about `split_bars` bars; only the few bars next to a cut go through a second window that
+pieces of about `split_bars` bars; only the few bars around a cut go through a second window that
 spans the whole series.
 """
 
@@ -83,34 +83,27 @@ def with_neighbours(
     # Pieces are calendar spans, so rows find theirs without knowing the others.
     span_days = F.greatest(F.lit(1), F.ceil(F.col("interval_min") * F.lit(split_bars) / 1440))
     pieced = bars.withColumn("_piece", F.floor(day_number(F.col("ts")) / span_days))
-    keys = W.partitionBy(*SERIES, "_piece")
-    piece = keys.orderBy("ts")
-    local = pieced.withColumns(
-        {name: make(piece) for name, make in {**backward, **forward}.items()}
-    ).withColumns(
-        {
-            "_from_start": F.row_number().over(piece),
-            # Null when the piece ends within reach.
-            "_tail_far": F.lead("ts", BREAK_LOOKBACK).over(piece).isNotNull(),
-            "_next_far": F.lead("ts", FORWARD_REACH).over(piece).isNotNull(),
-        }
-    )
-    inner = (F.col("_from_start") > BREAK_LOOKBACK) & F.col("_tail_far")
+    piece = W.partitionBy(*SERIES, "_piece").orderBy("ts")
+    place = {
+        "_from_start": F.row_number().over(piece),
+        "_near_end": F.lead("ts", BREAK_LOOKBACK).over(piece).isNull(),
+    }
+    at_cut = (F.col("_from_start") <= BREAK_LOOKBACK) | F.col("_near_end")
+    inside = pieced.withColumns(
+        {name: make(piece) for name, make in {**backward, **forward}.items()} | place
+    ).where(~at_cut)
 
-    # The first and last BREAK_LOOKBACK bars of every piece, side by side, hold all that is needed
-    # on either side of a cut.
+    # The bars at a cut see across it. Seven bars after and ten before every cut hold all that the
+    # five on either side look up.
     series = W.partitionBy(*SERIES).orderBy("ts")
-    head = F.col("_from_start") <= BREAK_LOOKBACK
-    tail = ~F.col("_next_far")
-    edges = local.where(~inner).withColumns(
-        {n: F.when(head, make(series)).otherwise(F.col(n)) for n, make in backward.items()}
-        | {n: F.when(tail, make(series)).otherwise(F.col(n)) for n, make in forward.items()}
-    )
-    return (
-        local.where(inner)
-        .unionByName(edges)
-        .drop("_piece", "_from_start", "_tail_far", "_next_far")
-    )
+    context = (F.col("_from_start") <= BREAK_LOOKBACK + FORWARD_REACH) | F.col("_context_end")
+    around = pieced.withColumns(
+        place | {"_context_end": F.lead("ts", 2 * BREAK_LOOKBACK).over(piece).isNull()}
+    ).where(context)
+    across = around.drop("_context_end").withColumns(
+        {name: make(series) for name, make in {**backward, **forward}.items()}
+    ).where(at_cut)
+    return inside.unionByName(across).drop("_piece", *place)
 
 
 def trend(high: Column, low: Column, high1: Column, low1: Column) -> Column:
