@@ -47,7 +47,7 @@ def ingest(
 
 
 def load_responses(spark: SparkSession, path: str) -> Responses:
-    """Candles of landed responses, one bar per (symbol, interval, time)."""
+    """Candles of landed responses; a bar that landed again is there twice."""
     return parse_responses(read_responses(spark, path))
 
 
@@ -68,7 +68,7 @@ def screen_stored(
         bars, landed = read_candles(spark, candle_table, [DAILY, FOUR_HOUR], as_of), None
     elif responses is not None:
         bars, bad_series = load_responses(spark, responses)
-        landed = "ord"
+        landed = "landed"
     else:
         raise ValueError("give a candle table or candle responses")
     screen.assess(

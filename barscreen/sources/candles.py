@@ -13,6 +13,7 @@ from barscreen.functions.parsing import nan_to_null
 from barscreen.operators.candles import VALUES, lookback
 from barscreen.operators.signals import clean_prices
 from barscreen.schemas import CANDLE_RESPONSE
+from barscreen.sources.storage import file_order_fields
 
 FIELDS = ["ts", *VALUES]
 # Fixed value: the last whole second of a nanosecond clock that starts in 1970.
@@ -48,8 +49,12 @@ def read_candles(
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Landed candle responses, one JSON object per line."""
-    return spark.read.schema(CANDLE_RESPONSE).json(path)
+    """Landed candle responses, one JSON object per line; `landed` sorts them, later files last."""
+    responses = spark.read.schema(CANDLE_RESPONSE).json(path)
+    landed = F.struct(
+        F.col("_metadata.file_modification_time").alias("at"), *file_order_fields()
+    )
+    return responses.select("*", landed.alias("landed"))
 
 
 def response_is_bad() -> Column:
@@ -65,14 +70,16 @@ def parse_responses(responses: DataFrame) -> Responses:
     """Candle rows of the good responses, and the (symbol, interval_min) of the bad ones.
 
     A response without candles has no rows. Candles shorter than the others have null fields.
-    `ord` is the place in the response. Candles without a time cannot be placed and are left out.
+    `ord` is the place in the response; `landed`, if the responses have it, the place among all
+    landed candles. Candles without a time cannot be placed and are left out.
     """
     whole = responses.withColumn("candles", F.coalesce("candles", F.array())).withColumn(
         "bad", F.coalesce(response_is_bad(), F.lit(False))
     )
     bad_series = whole.where("bad").select("symbol", "interval_min").distinct()
+    kept = ["landed"] if "landed" in responses.columns else []
     rows = whole.where("not bad").select(
-        "symbol", "interval_min", F.posexplode("candles").alias("ord", "candle")
+        "symbol", "interval_min", *kept, F.posexplode("candles").alias("ord", "candle")
     )
     field = {name: nan_to_null(F.get("candle", i)) for i, name in enumerate(FIELDS)}
     candles = rows.select(
@@ -82,5 +89,6 @@ def parse_responses(responses: DataFrame) -> Responses:
         *[field[v].alias(v) for v in VALUES if v != "volume"],
         field["volume"].try_cast("bigint").alias("volume"),
         "ord",
+        *[F.struct("landed.*", "ord").alias("landed") for _ in kept],
     ).where(F.col("ts").isNotNull())
     return Responses(candles, bad_series)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barscreen.schemas import FEED_ITEM
+from barscreen.sources.storage import file_order_fields
 
 ROW_TAG = "item"
 
@@ -15,12 +16,7 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     items = spark.read.schema(FEED_ITEM).option("rowTag", ROW_TAG).xml(path)
     newest_first = -F.unix_micros(F.col("_metadata.file_modification_time"))
     return items.select(
-        F.struct(
-            newest_first.alias("landed"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("feed_ord"),
+        F.struct(newest_first.alias("landed"), *file_order_fields()).alias("feed_ord"),
         "title",
         "link",
         "pubDate",

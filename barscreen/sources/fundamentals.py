@@ -12,6 +12,7 @@ from barscreen.functions.parsing import date_or_null, missing_to_null, number_or
 from barscreen.functions.text import clean_code
 from barscreen.operators.validate import check_headers
 from barscreen.schemas import DATE_HEADERS, NUMERIC_HEADERS, REQUIRED_HEADERS, snake
+from barscreen.sources.storage import file_order_fields
 
 
 class Landed(NamedTuple):
@@ -54,15 +55,6 @@ def column_names(headers: list[str]) -> list[str]:
     return out
 
 
-def file_order() -> Column:
-    """Sortable place of a row: file, block, row. Stable once persisted."""
-    return F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-
-
 def read_fundamentals(
     spark: SparkSession,
     path: str,
@@ -84,7 +76,7 @@ def read_fundamentals(
     # Cells, typed columns and the list of bad cells are separate projections, so that every cell
     # is parsed once although it is referred to twice.
     cells = raw.select(
-        file_order().alias("ord"),
+        F.struct(*file_order_fields()).alias("ord"),
         *[missing_to_null(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(headers))],
     )
 

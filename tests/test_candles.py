@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -141,6 +142,20 @@ def test_candle_responses(spark, tmp_path):
     ]
 
 
+def test_a_later_response_restates_its_bars(spark, tmp_path):
+    def response(close):
+        return ('{"symbol":"A","interval_min":1440,"candles":[[1704067200,1,2,0.5,%s,1],'
+                '[1704153600,2,3,1.5,%s,1]]}' % (close, close))
+
+    for name, close, at in (("b", 7, 1000), ("a", 8, 3000), ("c", 9, 2000)):
+        (tmp_path / f"{name}.json").write_text(response(close))
+        os.utime(tmp_path / f"{name}.json", (at, at))
+    landed = parse_responses(read_responses(spark, str(tmp_path))).candles
+    assert landed.count() == 6
+    bars = cd.dedupe_bars(landed, "landed")
+    assert sorted(r["close"] for r in bars.collect()) == [8.0, 8.0]
+
+
 def test_technical_profile_is_the_same_however_series_are_cut(spark):
     bars = bars_frame(spark, {s: random_series(i, 50) for i, s in enumerate("ABCD")}).unionByName(
         bars_frame(spark, {s: random_series(i + 9, 50) for i, s in enumerate("ABC")}, 240)
