@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from barscreen.plans.oracle import ORACLE
+from barscreen.plans.queries import QUERIES
 from tests.oracle_check import compare, duck
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -20,16 +22,16 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     equal, got, want, (types, sql_types) = compare(
-        spark, con, queries()[name], oracle_sql()[name], SF_DIR)
+        spark, con, QUERIES[name], ORACLE[name], SF_DIR)
     assert equal, (got[:3], want[:3])
     assert {c: SAME_TYPE[t] for c, t in types} == sql_types
 
 
 def test_every_query_has_sql():
-    assert list(queries()) == list(oracle_sql())
+    assert list(QUERIES) == list(ORACLE)
 
 
 def test_entry(spark):
