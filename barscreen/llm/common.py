@@ -87,7 +87,8 @@ def _offsets(strings: pa.Array) -> np.ndarray:
 class Numbered:
     """Numbers for words, given as they first appear; forgotten once `most` are known.
 
-    A worker's own cache: `values` holds one row per known word, computed once by `compute(words)`.
+    A worker's own cache: `values` holds one row per known word, computed once by
+    `compute(words, first)`; `first` tells that all earlier words were forgotten.
     """
 
     def __init__(self, compute, most: int = 400_000):
@@ -97,13 +98,19 @@ class Numbered:
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Index of each word into `values`, which is grown first where needed."""
-        if len(self.ids) > self.most:
-            self.ids, self.values = {}, None
         ids = self.ids
-        new = [w for w in dict.fromkeys(words) if w not in ids]
-        if new:
+        found = np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
+        if len(found) and found.min() < 0:
+            if len(ids) > self.most:
+                self.ids = ids = {}
             base = len(ids)
+            new = [w for w in dict.fromkeys(words) if w not in ids]
+            rows = self.compute(new, base == 0)
             ids.update(zip(new, range(base, base + len(new))))
-            rows = self.compute(new)
-            self.values = rows if self.values is None else np.concatenate([self.values, rows])
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+            if self.values is None or base + len(new) > len(self.values):
+                grown = np.zeros((max(1024, 2 * (base + len(new))), *rows.shape[1:]), rows.dtype)
+                grown[:base] = self.values[:base] if base else 0
+                self.values = grown
+            self.values[base : base + len(new)] = rows
+            found = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        return found

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barscreen.llm import exact
+from barscreen.llm import exact, packing
 from barscreen.llm.common import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are copies of which, by whole normalised text."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of 4096; the digests of the pieces and their places."""
+    pieces = packing.tokenized(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False)
+    return packing.packed(pieces)
+
+
+QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_exact_dedup": op8_exact_dedup,
+}
 
 ORACLE = {
     "op8_exact_dedup": r"""
