@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barscreen.llm import exact, packing
+from barscreen.llm import exact, packing, simhash
 from barscreen.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints over three-word shingles, linked at two bits or fewer."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=2, segments=2, ball=1)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are copies of which, by whole normalised text."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
@@ -24,6 +29,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
