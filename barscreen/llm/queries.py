@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barscreen.llm import exact, langid, packing, simhash
+from barscreen.llm import exact, langid, packing, quality, simhash
 from barscreen.llm.common import remainder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,11 +35,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    found = quality.scored(docs, quality.learn(docs, labels))
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 
 ORACLE = {
