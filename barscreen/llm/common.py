@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     )
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[tuple]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = 4 << 20) -> Iterator[tuple]:
     """(batch, texts as bytes) with about `most` bytes of text each; a null text counts as empty."""
     for batch in batches:
         sizes = np.diff(_offsets(batch.column(column)))
@@ -85,32 +86,35 @@ def _offsets(strings: pa.Array) -> np.ndarray:
 
 
 class Numbered:
-    """Numbers for words, given as they first appear; forgotten once `most` are known.
+    """Numbers for words, given as they first appear; all forgotten once `most` are known.
 
     A worker's own cache: `values` holds one row per known word, computed once by
     `compute(words, first)`; `first` tells that all earlier words were forgotten.
     """
 
-    def __init__(self, compute, most: int = 400_000):
-        self.compute, self.most = compute, most
+    def __init__(self, compute, most: int = 400_000, most_bytes: int = 1 << 25):
+        self.compute, self.most, self.most_bytes = compute, most, most_bytes
         self.ids: dict[bytes, int] = {}
+        self.bytes = 0
         self.values: np.ndarray | None = None
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Index of each word into `values`, which is grown first where needed."""
-        ids = self.ids
-        found = np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
-        if len(found) and found.min() < 0:
-            if len(ids) > self.most:
-                self.ids = ids = {}
-            base = len(ids)
-            new = [w for w in dict.fromkeys(words) if w not in ids]
+        found = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            if len(self.ids) > self.most or self.bytes > self.most_bytes:
+                self.ids, self.bytes, missing = {}, 0, np.arange(len(words))
+            ids, base = self.ids, len(self.ids)
+            unknown = [words[k] for k in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
             rows = self.compute(new, base == 0)
             ids.update(zip(new, range(base, base + len(new))))
+            self.bytes += sum(map(len, new))
             if self.values is None or base + len(new) > len(self.values):
                 grown = np.zeros((max(1024, 2 * (base + len(new))), *rows.shape[1:]), rows.dtype)
                 grown[:base] = self.values[:base] if base else 0
                 self.values = grown
             self.values[base : base + len(new)] = rows
-            found = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+            found[missing] = np.fromiter(map(ids.__getitem__, unknown), np.int64, len(unknown))
         return found

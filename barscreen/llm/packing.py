@@ -17,6 +17,8 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,32 +32,61 @@ SEQUENCE = 4096
 END = 1
 #: Bins a task holds open at once.
 OPEN_BINS = 1024
-#: Chunks of more bytes are tokenized each time they occur.
-LONGEST_CACHED = 64
+#: Marks around a word that end it for the tokenizer; the apostrophe can be a part of it.
+AROUND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def parts_of(chunk: str) -> list[str]:
+    """The marks before a word, the word and the marks after it, or else the chunk as it is."""
+    low = chunk.lower()
+    word = low.strip(AROUND)
+    if word and word.isalpha() and max(word) < "\u0250":
+        at = low.index(word)
+        return [p for p in (low[:at], word, low[at + len(word) :]) if p]
+    return [chunk]
+
+
+@cache
+def worker_tokens(path: str) -> ChunkTokens:
+    """One store of tokens for all tasks that a worker runs."""
+    return ChunkTokens(path)
 
 
 class ChunkTokens:
-    """Token ids of texts; `path` names a tokenizer file that drops white space between chunks."""
+    """Token ids of texts; `path` names a tokenizer file that drops white space between chunks.
+
+    A chunk that is a word of Latin letters between punctuation is tokenized in these parts, which the
+    tokenizer separates too; the same word in other surroundings or in capitals is then known already.
+    """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known = Numbered(self._extend, most)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.parts: dict[str, bytes] = {}
+        self.parts_bytes = 0
+        self.most_parts = 3 * most // 2
 
-    def encode(self, chunks: list[bytes]) -> list[list[int]]:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
+    def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _extend(self, chunks: list[bytes], first: bool) -> np.ndarray:
         """Appends the chunks' ids to the flat store; (start, length) of each."""
         if first:
             self.used = 0
-        found = self.encode(chunks)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
+        if len(self.parts) > self.most_parts or self.parts_bytes > 64 * self.most_parts:
+            self.parts, self.parts_bytes = {}, 0
+        parts = self.parts
+        split = [parts_of(c.decode("utf-8", "replace")) for c in chunks]
+        new = [p for p in dict.fromkeys(p for x in split for p in x) if p not in parts]
+        parts.update((p, np.array(ids, np.uint32).tobytes()) for p, ids in zip(new, self.encode(new)))
+        self.parts_bytes += sum(map(len, new))
+        found = [parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x]) for x in split]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), np.uint32)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -64,35 +95,16 @@ class ChunkTokens:
         return np.stack([starts, lengths], 1)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text. Long chunks are tokenized apart and put in their places."""
+        """Ids of each text."""
         chunks = [t.split() for t in texts]
-        counts = np.array([len(c) for c in chunks])
-        every = [c for doc in chunks for c in doc]
-        long = [k for k, c in enumerate(every) if len(c) > LONGEST_CACHED]
-        for k in long:
-            apart = every[k]
-            every[k] = b""
-            chunks[int(np.searchsorted(np.cumsum(counts), k, "right"))].append((k, self.encode([apart])[0]))
-        if not every:
+        at = self.known.of(list(chain.from_iterable(chunks)))
+        if not len(at):
             return [np.zeros(0, np.uint32) for _ in texts]
-        at = self.known.of(every)
         starts, lengths = self.known.values[at].T
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], ends])
-        last = np.cumsum(counts)
-        out = []
-        for k, doc in enumerate(chunks):
-            own = ids[bounds[last[k] - counts[k]] : bounds[last[k]]]
-            if len(doc) > counts[k]:
-                base = bounds[last[k] - counts[k]]
-                places = [(int(bounds[i] - base), more) for i, more in doc[counts[k] :]]
-                own = np.insert(
-                    own.astype(np.uint32),
-                    [p for p, more in places for _ in more],
-                    np.array([i for _, more in places for i in more], np.uint32))
-            out.append(own)
-        return out
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, chunks)])]
+        return [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
 def tokenized(
@@ -108,7 +120,7 @@ def tokenized(
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ChunkTokens(tokenizer_path)
+        tokens = worker_tokens(tokenizer_path)
         for batch, texts in text_batches(batches, most=1 << 20):
             out = defaultdict(list)
             for doc, found in zip(batch.column("doc_id").to_pylist(), tokens.of(texts)):

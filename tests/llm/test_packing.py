@@ -2,7 +2,9 @@
 
 import random
 import zlib
+from functools import cache
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -22,12 +24,17 @@ def docs(spark):
     return spark.createDataFrame([*enumerate(TEXTS), (0, TEXTS[0]), (None, "no id")], "doc_id long, text string")
 
 
-def plain(text):
+@cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    found = Tokenizer.from_file(PATH)
+    found.encode_special_tokens = True
+    return found
+
+
+def plain(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 @pytest.mark.parametrize("sequence", [16, 4096])
@@ -44,6 +51,14 @@ def test_pieces_are_the_tokenizers(docs, sequence):
         assert [r.piece for r in own] == list(range(len(own)))
 
 
+def test_parts_of_words_are_the_tokenizers_too():
+    texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' limit 300").fetchall()]
+    texts += ["(Don't) 'said ''s x's' THE!! İstanbul ΣΑΣ straße, ÀÉ... a-b c.d -x- 'tis e\u0301. n\u0303a", "$$ ... 3rd 4,5 #tag"]
+    tokens = packing.ChunkTokens(PATH, most=500)
+    got = [ids for k in range(0, len(texts), 7) for ids in tokens.of([t.encode() for t in texts[k : k + 7]])]
+    assert [[*ids, 1] for ids in got] == [plain(t) for t in texts]
+
+
 def test_places_are_gapless_and_few(docs):
     pieces = packing.tokenized(docs, PATH, 64).withColumn("extra", F.lit("x"))
     rows = packing.packed(pieces, 64, tasks=2).collect()
