@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barscreen.llm import decontaminate, exact, langid, packing, quality, simhash
+from barscreen.llm import decontaminate, exact, langid, packing, pii, quality, simhash
 from barscreen.llm.common import remainder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key="sample key")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of 4096; the digests of the pieces and their places."""
     pieces = packing.tokenized(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False)
@@ -50,6 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
