@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barscreen.llm.common import text_batches
@@ -201,6 +201,23 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     return Model(languages, *logs, written)
 
 
+def labelled(model: Model, texts: list[bytes], penalty: float) -> tuple:
+    """(language numbers, scores, letters, text number and language number of each word).
+
+    The number after the last language stands for an unknown one.
+    """
+    found = letters_of(texts)
+    docs_of = np.repeat(np.arange(len(texts)), found.words)
+    shares = np.zeros((len(texts), len(model.languages) + 1))
+    labels = None
+    if model.languages:
+        labels = viterbi(model.word_scores(found), found.words, penalty)
+        np.add.at(shares, (docs_of, labels), found.ends - found.starts)
+    total = shares.sum(1)
+    best = np.where(total > 0, shares.argmax(1), len(model.languages))
+    return best, shares.max(1) / np.maximum(total, 1), found, docs_of, labels
+
+
 def identified(
     docs: DataFrame,
     model: Model,
@@ -220,18 +237,10 @@ def identified(
         model = shared.value
         names = np.array([*model.languages, UNKNOWN])
         for batch, texts in text_batches(batches, most=2 << 20):
-            found = letters_of(texts)
-            docs_of = np.repeat(np.arange(len(texts)), found.words)
-            shares = np.zeros((len(texts), len(model.languages) + 1))
-            if model.languages:
-                labels = viterbi(model.word_scores(found), found.words, penalty)
-                np.add.at(shares, (docs_of, labels), found.ends - found.starts)
-            total = shares.sum(1)
-            best = np.where(total > 0, shares.argmax(1), len(model.languages))
-            score = shares.max(1) / np.maximum(total, 1)
+            best, score, found, docs_of, labels = labelled(model, texts, penalty)
             out = [batch.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score)]
             if spans:
-                out.append(_spans(found, docs_of, labels if model.languages else None, names, len(texts)))
+                out.append(_spans(found, docs_of, labels, names, len(texts)))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", "spans"][: len(out)])
 
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -252,7 +261,14 @@ def _spans(found: Letters, docs_of: np.ndarray, labels: np.ndarray | None, names
     return pa.array(out, kind)
 
 
-def in_languages(score: Column, lang: Column, wanted: list[str] | None, least: float) -> Column:
-    """Whether a document's language is known, wanted (any if None) and labels at least `least` of it."""
-    ok = (lang != UNKNOWN) & (score >= least)
-    return ok & lang.isin(wanted) if wanted is not None else ok
+def in_known_languages(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = PENALTY, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, one language of which labels at least the share `least`."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, at, most=2 << 20):
+            best, score, *_ = labelled(shared.value, texts, penalty)
+            yield batch.filter(pa.array((best < len(shared.value.languages)) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -134,3 +134,63 @@ def near_groups(
     text = F.concat(*[F.lpad(F.lower(F.hex(F.col("fingerprint")[k])), 16, "0") for k in range(bits // 64)])
     return prints.join(labelled, "fingerprint", "left").select(
         "doc_id", text.alias("fingerprint"), "component_id")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The `pairs` (a, b) whose texts' shingle sets have a Jaccard similarity of `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            likes = []
+            for x, y in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))):
+                sets = [np.unique(shingle_hashes(words_of(t or b""), shingle)) for t in (x, y)]
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                whole = len(sets[0]) + len(sets[1]) - both
+                likes.append(both >= least * whole)  # two texts without words are alike
+            yield batch.select(["a", "b"]).filter(pa.array(likes, pa.bool_()))
+
+    a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def near_links(
+    docs: DataFrame,
+    shingle: int = 5,
+    least: float = 0.8,
+    bits: int = 128,
+    radius: int = 24,
+    segments: int = 8,
+    ball: int = 1,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Links (a, b) between ids whose texts' sets of `shingle`-word runs are alike by `least` or more.
+
+    Candidates are fingerprints within `radius` bits that agree in a segment up to `ball` bits, and
+    ids with equal fingerprints (each with the first of them); all are verified on their texts. Two
+    texts at a similarity of exactly 0.8 differ in 19 of 128 bits on average. Every pair within
+    `segments * (ball + 1) - 1` bits is a candidate, and of the others up to `radius` bits most: nine
+    in ten at 19 bits. A fingerprint meets `segments * (width + 1) * n / 2 ** width` others of n by
+    chance, so beyond some tens of millions of texts take wider segments of longer fingerprints.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    prints = stored(fingerprints(rows, shingle, bits), "fingerprints")
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
+    equal = prints.join(nodes, "fingerprint").where("doc_id > node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    pairs = stored(links(nodes, radius, segments, ball, bits).union(equal).distinct(), "candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _verified(pairs, stored(texts, "candidate-texts"), shingle, least)
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of `docs` that stay, with its columns: the smallest id of each group of linked ones.
+
+    Rows with the same id are one document, which stays or goes; rows without an id stay.
+    """
+    found = components(near_links(docs, id_col=id_col, text_col=text_col, **settings))
+    gone = found.where("node <> component").select(F.col("node").alias("_gone"))
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    key = own[docs.columns.index(id_col)]
+    rows = docs.toDF(*own)
+    return rows.join(gone, rows[key].cast("long") == gone._gone, "left_anti").toDF(*docs.columns)
