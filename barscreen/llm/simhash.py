@@ -58,12 +58,20 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes, made from `hashes`."""
+    out = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ out >> np.uint64(shift)) * np.uint64(factor)
+    return out ^ out >> np.uint64(31)
+
+
 def fingerprints(
     docs: DataFrame, shingle: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, fingerprint): one row per document, the fingerprint an array of 64-bit longs.
 
-    The first 64 bits come from the seed 42, further ones from the seeds after it.
+    The first 64 bits come from the shingles' hashes, further ones from these hashes mixed anew.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +79,8 @@ def fingerprints(
             prints = []
             for text in texts:
                 words = words_of(text)
-                parts = [majority(shingle_hashes(words, shingle, SEED + k)) for k in range(bits // 64)]
+                hashes = shingle_hashes(words, shingle)
+                parts = [majority(hashes if k == 0 else mixed(hashes, k)) for k in range(bits // 64)]
                 prints.append([p - (1 << 64) if p >> 63 else p for p in parts])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "fingerprint"])
@@ -90,11 +99,13 @@ def ball_masks(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in at) for r in range(radius + 1) for at in combinations(range(width), r)]
 
 
-def links(prints: DataFrame, radius: int, segments: int, ball: int, bits: int = 64) -> DataFrame:
+def links(prints: DataFrame, radius: int, segments: int, ball: int, bits: int = 64, first: int = 64) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within `radius` bits, smaller node first.
 
     `prints`: (node, fingerprint), the fingerprints distinct. Complete where `radius` is less than
-    `segments * (ball + 1)`; beyond that, pairs are found that have a segment within the ball.
+    `segments * (ball + 1)`; beyond that, pairs are found that have a segment within the ball. The
+    search carries the first 64 bits, which must be within `first` bits; longer fingerprints are
+    fetched for the pairs that are, and compared as a whole.
     """
     width, rest = divmod(bits, segments)
     if rest or 64 % width:
@@ -103,16 +114,23 @@ def links(prints: DataFrame, radius: int, segments: int, ball: int, bits: int =
     for s in range(segments):
         word, shift = divmod(s * width, 64)
         key = F.shiftrightunsigned(F.col("fingerprint")[word], shift)
-        keys.append(key.bitwiseAND(F.lit((1 << width) - 1)))
-    held = prints.select(
-        F.posexplode(F.array(*keys)).alias("segment", "key"), F.col("node").alias("b"), F.col("fingerprint").alias("print_b"))
+        keys.append(F.struct(F.lit(s).alias("segment"), key.bitwiseAND(F.lit((1 << width) - 1)).alias("key")))
+    entries = prints.select("node", F.col("fingerprint")[0].alias("print"), F.inline(F.array(*keys)))
+    # The segment's number goes above its key, where they fit into one number.
+    above = 1 << width if width <= 48 else 0
+    at = [(F.col("segment").cast("long") * above + F.col("key")).alias("at")] if above else ["segment", "key"]
+    names = ["at"] if above else ["segment", "key"]
+    held = entries.select(*at, F.col("node").alias("b"), F.col("print").alias("print_b"))
     masks = F.array(*[F.lit(m).cast("long") for m in ball_masks(width, ball)])
-    asked = prints.select(
-        F.posexplode(F.array(*keys)).alias("segment", "own"), F.col("node").alias("a"), F.col("fingerprint").alias("print_a"))
-    asked = asked.select("segment", F.explode(masks).alias("mask"), "own", "a", "print_a")
-    asked = asked.select("segment", F.col("own").bitwiseXOR(F.col("mask")).alias("key"), "a", "print_a")
-    near = (F.col("a") < F.col("b")) & (distance("print_a", "print_b", bits) <= radius)
-    return asked.join(held, ["segment", "key"]).where(near).select("a", "b").distinct()
+    asked = entries.withColumn("mask", F.explode(masks)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask")))
+    asked = asked.select(*at, F.col("node").alias("a"), F.col("print").alias("print_a"))
+    apart = F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b")))
+    near = (F.col("a") < F.col("b")) & (apart <= min(first, radius))
+    pairs = asked.join(held, names).where(near).select("a", "b").distinct()
+    if bits == 64:
+        return pairs
+    whole = [prints.select(F.col("node").alias(c), F.col("fingerprint").alias(f"print_{c}")) for c in "ab"]
+    return pairs.join(whole[0], "a").join(whole[1], "b").where(distance("print_a", "print_b", bits) <= radius).select("a", "b")
 
 
 def near_groups(
@@ -157,10 +175,11 @@ def near_links(
     docs: DataFrame,
     shingle: int = 5,
     least: float = 0.8,
-    bits: int = 128,
-    radius: int = 24,
-    segments: int = 8,
+    bits: int = 192,
+    radius: int = 45,
+    segments: int = 12,
     ball: int = 1,
+    first: int = 18,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -168,16 +187,16 @@ def near_links(
 
     Candidates are fingerprints within `radius` bits that agree in a segment up to `ball` bits, and
     ids with equal fingerprints (each with the first of them); all are verified on their texts. Two
-    texts at a similarity of exactly 0.8 differ in 19 of 128 bits on average. Every pair within
-    `segments * (ball + 1) - 1` bits is a candidate, and of the others up to `radius` bits most: nine
-    in ten at 19 bits. A fingerprint meets `segments * (width + 1) * n / 2 ** width` others of n by
+    texts at a similarity of exactly 0.8 differ in 29 of 192 bits on average. Every pair within
+    `segments * (ball + 1) - 1` bits is a candidate (23 here), and of those further apart most: 98 in
+    100 at 29 bits. A fingerprint meets `segments * (width + 1) * n / 2 ** width` others of n by
     chance, so beyond some tens of millions of texts take wider segments of longer fingerprints.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     prints = stored(fingerprints(rows, shingle, bits), "fingerprints")
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
     equal = prints.join(nodes, "fingerprint").where("doc_id > node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    pairs = stored(links(nodes, radius, segments, ball, bits).union(equal).distinct(), "candidates")
+    pairs = stored(links(nodes, radius, segments, ball, bits, first).union(equal).distinct(), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return _verified(pairs, stored(texts, "candidate-texts"), shingle, least)
