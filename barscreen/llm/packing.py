@@ -59,7 +59,7 @@ class ChunkTokens:
     tokenizer separates too; the same word in other surroundings or in capitals is then known already.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,7 +68,7 @@ class ChunkTokens:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.parts: dict[str, bytes] = {}
         self.parts_bytes = 0
-        self.most_parts = 3 * most // 2
+        self.most_parts = 5 * most // 4
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,7 +96,7 @@ class ChunkTokens:
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
-        chunks = [t.split() for t in texts]
+        chunks = [t.lower().split() for t in texts]  # as the tokenizer does; then fewer chunks differ
         at = self.known.of(list(chain.from_iterable(chunks)))
         if not len(at):
             return [np.zeros(0, np.uint32) for _ in texts]

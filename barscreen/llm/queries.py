@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barscreen.llm import decontaminate, exact, langid, packing, pii, quality, simhash
+from barscreen.llm import decontaminate, exact, langid, packing, pii, quality, simhash, suffix
 from barscreen.llm.common import remainder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=2, segments=2, ball=1)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that occur more than once."""
+    return suffix.without_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are copies of which, by whole normalised text."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_pii_surrogates": op2_pii_surrogates,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
