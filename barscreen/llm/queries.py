@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barscreen.llm import decontaminate, exact, langid, packing, pii, quality, simhash, suffix
-from barscreen.llm.common import remainder, table
+from barscreen.llm import decontaminate, exact, langid, lm, packing, pii, quality, simhash, suffix
+from barscreen.llm.common import remainder, stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,6 +16,16 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=2, segments=2, ball=1)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    training = docs.where(remainder("doc_id", 7) != 2)
+    counts = stored(lm.token_counts(training), "token-counts")
+    words = lm.learn_words(counts)
+    found = lm.scored(docs, counts, words, lm.train(training, words))
+    return found.withColumn("held_out", remainder("doc_id", 7) == 2)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 400 bytes that occur more than once."""
     return suffix.without_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept")
@@ -63,6 +73,7 @@ QUERIES = {
     "op2_pii_surrogates": op2_pii_surrogates,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
