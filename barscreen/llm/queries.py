@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barscreen.llm import decontaminate, exact, langid, lm, packing, pii, quality, simhash, suffix
+from barscreen.llm import decontaminate, exact, langid, lm, packing, pii, quality, simhash, substring, suffix
 from barscreen.llm.common import remainder, stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share, edited ones included."""
+    return substring.passages(table(spark, sf_dir, "documents"), words=50, least=0.8)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are copies of which, by whole normalised text."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
@@ -75,6 +80,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
