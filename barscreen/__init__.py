@@ -1,5 +1,5 @@
 """Equity screening on Spark DataFrames: fundamentals, candles, announcements, decisions."""
 
-from barscreen.session import build_session
+from barscreen.session import build_session, running_session
 
-__all__ = ["build_session"]
+__all__ = ["build_session", "running_session"]

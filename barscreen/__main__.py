@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from datetime import datetime
 
-from barscreen import build_session
+from barscreen import build_session, running_session
 from barscreen.plans.run import ingest, screen_stored
 from barscreen.sources.sinks import shortlist_lines
 
@@ -21,9 +21,10 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--master", help="company master folder (default: OUT/master)")
     parser.add_argument("--as-of", default=datetime.now().isoformat(timespec="seconds"))
     parser.add_argument("--mapping", choices=["corrected", "literal"], default="corrected")
+    parser.add_argument("--local", action="store_true", help="own local session, as for tests")
     args = parser.parse_args(argv)
 
-    spark = build_session()
+    spark = build_session() if args.local else running_session()
     validated = f"{args.out}/validated"
     ingested = ingest(
         spark, args.fundamentals, validated, args.master or f"{args.out}/master", args.as_of
@@ -34,8 +35,9 @@ def main(argv: list[str] | None = None) -> None:
         spark, validated, args.feed, args.as_of, args.out,
         candle_table=args.candles, responses=args.responses, mapping=args.mapping,
     )
-    for row in screened.failures.toLocalIterator():
-        print(f"Failed {row['symbol']}: {row['cause']}")
+    screened.failures.write.mode("overwrite").parquet(f"{args.out}/failures")
+    for row in screened.failures.groupBy("cause").count().orderBy("cause").collect():
+        print(f"Failed, {row['cause']}: {row['count']}")
     print("Final shortlist:")
     for line in shortlist_lines(screened.shortlist):
         print(line)

@@ -28,7 +28,11 @@ NULL_TOKENS = [
     "null",
 ]
 
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "yyyyMM"]
+DATE_FORMATS = [
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "yyyyMM", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-M-d",
+    "d-MMM-yyyy", "d MMM yyyy", "MMM yyyy",
+]
+RSS_FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d-MMM-yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss"]
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -57,6 +61,4 @@ def date_or_null(col: Column, formats: list[str] | None = None) -> Column:
 
 def rss_date_or_null(col: Column) -> Column:
     """`Mon, 01 Jan 2024 10:00:00 +0530` to timestamp; the weekday is cut off first."""
-    return F.try_to_timestamp(
-        F.regexp_replace(col, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")
-    )
+    return date_or_null(F.regexp_replace(col, "^[A-Za-z]{3}, *", ""), RSS_FORMATS)

@@ -102,18 +102,24 @@ def timeframes(bars: DataFrame, intervals: list[int]) -> DataFrame:
 def recent_ticks(
     ticks: DataFrame, interval_min: int, days_back: int, as_of: Instant
 ) -> DataFrame:
-    """All ticks of the bars that `lookback` will keep; a plain range on `ts` for the reader."""
+    """Ticks from `as_of - days_back` up to `as_of` itself; a plain range on `ts` for the reader.
+
+    The bar that `as_of` lies in is made from what had been traded by then.
+    """
     kind = column_type(ticks, "ts")
     end = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
     first = instant(end - timedelta(days=days_back), kind)
-    beyond = instant(end + timedelta(minutes=interval_min), kind)
-    return ticks.where((F.col("ts") >= first) & (F.col("ts") < beyond))
+    return ticks.where((F.col("ts") >= first) & (F.col("ts") <= instant(end, kind)))
 
 
 def lookback(
-    bars: DataFrame, windows: list[tuple[int, int]], as_of: Instant
+    bars: DataFrame, windows: list[tuple[int, int]], as_of: Instant, unfinished: bool = True
 ) -> DataFrame:
-    """Bars of each `(interval_min, days_back)` that lie in `[as_of - days_back, as_of]`."""
+    """Bars of each `(interval_min, days_back)` that start in `[as_of - days_back, as_of]`.
+
+    Without `unfinished`, bars that end after `as_of` are left out: a stored bar may hold what was
+    traded later.
+    """
     kind = column_type(bars, "ts")
     end = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
     keep = F.lit(False)
@@ -121,7 +127,7 @@ def lookback(
         keep = keep | (
             (F.col("interval_min") == interval_min)
             & (F.col("ts") >= instant(end - timedelta(days=days_back), kind))
-            & (F.col("ts") <= instant(end, kind))
+            & (F.col("ts") <= instant(end if unfinished else end - timedelta(minutes=interval_min), kind))
         )
     return bars.where(keep)
 

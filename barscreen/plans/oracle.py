@@ -234,9 +234,8 @@ select isin, """ + ", ".join(
 
 # What the delivered responses of the daily series look like.
 DELIVERED = f"""{TICKS}, {_bars(1440)}, delivered as (
-  select *, count(*) over (partition by symbol) as n,
-    row_number() over (partition by symbol order by ts) - 1 as ord from bars)"""
-BAD = "(n < 25 or n >= 29)"
+  select *, row_number() over (partition by symbol order by ts) - 1 as ord from bars)"""
+BAD = "right(symbol, 1) in ('3', '7')"
 
 CLOSED = "<= (select date_trunc('millisecond', max(ts)) - interval 1 hour from events)"
 
@@ -251,6 +250,14 @@ ORACLE: dict[str, str] = {
 select {CANDLE_COLUMNS} from daily where ts between timestamp '2024-01-11' and timestamp '2024-01-31'
 union all
 select {CANDLE_COLUMNS} from fourh where ts between timestamp '2024-01-26' and timestamp '2024-01-31'""",
+    "candle_table_append": f"""with {TICKS}, {_bars(1440)}
+select symbol, interval_min, ts, open, high, low,
+  case when ts <= timestamp '2024-01-16' then close + 1 else close end as close, volume
+from bars where ts between timestamp '2024-01-31' - interval 365 day and timestamp '2024-01-30'""",
+    # What a request for the seven days up to that moment would have brought.
+    "daily_candles_as_of": f"""with known as (
+  select * from events where ts <= timestamp '2024-01-20 12:00:00'), {TICKS.replace("from events", "from known")}, {_bars(1440)}
+select {CANDLE_COLUMNS} from bars where ts >= timestamp '2024-01-20 12:00:00' - interval 7 day""",
     "restated_bars": """select cast(user_id as varchar) as symbol, 1440 as interval_min,
   cast(date_trunc('day', ts) as timestamp) as ts, value as open, value + 1 as high, value - 1 as low,
   value * 2 as close, event_id as volume
@@ -311,6 +318,10 @@ select ord, name, nse_code, bse_code, isin, return_on_capital_employed, debt_to_
 select nse_code as symbol, 'Interest Coverage Ratio' as header from filings
 where isin is null""",
     "validated_reload": f"with {VALIDATED} select {FILING_COLUMNS} from validated",
+    "validated_csv_reload": f"""with {FILINGS}
+select ord, name, nse_code, bse_code, isin, return_on_capital_employed, debt_to_equity,
+  case when bse_code is not null then last_quarterly_result_date end as last_quarterly_result_date
+from filings""",
     "fundamental_profile": _profile("return_on_capital_employed", "debt_to_equity"),
     "fundamental_profile_literal": _profile("cast(0 as double)", "cast(0 as double)"),
     "master_upsert": MASTER,
@@ -354,10 +365,10 @@ from technical t left join last_blocks b on b.symbol = t.symbol""",
     "shortlist_literal": f"{LITERAL} {SHORTLIST}",
     "failures": f"""with {TECHNICAL}, {VALIDATED}, {LISTED}, asked as (
   select symbol from listed union select symbol from ticks),
-delivered as (select symbol, count(*) as n from daily group by 1),
+delivered as (select distinct symbol from daily),
 causes as (
   select k.symbol, case
-      when {BAD} then 'bad_candle_row'
+      when {BAD.replace('symbol', 'd.symbol')} then 'bad_candle_row'
       when coalesce(t.daily_bars, 0) < 2 then 'short_daily'
       when coalesce(t.fourh_bars, 0) < 1 then 'no_4h_bars'
       when l.symbol is null then 'no_fundamentals' end as cause

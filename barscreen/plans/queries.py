@@ -26,7 +26,7 @@ from barscreen.sources.fundamentals import (
 )
 from barscreen.sources.storage import shared_dir
 from barscreen.streaming.bars import stream_bars
-from barscreen.streaming.feed import stream_announcements, stream_feed
+from barscreen.streaming.feed import start_announcement_stream, stream_feed
 from barscreen.streaming.signals import start_signal_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,24 @@ def candle_table(spark, sf_dir):
     return bars.select(*cd.KEYS, *cd.VALUES)
 
 
+def candle_table_append(spark, sf_dir):
+    """Land the bars of three halves: early days, late ones, and a day of both restated."""
+    path = shared_dir(spark, "candles-grown")
+    bars = _bars(spark, sf_dir, DAILY[0])
+    early, late = F.col("ts") <= F.lit("2024-01-16"), F.col("ts") >= F.lit("2024-01-14")
+    sinks.write_candles(bars.where(late), path)
+    restated = bars.where(early).withColumn("close", F.col("close") + 1)
+    sinks.write_candles(restated.unionByName(restated), path)
+    found = candle_source.read_candles(spark, path, [DAILY], AS_OF)
+    return found.select(*cd.KEYS, *cd.VALUES)
+
+
+def daily_candles_as_of(spark, sf_dir):
+    """Daily bars as they stood in the middle of a day."""
+    recent = cd.recent_ticks(wh.ticks(spark, sf_dir), DAILY[0], 7, HOURLY_AS_OF)
+    return cd.lookback(cd.resample_ticks(recent, DAILY[0]), [(DAILY[0], 7)], HOURLY_AS_OF)
+
+
 def restated_bars(spark, sf_dir):
     """Every event restates its instrument's daily bar; the last one landed stands."""
     events = wh.table(spark, sf_dir, "events")
@@ -113,16 +131,15 @@ def restated_bars(spark, sf_dir):
     return cd.dedupe_bars(landed)
 
 
-# Daily series shorter than this are delivered with times in milliseconds.
-MILLISECONDS_BELOW = 25
-# Daily series of this length and more are delivered without volumes.
-NO_VOLUME_FROM = 29
+# Of every ten instruments, by the last digit of the number, one is delivered with times in
+# milliseconds and one without volumes.
+MILLISECONDS, NO_VOLUME = "3", "7"
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One landed response per instrument: its daily bars within the look-back.
 
-    Some responses are malformed, as named by the two bounds above; the source must reject them.
+    Some responses are malformed, as named by the two digits above; the source must reject them.
     The look-back bounds the length of every collected list.
     """
     bars = cd.lookback(_bars(spark, sf_dir, DAILY[0]), [DAILY], AS_OF)
@@ -133,15 +150,15 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("ts", candle.alias("candle")))),
         lambda e: e["candle"],
     )
-    length = F.size("candles")
+    digit = F.right("symbol", F.lit(1))
 
     def milliseconds(candle: Column) -> Column:
         return F.transform(candle, lambda x, i: F.when(i == 0, x * 1000).otherwise(x))
 
     return bars.groupBy("symbol", "interval_min").agg(listed.alias("candles")).withColumn(
         "candles",
-        F.when(length < MILLISECONDS_BELOW, F.transform("candles", milliseconds))
-        .when(length >= NO_VOLUME_FROM, F.transform("candles", lambda c: F.slice(c, 1, 5)))
+        F.when(digit == MILLISECONDS, F.transform("candles", milliseconds))
+        .when(digit == NO_VOLUME, F.transform("candles", lambda c: F.slice(c, 1, 5)))
         .otherwise(F.col("candles")),
     )
 
@@ -309,6 +326,17 @@ def validated_reload(spark, sf_dir):
     return read_validated(spark, path).select(*FILING_COLUMNS)
 
 
+def validated_csv_reload(spark, sf_dir):
+    """Store the landed rows as CSV too, under their headers, and land that copy again."""
+    path = shared_dir(spark, "validated-csv")
+    sinks.write_validated(_landed_csv(spark, sf_dir), f"{path}/table", f"{path}/csv")
+    frame = read_fundamentals(spark, f"{path}/csv").frame
+    return frame.select(
+        F.col("Serial").cast("bigint").alias("ord"), "name", "nse_code", "bse_code", "isin",
+        "return_on_capital_employed", "debt_to_equity", "last_quarterly_result_date",
+    )
+
+
 PROFILE_FIELDS = ["roce", "de_ratio", "altman_z", "piotroski_score"]
 
 
@@ -486,13 +514,13 @@ def stream_candles(spark, sf_dir):
 
 
 def stream_announcements_query(spark, sf_dir):
-    """Two polls of the whole feed; every announcement comes out once."""
+    """Two polls of the whole feed, a few files at a time; every announcement comes out once."""
     path = shared_dir(spark, "stream-feed")
     items = wh.announcement_items(spark, sf_dir)
     for poll in ("poll1", "poll2"):
         _land_feed(items, f"{path}/landed/{poll}")
-    stream = stream_announcements(stream_feed(spark, f"{path}/landed/*"))
-    _run_to_end(stream, path)
+    stream = stream_feed(spark, f"{path}/landed/*", files_per_trigger=1)
+    start_announcement_stream(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     found = spark.read.parquet(f"{path}/out")
     return found.select("symbol", "title", "link", "event_type", "sentiment")
 
@@ -517,6 +545,8 @@ QUERIES: dict[str, Query] = {
     "daily_from_fourh": daily_from_fourh,
     "lookback_filter": lookback_filter,
     "candle_table": candle_table,
+    "candle_table_append": candle_table_append,
+    "daily_candles_as_of": daily_candles_as_of,
     "restated_bars": restated_bars,
     "candle_responses": candle_responses,
     "bad_candle_series": bad_candle_series,
@@ -541,6 +571,7 @@ QUERIES: dict[str, Query] = {
     "fundamentals_csv": fundamentals_csv,
     "fundamentals_warnings": fundamentals_warnings,
     "validated_reload": validated_reload,
+    "validated_csv_reload": validated_csv_reload,
     "fundamental_profile": _profile("corrected"),
     "fundamental_profile_literal": _profile("literal"),
     "master_upsert": master_upsert,

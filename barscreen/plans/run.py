@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,8 +62,13 @@ def screen_stored(
     candle_table: str | None = None,
     responses: str | None = None,
     mapping: str = "corrected",
+    news_since: timedelta = timedelta(0),
 ) -> Screened:
-    """Screen stored inputs; assessments are written once and the two reports read from them."""
+    """Screen stored inputs; assessments are written once and the two reports read from them.
+
+    The news are those of the newest feed document landed by `as_of`, and of the ones landed up to
+    `news_since` before it.
+    """
     bad_series = None
     if candle_table is not None:
         bars, landed = read_candles(spark, candle_table, [DAILY, FOUR_HOUR], as_of), None
@@ -74,7 +80,7 @@ def screen_stored(
     screen.assess(
         bars,
         read_validated(spark, validated_path),
-        news.shape_items(read_feed(spark, feed_path)),
+        news.shape_items(read_feed(spark, feed_path, as_of, news_since)),
         as_of,
         bad_series=bad_series,
         landed=landed,

@@ -1,7 +1,7 @@
-"""Session builder for local runs, tests and the bench.
+"""The submitter's session for runs, and a local one for tests and the bench.
 
-On a cluster the session comes from the submitter: nothing here overrides its shuffle partition
-count, memory or checkpoint folder. Every operator works on any session passed in.
+`running_session` sets nothing: master, shuffle partitions, memory, time zone and checkpoint folder are
+those of the submitter or of the session that runs already. Every operator works on any session.
 """
 
 from __future__ import annotations
@@ -11,6 +11,11 @@ import os
 from pyspark.sql import SparkSession
 
 
+def running_session(app_name: str = "barscreen") -> SparkSession:
+    """The session of this process, or a new one with the submitter's settings."""
+    return SparkSession.builder.appName(app_name).getOrCreate()
+
+
 def build_session(app_name: str = "barscreen", cores: int | None = None) -> SparkSession:
     """A local session with the settings the operators are tested with."""
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))

@@ -26,14 +26,20 @@ class Responses(NamedTuple):
 
 
 def read_candles(
-    spark: SparkSession, path: str, windows: list[tuple[int, int]], as_of: Instant
+    spark: SparkSession,
+    path: str,
+    windows: list[tuple[int, int]],
+    as_of: Instant,
+    unfinished: bool = False,
 ) -> DataFrame:
     """Bars of the candle table within the look-back of each `(interval_min, days_back)`.
 
+    A bar that ends after `as_of` is left out unless `unfinished` asks for it.
+
     `sinks.write_candles` partitions by interval and day, so whole directories are skipped; within
     the files the bounds on `ts` reach the Parquet reader.
     """
-    recent = clean_prices(lookback(spark.read.parquet(path), windows, as_of))
+    recent = clean_prices(lookback(spark.read.parquet(path), windows, as_of, unfinished))
     if "day" not in recent.columns:
         return recent
     end = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of

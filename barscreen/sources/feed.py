@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barscreen.functions.instants import Instant, instant
 from barscreen.schemas import FEED_ITEM
 from barscreen.sources.storage import file_order_fields
 
 ROW_TAG = "item"
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Items of the landed documents with their order: latest document first, then as written."""
+def read_feed(
+    spark: SparkSession, path: str, as_of: Instant | None = None, since: timedelta = timedelta(0)
+) -> DataFrame:
+    """Items of the landed documents with their order: latest document first, then as written.
+
+    With `as_of`, the news of that moment: the newest document landed by then, and those that landed
+    up to `since` before it. Other files are not opened.
+    """
     items = spark.read.schema(FEED_ITEM).option("rowTag", ROW_TAG).xml(path)
-    newest_first = -F.unix_micros(F.col("_metadata.file_modification_time"))
+    landed = F.col("_metadata.file_modification_time")
+    if as_of is not None:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        known = listed.where(F.col("modificationTime") <= instant(as_of))
+        newest = known.agg(F.unix_micros(F.max("modificationTime")).alias("at")).first()["at"] or 0
+        low, high = newest - since // timedelta(microseconds=1), newest
+        items = items.where((landed >= F.timestamp_micros(F.lit(low))) & (landed <= F.timestamp_micros(F.lit(high))))
+    newest_first = -F.unix_micros(landed)
     return items.select(
         F.struct(newest_first.alias("landed"), *file_order_fields()).alias("feed_ord"),
         "title",

@@ -70,13 +70,21 @@ def read_fundamentals(
     headers = read_headers(spark, path, multi_line)
     extra = check_headers(headers)
     names = column_names(headers)
-    raw_schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
-    raw = _csv(spark, multi_line).option("header", True).schema(raw_schema).csv(path)
+    # Every file's header row is compared with the names of the schema, where they are names.
+    plain = len({h.lower() for h in headers}) == len(headers) and not any("Unnamed: " in h for h in headers)
+    cells = headers if plain else [f"c{i}" for i in range(len(headers))]
+    raw_schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+    reader = _csv(spark, multi_line).option("header", True).option("enforceSchema", not plain)
+    raw = reader.schema(raw_schema).csv(path)
+    raw = raw.select(
+        F.struct(*file_order_fields()).alias("ord"),
+        *[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(cells)],
+    )
 
     # Cells, typed columns and the list of bad cells are separate projections, so that every cell
     # is parsed once although it is referred to twice.
     cells = raw.select(
-        F.struct(*file_order_fields()).alias("ord"),
+        "ord",
         *[missing_to_null(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(headers))],
     )
 

@@ -8,35 +8,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barscreen.operators.master import incoming_companies, upsert
-from barscreen.schemas import MASTER
-from barscreen.sources.storage import committed_versions, version_path
+from barscreen.operators.candles import KEYS, VALUES
+from barscreen.schemas import MASTER, REQUIRED_HEADERS, snake
+from barscreen.sources.storage import (
+    committed_versions,
+    drop_versions,
+    next_version,
+    shared_dir,
+    version_path,
+)
 
 HELPERS = ["ord", "non_numeric"]
 
 
 def write_validated(frame: DataFrame, path: str, csv_path: str | None = None) -> None:
-    """Overwrite the validated table, row order included; optionally a CSV copy without it."""
+    """Overwrite the validated table, row order included; optionally a CSV copy without it.
+
+    The copy has the headers of the landed file, so `read_fundamentals` reads it again.
+    """
     frame.write.mode("overwrite").parquet(path)
     if csv_path is not None:
         stored = frame.sparkSession.read.parquet(path)
-        stored.orderBy("ord").drop(*HELPERS).write.mode("overwrite").csv(csv_path, header=True)
+        headers = {snake(h): h for h in REQUIRED_HEADERS}
+        named = stored.orderBy("ord").drop(*HELPERS)
+        named = named.toDF(*[headers.get(c, c) for c in named.columns])
+        named.write.mode("overwrite").csv(csv_path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss", escape='"')
 
 
-def write_candles(bars: DataFrame, path: str) -> None:
-    """Append-free rewrite of the candle table, partitioned by interval and day.
+def write_candles(bars: DataFrame, path: str, landed: str | None = None) -> None:
+    """Land bars in the candle table: one bar per (symbol, interval, time), the last landed standing.
 
-    The rebalance hint lets the runtime merge small days and split large ones, so that neither many
-    tiny files nor one huge task results.
+    Only the days that `bars` touch are rewritten, merged with what they hold; all others stay. Name
+    the landing order in `landed` where a bar may occur twice in `bars`; without it the choice among
+    such bars is by their values. Days are those of UTC, whatever the session's zone. The merged days
+    go to scratch storage first, since a day cannot be overwritten while it is read. The rebalance
+    hint merges small days and splits large ones.
     """
+    spark = bars.sparkSession
+    values = F.struct(*VALUES)
+    order = F.struct(F.lit(1), F.col(landed) if landed else F.lit(0), values)
+    new = bars.select(*KEYS, values.alias("bar"), order.alias("place"))
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    new = new.groupBy(*KEYS).agg(F.max_by("bar", "place").alias("bar"))
+    new = new.withColumn("day", F.date_from_unix_date(F.floor(seconds / 86400).cast("int")))
+    staged = shared_dir(spark, "candles-new")
+    new.write.parquet(staged)
+    new = spark.read.parquet(staged)
+    if _exists(spark, path):
+        held = spark.read.parquet(path).join(new.select("interval_min", "day").distinct(), ["interval_min", "day"], "left_semi")
+        held = held.select(*KEYS, values.alias("bar"), "day", F.lit(0).alias("turn"))
+        both = held.unionByName(new.withColumn("turn", F.lit(1)))
+        merged = shared_dir(spark, "candles-merged")
+        both.groupBy(*KEYS, "day").agg(F.max_by("bar", "turn").alias("bar")).write.parquet(merged)
+        new = spark.read.parquet(merged)
     (
-        bars.withColumn("day", F.to_date("ts"))
+        new.select(*KEYS, "bar.*", "day")
         .hint("rebalance", "interval_min", "day")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("interval_min", "day")
         .parquet(path)
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to `path`; an empty one has no partition to read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(root) and any(s.isDirectory() for s in fs.listStatus(root))
+
+
 def read_master(spark: SparkSession, root: str) -> DataFrame:
     """The latest committed company master; empty before the first write."""
     versions = committed_versions(spark, root)
@@ -45,16 +86,19 @@ def read_master(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MASTER).parquet(version_path(root, versions[-1]))
 
 
-def update_master(fundamentals: DataFrame, root: str) -> DataFrame:
+def update_master(fundamentals: DataFrame, root: str, keep: int | None = None) -> DataFrame:
     """Upsert the fundamentals rows into the master below `root` and return the new master.
 
     A table cannot be overwritten while it is read, so every update is a new version directory.
-    Its `_SUCCESS` marker commits it; a second writer of the same version fails.
+    Its `_SUCCESS` marker commits it; a second writer of the same version fails, and what a crashed
+    write left is passed over. With `keep` only so many committed versions stay.
     """
     spark = fundamentals.sparkSession
-    versions = committed_versions(spark, root)
     merged = upsert(read_master(spark, root), incoming_companies(fundamentals))
-    merged.write.mode("error").parquet(version_path(root, (versions or [0])[-1] + 1))
+    merged.write.mode("error").parquet(version_path(root, next_version(spark, root)))
+    if keep is not None:
+        versions = committed_versions(spark, root)
+        drop_versions(spark, root, below=versions[-min(keep, len(versions))])
     return read_master(spark, root)
 
 

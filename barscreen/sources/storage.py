@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,13 @@ VERSION = "version="
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder path below the cluster's checkpoint folder.
 
-    A machine-local folder is used only where the session names none, as in local tests.
+    A machine-local folder is used only where the session names none and runs on one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors see, for {name}")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -37,8 +42,17 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
+def next_version(spark: SparkSession, root: str) -> int:
+    """A number above that of every version folder, also of one that a crashed write left behind."""
+    return max(_versions(spark, root, committed=False), default=0) + 1
+
+
 def committed_versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the versions below `root` whose write was committed, ascending."""
+    return _versions(spark, root, committed=True)
+
+
+def _versions(spark: SparkSession, root: str, committed: bool) -> list[int]:
     fs, path = _file_system(spark, root)
     if not fs.exists(path):
         return []
@@ -46,7 +60,7 @@ def committed_versions(spark: SparkSession, root: str) -> list[int]:
     for status in fs.listStatus(path):
         name = status.getPath().getName()
         done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith(VERSION) and fs.exists(done):
+        if name.startswith(VERSION) and (not committed or fs.exists(done)):
             found.append(int(name[len(VERSION):]))
     return sorted(found)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from barscreen.operators.news import classify, shape_items
 from barscreen.schemas import FEED_ITEM
 from barscreen.sources.feed import ROW_TAG
+from barscreen.sources.storage import committed_versions, version_path
 
 
 def stream_feed(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -20,18 +22,33 @@ def stream_feed(spark: SparkSession, path: str, files_per_trigger: int | None =
     )
 
 
-def stream_announcements(items: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Classified announcements, each once although every poll repeats it.
+KEY = ["link", "title", "date"]
 
-    `delay` bounds both the lateness and how long a (link, title) is remembered. Items without a
-    readable date count as published when they landed.
-    """
+
+def announcements_of(items: DataFrame) -> DataFrame:
+    """Landed items shaped and classified, with `landed_at`."""
     order = F.lit(None).cast("bigint").alias("feed_ord")
     landed = items.select(order, "title", "link", "pubDate", "landed_at")
-    shaped = shape_items(landed, ["landed_at"])
-    return classify(
-        shaped.withColumn("event_time", F.coalesce("published_at", "landed_at"))
-        .withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(["link", "title"])
-        .drop("feed_ord", "landed_at")
-    )
+    return classify(shape_items(landed, ["landed_at"])).drop("feed_ord")
+
+
+def start_announcement_stream(items: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write every announcement once, when it first lands, to `out/version=<batch>`.
+
+    An announcement is what has the same link, title and date; how old its date is plays no part.
+    Each batch is compared with the keys of all announcements written before it, so a poll may repeat
+    an item after any time. A repeated batch overwrites its own folder and gives the same rows.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        first = F.min_by(F.struct(*[c for c in batch.columns if c not in KEY]), "landed_at").alias("first")
+        new = batch.groupBy(*KEY).agg(first).select(*KEY, "first.*")
+        known = [version_path(out, v) for v in committed_versions(spark, out) if v < batch_id]
+        if known:
+            new = new.join(spark.read.parquet(*known).select(*KEY), KEY, "left_anti")
+        new.select(*batch.columns).write.mode("overwrite").parquet(version_path(out, batch_id))
+
+    writer = announcements_of(items).writeStream.foreachBatch(write_batch)
+    writer = writer.option("checkpointLocation", checkpoint).outputMode("append")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -82,11 +82,12 @@ def test_lookback_includes_both_ends(spark):
     assert cd.lookback(bars, [(1440, 3)], as_of.isoformat(sep=" ")).count() == 4
 
 
-def test_recent_ticks_keep_every_tick_of_a_kept_bar(spark):
+def test_recent_ticks_end_at_the_moment(spark):
     ticks = random_ticks(spark)
     as_of = START + timedelta(days=20, hours=6)
     for interval_min in (240, 1440):
-        want = cd.lookback(cd.resample_ticks(ticks, interval_min), [(interval_min, 7)], as_of)
+        known = cd.resample_ticks(ticks.where(F.col("ts") <= F.lit(as_of)), interval_min)
+        want = cd.lookback(known, [(interval_min, 7)], as_of)
         recent = cd.recent_ticks(ticks, interval_min, 7, as_of)
         got = cd.lookback(cd.resample_ticks(recent, interval_min), [(interval_min, 7)], as_of)
         assert values(got) == values(want)
@@ -107,11 +108,30 @@ def test_candle_table_is_pruned_by_interval_and_day(spark, tmp_path):
     sinks.write_candles(bars, path)
     as_of = START + timedelta(days=59)
     found = read_candles(spark, path, [(1440, 10), (240, 365)], as_of)
-    assert values(found) == values(cd.lookback(bars, [(1440, 10), (240, 365)], as_of))
+    assert values(found) == values(cd.lookback(bars, [(1440, 10), (240, 365)], as_of, False))
+    assert read_candles(spark, path, [(1440, 10)], as_of, unfinished=True).count() == found.where(
+        "interval_min = 1440").count() + 2
     plan = found._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "interval_min" in plan.split("PartitionFilters: [")[1]
 
 
+def test_candle_table_grows_and_holds_each_bar_once(spark, tmp_path):
+    path = str(tmp_path / "candles")
+    first, second = random_series(1, 30), random_series(2, 20)
+    sinks.write_candles(bars_frame(spark, {"A": first}), path)
+    sinks.write_candles(bars_frame(spark, {"A": second}), path)
+    sinks.write_candles(bars_frame(spark, {"B": first}), path)
+    as_of = START + timedelta(days=100)
+    found = values(read_candles(spark, path, [(1440, 365)], as_of))
+    want = bars_frame(spark, {"A": second + first[20:], "B": first})
+    assert found == values(want)
+    twice = bars_frame(spark, {"A": first}).withColumn("n", F.lit(2)).unionByName(
+        bars_frame(spark, {"A": second + first[20:]}).withColumn("n", F.lit(1)))
+    sinks.write_candles(twice, path, landed="n")
+    assert values(read_candles(spark, path, [(1440, 365)], as_of).where("symbol = 'A'")) == values(
+        bars_frame(spark, {"A": first}))
+
+
 RESPONSES = [
     '{"symbol":"GOOD","interval_min":1440,"candles":[[1704067200,1,2,0.5,1.5,100],'
     '[1704153600,2,3,1.5,2.5,200]]}',

@@ -100,7 +100,11 @@ def landed(tmp_path):
     for folder in ("candles", "feed"):
         os.mkdir(tmp_path / folder)
     (tmp_path / "candles" / "r.json").write_text("\n".join(lines))
-    (tmp_path / "feed" / "poll.xml").write_text(document(["NEWS: dividend"]))
+    before, after = AS_OF.timestamp() - 3600, AS_OF.timestamp() + 3600
+    for name, title, at in (("old", "UP: loss", before - 3600), ("poll", "NEWS: dividend", before),
+                            ("later", "SHORT: dividend", after)):
+        (tmp_path / "feed" / f"{name}.xml").write_text(document([title]))
+        os.utime(tmp_path / "feed" / f"{name}.xml", (at, at))
     return tmp_path, csv
 
 
@@ -110,8 +114,10 @@ def test_command_line_run(spark, landed, capsys):
             "--out", f"{folder}/out", "--as-of", AS_OF.isoformat()]
     main(args)
     printed = capsys.readouterr().out.splitlines()
-    assert sorted(line for line in printed if line.startswith("Failed")) == [
-        "Failed SHORT: short_daily", "Failed WIDE: bad_candle_row"]
+    assert [line for line in printed if line.startswith("Failed")] == [
+        "Failed, bad_candle_row: 1", "Failed, short_daily: 1"]
+    failed = spark.read.parquet(f"{folder}/out/failures").collect()
+    assert sorted(map(tuple, failed)) == [("SHORT", "short_daily"), ("WIDE", "bad_candle_row")]
     after = printed[printed.index("Final shortlist:") + 1:]
     assert after == ["UP: Daily uptrend; Daily BOS confirmed", "NEWS: Positive news/announcement"]
 

@@ -1,4 +1,5 @@
 import os
+import shutil
 from datetime import timedelta
 
 import pytest
@@ -8,11 +9,10 @@ from barscreen.operators import candles as cd
 from barscreen.operators import signals
 from barscreen.sources.storage import committed_versions
 from barscreen.streaming.bars import stream_bars
-from barscreen.streaming.feed import stream_announcements, stream_feed
+from barscreen.streaming.feed import start_announcement_stream, stream_feed
 from barscreen.streaming.signals import start_signal_stream
 from tests.helpers import START
 from tests.test_candles import TICKS
-from tests.test_news import document
 
 DAYS = 12
 
@@ -93,20 +93,36 @@ def test_rolling_signals_equal_the_batch_history(spark, tick_files, tmp_path):
     assert same(run_signals(spark, tick_files, tmp_path), want)
 
 
+def feed_item(title, date, link=""):
+    return f"<item><title>{title}</title><link>{link}</link><pubDate>{date}</pubDate></item>"
+
+
 def test_polls_of_the_feed_give_each_announcement_once(spark, tmp_path):
+    """An old date, one title on two dates and an item that is still there after a year."""
     polls = tmp_path / "polls"
     polls.mkdir()
-    titles = ["A: bonus", "B: loss", "plain"]
-    for n in range(3):
+    new, old = "Mon, 29 Jan 2024 10:00:00 +0000", "Sun, 31 Dec 2023 10:00:00 +0000"
+    kept = feed_item("A: bonus", new)
+    documents = [kept, kept + feed_item("C: late bonus", old, "x"), feed_item("A: bonus", old) + kept, kept]
+    for n, body in enumerate(documents):
         path = polls / f"poll{n}.xml"
-        path.write_text(document(titles[: n + 1]))
-        os.utime(path, (1000 + n, 1000 + n))
-    query = (
-        stream_announcements(stream_feed(spark, str(polls), files_per_trigger=1))
-        .writeStream.format("parquet").option("path", f"{tmp_path}/out")
-        .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+        path.write_text(f"<rss><channel>{body}</channel></rss>")
+        os.utime(path, (1000 + n * 40_000_000, 1000 + n * 40_000_000))
+    start_announcement_stream(
+        stream_feed(spark, str(polls), files_per_trigger=1), f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    ).awaitTermination()
     found = spark.read.parquet(f"{tmp_path}/out")
-    assert sorted((r["symbol"], r["title"], r["sentiment"]) for r in found.collect()) == [
-        ("", "plain", "Neutral"), ("A", "A: bonus", "Positive"), ("B", "B: loss", "Negative")]
+    assert sorted((r["version"], r["symbol"], r["date"], r["sentiment"]) for r in found.collect()) == [
+        (0, "A", new, "Positive"), (1, "C", old, "Positive"), (2, "A", old, "Positive")]
+
+
+def test_lost_state_is_an_error(spark, tick_files, tmp_path):
+    run_signals(spark, tick_files, tmp_path)
+    shutil.rmtree(tmp_path / "state")
+    commits = tmp_path / "checkpoint" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        if (commits / name).exists():
+            (commits / name).unlink()
+    with pytest.raises(Exception, match="is gone"):
+        run_signals(spark, tick_files, tmp_path)
