@@ -29,15 +29,25 @@ def column_type(df: DataFrame, name: str) -> T.DataType:
 def bucket_start(df: DataFrame, ts: str, minutes: int, offset_minutes: int = 0) -> Column:
     """Start of the bar that `ts` falls into, in the type of `ts`.
 
-    Whole days follow the calendar (session zone for TIMESTAMP); shorter bars are counted from the
-    epoch, shifted by `offset_minutes`.
+    Bars of every length are counted from 1970-01-01 00:00 of the wall clock (the session's zone for
+    TIMESTAMP), shifted by `offset_minutes`, in batches and streams alike; so days begin at midnight
+    and shorter bars nest in longer ones. The hour that a clock goes through twice is one hour.
     """
     kind = column_type(df, ts)
     if minutes == 1440 and offset_minutes == 0:
         return F.to_date(F.col(ts)).cast(kind)
-    return F.window(
-        F.col(ts), f"{minutes} minutes", startTime=f"{offset_minutes} minutes"
-    )["start"]
+    t = F.col(ts)
+    passed = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")) * 1440 + F.hour(t) * 60 + F.minute(t)
+    begun = F.floor((passed - offset_minutes) / minutes) * minutes + offset_minutes
+    epoch = F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
+    return (epoch + F.make_dt_interval(mins=begun.cast("int"))).cast(kind)
+
+
+def check_nesting(fine: int, coarse: int, fine_offset: int = 0, coarse_offset: int = 0) -> None:
+    """Refuse a roll-up whose bars would cut the finer ones."""
+    if coarse % fine or (coarse_offset - fine_offset) % fine:
+        raise ValueError(
+            f"bars of {coarse} minutes from {coarse_offset} cut bars of {fine} minutes from {fine_offset}")
 
 
 def day_number(ts: Column) -> Column:

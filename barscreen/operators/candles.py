@@ -8,7 +8,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.functions.instants import Instant, bucket_start, column_type, instant
+from barscreen.functions.instants import (
+    Instant,
+    bucket_start,
+    check_nesting,
+    column_type,
+    instant,
+)
 
 KEYS = ["symbol", "interval_min", "ts"]
 VALUES = ["open", "high", "low", "close", "volume"]
@@ -62,8 +68,18 @@ def _merged() -> list[Column]:
     ]
 
 
-def rollup_bars(bars: DataFrame, interval_min: int, offset_minutes: int = 0) -> DataFrame:
-    """Finer bars to bars of a multiple of their interval; the ticks are not read again."""
+def rollup_bars(
+    bars: DataFrame,
+    interval_min: int,
+    offset_minutes: int = 0,
+    fine: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Finer bars to bars of a multiple of their interval; the ticks are not read again.
+
+    Name the interval and offset of `bars` in `fine` to have it checked that they nest.
+    """
+    if fine is not None:
+        check_nesting(fine[0], interval_min, fine[1], offset_minutes)
     return (
         bars.withColumn("bar", bucket_start(bars, "ts", interval_min, offset_minutes))
         .groupBy("symbol", "bar")
@@ -73,18 +89,26 @@ def rollup_bars(bars: DataFrame, interval_min: int, offset_minutes: int = 0) ->
     )
 
 
-def timeframes(bars: DataFrame, intervals: list[int]) -> DataFrame:
+def timeframes(
+    bars: DataFrame,
+    intervals: list[int],
+    offset_minutes: int = 0,
+    fine: tuple[int, int] | None = None,
+) -> DataFrame:
     """Bars of several intervals from one pass over finer bars, clustered by symbol.
 
     Each interval is a multiple of that of `bars`. Every finer bar is sent once, to its symbol, and
     takes part in one bar of each interval there; what follows per symbol needs no other shuffle.
-    A symbol's finer bars meet in one task, so bound them by a look-back first.
+    A symbol's finer bars meet in one task, so bound them by a look-back first. `fine` is as for
+    `rollup_bars`.
     """
+    for minutes in intervals if fine is not None else []:
+        check_nesting(fine[0], minutes, fine[1], offset_minutes)
     starts = F.array(
         *[
             F.struct(
                 F.lit(minutes).alias("interval_min"),
-                bucket_start(bars, "ts", minutes).alias("start"),
+                bucket_start(bars, "ts", minutes, offset_minutes).alias("start"),
             )
             for minutes in intervals
         ]

@@ -1,12 +1,14 @@
 import os
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from barscreen.operators import candles as cd
 from barscreen.plans import screen
 from barscreen.sources import sinks
 from barscreen.sources.candles import parse_responses, read_candles, read_responses
+from barscreen.streaming.bars import missed_bars, stream_bars
 from tests.helpers import START, bars_frame, random_series
 
 TICKS = "symbol string, ts timestamp, seq bigint, price double, volume bigint"
@@ -94,6 +96,46 @@ def test_recent_ticks_end_at_the_moment(spark):
         assert recent.count() < ticks.count()
 
 
+@pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/New_York"])
+def test_bars_start_alike_in_any_zone(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        path = str(tmp_path / "ticks")
+        random_ticks(spark).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(path)
+        ticks = spark.read.parquet(path)
+        for offset in (0, 15):
+            fine = cd.resample_ticks(ticks, 240, offset)
+            days = cd.resample_ticks(ticks, 1440, offset)
+            want = values(days)
+            assert values(cd.rollup_bars(fine, 1440, offset, fine=(240, offset))) == values(days) == want
+            found = cd.timeframes(fine, [240, 1440], offset, fine=(240, offset))
+            assert values(found.where("interval_min = 1440").select(days.columns)) == want
+            assert {t for t, in days.select(F.date_format("ts", "HH:mm")).collect()} == {f"00:{offset:02}"}
+        stream = stream_bars(spark.readStream.schema(ticks.schema).parquet(path), 1440, "0 seconds")
+        query = (stream.writeStream.format("parquet").option("path", f"{tmp_path}/out")
+                 .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start())
+        query.awaitTermination()
+        closed = values(spark.read.parquet(f"{tmp_path}/out"))
+        assert closed and set(closed) <= set(values(cd.resample_ticks(ticks, 1440)))
+        streamed = spark.read.parquet(f"{tmp_path}/out")
+        some = streamed.where("symbol <> 'S0'").unionByName(
+            streamed.where("symbol = 'S0'").withColumn("volume", F.col("volume") - 1))
+        end = ticks.agg(F.max("ts").cast("string")).first()[0]
+        missed = missed_bars(ticks, some, 1440, end)
+        assert {r.symbol for r in missed.collect()} == {"S0"} and missed_bars(ticks, streamed, 1440, end).isEmpty()
+        assert values(missed) == [v for v in closed if v[0] == "S0"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_roll_up_that_cuts_bars_is_refused(spark):
+    bars = bars_frame(spark, {"A": [(1, 2, 0, 1)]})
+    for coarse, offset, fine in ((300, 0, (240, 0)), (1440, 30, (240, 0)), (1440, 0, (240, 30))):
+        with pytest.raises(ValueError, match="cut bars"):
+            cd.rollup_bars(bars, coarse, offset, fine=fine)
+
+
 def test_the_bar_that_landed_last_stands(spark):
     bars = bars_frame(spark, {"A": [(1, 2, 0, 1)]}).withColumn("ord", F.lit(1))
     again = bars_frame(spark, {"A": [(5, 6, 4, 5)]}).withColumn("ord", F.lit(2))
