@@ -35,6 +35,8 @@ def main(argv: list[str] | None = None) -> None:
         spark, validated, args.feed, args.as_of, args.out,
         candle_table=args.candles, responses=args.responses, mapping=args.mapping,
     )
+    if args.responses is not None:
+        print(f"Unreadable lines: {spark.read.parquet(f'{args.out}/rejects').count()}")
     screened.failures.write.mode("overwrite").parquet(f"{args.out}/failures")
     for row in screened.failures.groupBy("cause").count().orderBy("cause").collect():
         print(f"Failed, {row['cause']}: {row['count']}")

@@ -264,9 +264,11 @@ select {CANDLE_COLUMNS} from bars where ts >= timestamp '2024-01-20 12:00:00' -
 from events qualify row_number() over (
   partition by user_id, date_trunc('day', ts) order by event_id desc) = 1""",
     "candle_responses": f"""with {DELIVERED}
-select {CANDLE_COLUMNS}, ord from delivered where not {BAD}""",
+select {CANDLE_COLUMNS}, ord from delivered where not {BAD} and right(symbol, 1) <> '5'""",
     "bad_candle_series": f"""with {DELIVERED}
 select distinct symbol, interval_min from delivered where {BAD}""",
+    "landing_rejects": f"""with {DELIVERED}
+select distinct symbol, false as is_whole from delivered where right(symbol, 1) = '5'""",
     "latest_trend": _latest("trend", TREND),
     "latest_bullish_bos": _latest("bullish_bos", BULLISH_BOS),
     "latest_bearish_bos": _latest("bearish_bos", BEARISH_BOS),

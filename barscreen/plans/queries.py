@@ -134,6 +134,8 @@ def restated_bars(spark, sf_dir):
 # Of every ten instruments, by the last digit of the number, one is delivered with times in
 # milliseconds and one without volumes.
 MILLISECONDS, NO_VOLUME = "3", "7"
+# One has its line cut in the middle.
+CUT = "5"
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +167,10 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _landed_responses(spark: SparkSession, sf_dir: str) -> candle_source.Responses:
     path = shared_dir(spark, "responses")
-    _responses(spark, sf_dir).write.json(path)
+    line = F.to_json(F.struct("symbol", "interval_min", "candles"))
+    half = F.substring(line, F.lit(1), (F.length(line) / 2).cast("int"))
+    cut = F.when(F.right("symbol", F.lit(1)) == CUT, half).otherwise(line)
+    _responses(spark, sf_dir).select(cut.alias("value")).write.text(path)
     return candle_source.parse_responses(candle_source.read_responses(spark, path))
 
 
@@ -181,6 +186,14 @@ def bad_candle_series(spark, sf_dir):
     return _landed_responses(spark, sf_dir).bad_series
 
 
+def landing_rejects(spark, sf_dir):
+    """Instruments whose lines could not be read, by what is left of them."""
+    record = F.col("record")
+    return _landed_responses(spark, sf_dir).rejects.select(
+        F.regexp_extract(record, r'"symbol":"([0-9]+)"', 1).alias("symbol"),
+        record.endswith("}").alias("is_whole"))
+
+
 # Signals and zones ---------------------------------------------------------------------------
 
 
@@ -550,6 +563,7 @@ QUERIES: dict[str, Query] = {
     "restated_bars": restated_bars,
     "candle_responses": candle_responses,
     "bad_candle_series": bad_candle_series,
+    "landing_rejects": landing_rejects,
     "latest_trend": _latest("trend"),
     "latest_bullish_bos": _latest("bullish_bos"),
     "latest_bearish_bos": _latest("bearish_bos"),

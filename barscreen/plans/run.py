@@ -73,7 +73,9 @@ def screen_stored(
     if candle_table is not None:
         bars, landed = read_candles(spark, candle_table, [DAILY, FOUR_HOUR], as_of), None
     elif responses is not None:
-        bars, bad_series = load_responses(spark, responses)
+        loaded = load_responses(spark, responses)
+        bars, bad_series = loaded.candles, loaded.bad_series
+        loaded.rejects.write.mode("overwrite").parquet(f"{out}/rejects")
         landed = "landed"
     else:
         raise ValueError("give a candle table or candle responses")

@@ -83,12 +83,15 @@ CANDLE = T.StructType(
     ]
 )
 
-# One landed broker response per row; each inner array is one candle.
+# One landed broker response per row; each inner array is one candle. Cells are read as text, so that
+# one that is no number spoils its response visibly and not all candles silently; lines that are no
+# JSON objects are kept as they are.
 CANDLE_RESPONSE = T.StructType(
     [
         T.StructField("symbol", T.StringType()),
         T.StructField("interval_min", T.IntegerType()),
-        T.StructField("candles", T.ArrayType(T.ArrayType(T.DoubleType()))),
+        T.StructField("candles", T.ArrayType(T.ArrayType(T.StringType()))),
+        T.StructField("_corrupt_record", T.StringType()),
     ]
 )
 

@@ -23,6 +23,7 @@ MAX_EPOCH_SECONDS = 9223372036
 class Responses(NamedTuple):
     candles: DataFrame
     bad_series: DataFrame
+    rejects: DataFrame | None = None
 
 
 def read_candles(
@@ -60,34 +61,51 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     landed = F.struct(
         F.col("_metadata.file_modification_time").alias("at"), *file_order_fields()
     )
-    return responses.select("*", landed.alias("landed"))
+    return responses.select("*", landed.alias("landed"), F.col("_metadata.file_path").alias("file"))
+
+
+def cell_number(cell: Column) -> Column:
+    """A cell as a number; text that only a programming language takes for one is none."""
+    text = cell.cast("string")
+    return F.when(~text.rlike("[dDfF]$"), text.try_cast("double"))
 
 
 def response_is_bad() -> Column:
-    """No candle has all six fields, one has more, or a time is no valid epoch second."""
+    """No candle has all six fields, one has more, a cell is no number, or a time no epoch second."""
     widest = F.array_max(F.transform("candles", F.size))
-    out_of_range = F.exists("candles", lambda c: F.abs(F.get(c, 0)) > MAX_EPOCH_SECONDS)
+    out_of_range = F.exists("candles", lambda c: F.abs(cell_number(F.get(c, 0))) > MAX_EPOCH_SECONDS)
+    text = F.exists("candles", lambda c: F.exists(c, lambda x: x.isNotNull() & cell_number(x).isNull()))
     return (F.size("candles") > 0) & (
-        (widest != len(FIELDS)) | F.coalesce(out_of_range, F.lit(False))
+        (widest != len(FIELDS)) | F.coalesce(out_of_range, F.lit(False)) | F.coalesce(text, F.lit(False))
     )
 
 
 def parse_responses(responses: DataFrame) -> Responses:
-    """Candle rows of the good responses, and the (symbol, interval_min) of the bad ones.
+    """Candle rows of the good responses, the (symbol, interval_min) of the bad ones, and the rejects.
+
+    Rejects are lines that could not be read: (file, record). One whose symbol could still be read is
+    a bad series too.
 
     A response without candles has no rows. Candles shorter than the others have null fields.
     `ord` is the place in the response; `landed`, if the responses have it, the place among all
     landed candles. Candles without a time cannot be placed and are left out.
     """
+    rejects = None
+    unread = F.lit(False)
+    if "_corrupt_record" in responses.columns:
+        unread = F.col("_corrupt_record").isNotNull()
+        # The symbol is asked for too, since Spark refuses to read nothing but unreadable records.
+        rejects = responses.select("symbol", "file", F.col("_corrupt_record").alias("record"))
+        rejects = rejects.where("record is not null")
     whole = responses.withColumn("candles", F.coalesce("candles", F.array())).withColumn(
-        "bad", F.coalesce(response_is_bad(), F.lit(False))
+        "bad", F.coalesce(response_is_bad(), F.lit(False)) | unread
     )
-    bad_series = whole.where("bad").select("symbol", "interval_min").distinct()
+    bad_series = whole.where("bad and symbol is not null").select("symbol", "interval_min").distinct()
     kept = ["landed"] if "landed" in responses.columns else []
     rows = whole.where("not bad").select(
         "symbol", "interval_min", *kept, F.posexplode("candles").alias("ord", "candle")
     )
-    field = {name: nan_to_null(F.get("candle", i)) for i, name in enumerate(FIELDS)}
+    field = {name: nan_to_null(cell_number(F.get("candle", i))) for i, name in enumerate(FIELDS)}
     candles = rows.select(
         "symbol",
         "interval_min",
@@ -97,4 +115,4 @@ def parse_responses(responses: DataFrame) -> Responses:
         "ord",
         *[F.struct("landed.*", "ord").alias("landed") for _ in kept],
     ).where(F.col("ts").isNotNull())
-    return Responses(candles, bad_series)
+    return Responses(candles, bad_series, rejects)

@@ -183,6 +183,9 @@ RESPONSES = [
     '{"symbol":"WIDE","interval_min":240,"candles":[[1704067200,1,2,0.5,1.5,1,7],'
     '[1704153600,2,3,1.5,2.5,200]]}',
     '{"symbol":"MILLIS","interval_min":1440,"candles":[[1704067200000,1,2,0.5,1.5,100]]}',
+    '{"symbol":"TEXT","interval_min":1440,"candles":[["2024-01-01",1,2,0.5,1.5,100]]}',
+    '{"symbol":"PRICE","interval_min":240,"candles":[[1704067200,1,"n.a.",0.5,1.5,100]]}',
+    '{"symbol":"CUT","interval_min":1440,"candles":[[17040672',
     '{"symbol":"NONE","interval_min":1440}',
     '{"symbol":"EMPTY","interval_min":1440,"candles":[]}',
 ]
@@ -192,7 +195,8 @@ def test_candle_responses(spark, tmp_path):
     (tmp_path / "r.json").write_text("\n".join(RESPONSES))
     parsed = parse_responses(read_responses(spark, str(tmp_path)))
     bad = sorted((r["symbol"], r["interval_min"]) for r in parsed.bad_series.collect())
-    assert bad == [("MILLIS", 1440), ("NARROW", 1440), ("WIDE", 240)]
+    assert bad == [("MILLIS", 1440), ("NARROW", 1440), ("PRICE", 240), ("TEXT", 1440), ("WIDE", 240)]
+    assert [r["record"] for r in parsed.rejects.collect()] == [r for r in RESPONSES if "CUT" in r]
     rows = sorted(
         ((r["symbol"], r["ts"], r["open"], r["volume"], r["ord"]) for r in parsed.candles.collect()),
         key=str,
