@@ -32,8 +32,8 @@ LENGTH = 400
 GRAM = 32
 #: Symbols of a shard whose suffix array is built at once, about.
 SHARD = 1 << 20
-#: Distinct texts that may share an owner within a shard.
-MOST = 2000
+#: Distinct texts that may share an owner within a shard: about 3 MB of fragments, 300 MB of arrays.
+MOST = 5000
 #: Bytes of text whose windows are found at once.
 BLOCK = 1 << 19
 #: Alphabets up to this size are induced bucket by bucket, larger ones suffix by suffix.
@@ -250,7 +250,7 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
 
 
 def window_owners(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Place and hash of the owner of every window of `length` bytes: the rightmost least gram in it."""
+    """Place of the owner of every window of `length` bytes, the rightmost least gram; all grams' hashes."""
     hashes = gram_hashes(data, gram)
     width, n = length - gram + 1, len(hashes)
     low = np.uint64((1 << 20) - 1)
@@ -263,11 +263,30 @@ def window_owners(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.n
     starts = np.arange(n - width + 1)
     least = np.minimum(behind[starts], ahead[starts + width - 1])
     place = (low - (least & low)).astype(np.int64)
-    return place, hashes[place]
+    return place, hashes
 
 
-def owner_runs(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(text number, first window, last window, owner's hash as a long) of each run of windows."""
+def surroundings(hashes: np.ndarray, place: np.ndarray, size: int, steps: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each owner with the `steps` grams before and after it; 0 where the text has fewer.
+
+    `hashes` are those of one text of `size` bytes.
+    """
+    out = []
+    for way in (-1, 1):
+        mark, reach = hashes[place] ^ np.uint64(way + 2), place + way * gram * steps
+        for k in range(1, steps + 1):
+            mark = (mark ^ hashes[np.clip(place + way * gram * k, 0, len(hashes) - 1)]) * np.uint64(0x9E3779B97F4A7C15)
+            mark ^= mark >> np.uint64(32)
+        out.append(np.where((reach >= 0) & (reach + gram <= size), mark | np.uint64(1), 0))
+    return out[0], out[1]
+
+
+def owner_runs(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(text number, first window, last window, owner, before, after) of each run of windows.
+
+    The last three are hashes, as longs, of the owner by itself and with what surrounds it.
+    """
+    steps = (length - GRAM) // 2 // GRAM
     pieces = [
         (k, at, t[at : at + BLOCK + length - 1])
         for k, t in enumerate(texts)
@@ -285,9 +304,11 @@ def owner_runs(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int,
             own = place[begin : begin + len(piece) - length + 1]
             first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
             last = np.concatenate([first[1:], [len(own)]]) - 1
-            marks = hashes[begin + first].view(np.int64)
-            for a, b, h in zip((first + at).tolist(), (last + at).tolist(), marks.tolist()):
-                yield number, a, b, h
+            inside = hashes[begin : begin + len(piece) - GRAM + 1]
+            owner = own[first] - begin
+            marks = [inside[owner], *surroundings(inside, owner, len(piece), steps)]
+            for row in zip((first + at).tolist(), (last + at).tolist(), *(m.view(np.int64).tolist() for m in marks)):
+                yield number, *row
             begin += len(piece)
 
 
@@ -298,12 +319,13 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
             found = list(owner_runs(texts, length))
-            number, low, high, owner = zip(*found) if found else ((), (), (), ())
+            number, low, high, *marks = zip(*found) if found else [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(number, pa.int64())), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(owner, pa.int64())],
-                ["key", "low", "high", "owner"])
+                [batch.column("key").take(pa.array(number, pa.int64())), pa.array(low, pa.int32()), pa.array(high, pa.int32()),
+                 *[pa.array(m, pa.int64()) for m in marks]],
+                ["key", "low", "high", "owner", "before", "after"])
 
-    return rows.select("key", "text").mapInArrow(run, "key binary, low int, high int, owner long")
+    return rows.select("key", "text").mapInArrow(run, "key binary, low int, high int, owner long, before long, after long")
 
 
 def _fragments(held: DataFrame, length: int) -> DataFrame:
@@ -333,6 +355,12 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last + length).tolist()))
 
 
+def _span_rows(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+    key, begin, end = zip(*rows) if rows else ((), (), ())
+    arrays = [pa.array(key, pa.binary()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())]
+    return pa.RecordBatch.from_arrays(arrays, ["key", "begin", "end"])
+
+
 def _repeats_in_shards(fragments: DataFrame, length: int, shard: int) -> DataFrame:
     """(key, begin, end): covered bytes, by the suffix arrays of shards of whole owners."""
 
@@ -363,29 +391,44 @@ def _repeats_in_shards(fragments: DataFrame, length: int, shard: int) -> DataFra
                 for a, b in _spans(starts, length)
                 for k in own
             ]
-            key, begin, end = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.binary()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["key", "begin", "end"])
+            yield _span_rows(out)
 
     dealt = fragments.repartition("owner").sortWithinPartitions("owner", "key", "low")
     return dealt.mapInArrow(run, "key binary, begin int, end int")
 
 
 def _repeats_by_digest(fragments: DataFrame, length: int) -> DataFrame:
-    """The same for owners that too many texts hold: their windows are compared one by one."""
+    """The same for owners that too many texts hold: their windows are compared one by one.
+
+    Equal fragments are combined first, so what all the texts share is looked at once.
+    """
+    alike = fragments.groupBy("bytes", "windows").agg(F.sum("copies").alias("copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 data, n = row["bytes"], row["windows"]
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array([row["key"]] * n, pa.binary()), "begin": pa.array(range(row["low"], row["low"] + n), pa.int32()),
-                    "copies": pa.array([row["copies"]] * n, pa.int64()),
+                    "part": pa.array([hashlib.sha256(data).digest()] * n, pa.binary()), "windows": pa.array([n] * n, pa.int32()),
+                    "start": pa.array(range(n), pa.int32()), "copies": pa.array([row["copies"]] * n, pa.int64()),
                     "digest": pa.array([hashlib.sha256(data[k : k + length]).digest() for k in range(n)], pa.binary())})
 
-    windows = fragments.mapInArrow(run, "key binary, begin int, copies long, digest binary")
+    windows = alike.mapInArrow(run, "part binary, windows int, start int, copies long, digest binary")
     again = windows.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select("digest")
-    return windows.join(again, "digest").select("key", "begin", (F.col("begin") + length).alias("end"))
+    found = windows.join(again, "digest").groupBy("part", "windows").agg(F.collect_list("start").alias("starts"))
+    owned = fragments.select("key", "low", "windows", F.unhex(F.sha2("bytes", 256)).alias("part"))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                (row["key"], row["low"] + a, row["low"] + b)
+                for row in batch.to_pylist()
+                for a, b in _spans(np.sort(np.array(row["starts"])), length)
+            ]
+            yield _span_rows(out)
+
+    held = owned.join(found, ["part", "windows"]).select("key", "low", "starts")
+    return held.mapInArrow(spans, "key binary, begin int, end int")
 
 
 def without_repeats(
@@ -401,9 +444,14 @@ def without_repeats(
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     long = rows.where(F.octet_length("text") >= length)
-    runs = stored(_runs(long, length).groupBy("key", "low", "high", "owner").agg(F.count("*").alias("copies")), "runs")
-    owners = runs.groupBy("owner").agg(F.sum("copies").alias("held"), F.count("*").alias("texts"))
-    owners = owners.where("held > 1").select("owner", (F.col("texts") > most).alias("common"))
+    runs = _runs(long, length).groupBy("key", "low", "high", "owner", "before", "after")
+    runs = stored(runs.agg(F.count("*").alias("copies")), "runs")
+    # A window holds its owner with all that stands on one side of it within half a window, so equal
+    # windows agree in what is before or after the owner; other runs cannot hold a repeated window.
+    marked = runs.select("*", F.explode(F.array_remove(F.array("before", "after"), 0)).alias("mark"))
+    marks = marked.groupBy("mark").agg(F.sum("copies").alias("held")).where("held > 1").select("mark")
+    runs = stored(marked.join(marks, "mark").select("key", "low", "high", "owner", "copies").distinct(), "candidates")
+    owners = runs.groupBy("owner").agg((F.count("*") > most).alias("common"))
     by_text = runs.join(owners, "owner").groupBy("key").agg(
         F.collect_list(F.struct("low", "high", "owner", "copies", "common")).alias("runs"))
     # Copies of a text have the same runs, so one of them is looked at.

@@ -69,6 +69,17 @@ def test_removed_bytes(spark, most, shard, monkeypatch):
     assert sorted((*r[:4], bytes(r[4])) for r in got) == brute([t for _, t in rows], 40)
 
 
+def test_surroundings_lose_no_repeat(spark, monkeypatch):
+    """Windows long enough for grams on both sides of an owner."""
+    draw = random.Random(3)
+    base = "".join(draw.choices("abcde ", k=700))
+    rows = [(0, base), (1, "x" * 30 + base[100:420] + "y" * 300), (2, base[380:] + "z"), (3, base[150:349]), (4, "c" * 90 + base[:230])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (100, 200):
+        got = suffix.without_repeats(docs, length=length).drop("doc_id").collect()
+        assert sorted((*r[:4], bytes(r[4])) for r in got) == brute([t for _, t in rows], length)
+
+
 def test_given_table(spark):
     rows = table(spark, SF, "documents").select("text").collect()
     got = QUERIES["op6_suffix_array_dedup"](spark, SF).drop("doc_id").collect()
