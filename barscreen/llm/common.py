@@ -85,6 +85,18 @@ def _offsets(strings: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
+#: What a worker keeps from one task of a job to the next: the job's mark and its caches.
+_KEPT: list = ["", None]
+
+
+def kept(mark: str, make):
+    """The caches of the job `mark`, made once per worker; those of any other job are let go first."""
+    if _KEPT[0] != mark:
+        _KEPT[:] = ["", None]
+        _KEPT[:] = [mark, make()]
+    return _KEPT[1]
+
+
 class Numbered:
     """Numbers for words, given as they first appear; all forgotten once `most` are known.
 

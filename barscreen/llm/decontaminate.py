@@ -19,6 +19,7 @@ repeated rows are reported alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import Numbered, text_batches
+from barscreen.llm.common import Numbered, kept, text_batches
 
 SHINGLE = 5
 RADIUS = 16
@@ -192,10 +193,10 @@ def leaks(
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for rows in _blocks(items, item_col, item_text_col, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, shingle, radius, least))
+        shared, mark = docs.sparkSession.sparkContext.broadcast(Items(rows, shingle, radius, least)), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found, words = shared.value, Numbered(word_hashes)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, mark=mark) -> Iterator[pa.RecordBatch]:
+            found, words = shared.value, kept(mark, lambda: Numbered(word_hashes))
             for batch, texts in text_batches(batches):
                 rows = []
                 for doc, (hashes, place) in zip(batch.column("doc_id").to_pylist(), _hashed(texts, words)):
@@ -229,10 +230,10 @@ def without_leaks(
     """The rows of `docs`, all columns, that hold no benchmark item."""
     at = docs.columns.index(text_col)
     for rows in _blocks(items, item_col, item_text_col, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, shingle, radius, least))
+        shared, mark = docs.sparkSession.sparkContext.broadcast(Items(rows, shingle, radius, least)), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found, words = shared.value, Numbered(word_hashes)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, mark=mark) -> Iterator[pa.RecordBatch]:
+            found, words = shared.value, kept(mark, lambda: Numbered(word_hashes))
             for batch, texts in text_batches(batches, at):
                 clean = [not found.matches(hashes) for hashes, _ in _hashed(texts, words)]
                 yield batch.filter(pa.array(clean))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import text_batches
+from barscreen.llm.common import kept, text_batches
 
 #: First and last code point of scripts, as in Unicode's block chart.
 SCRIPTS = {
@@ -171,8 +171,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     chosen = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < share * float(1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("languages", lambda: None)
         total: dict[str, list[np.ndarray]] = {}
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, most=1 << 20):
             langs = np.array(batch.column("lang").to_pylist())
             for lang in set(langs.tolist()):
                 found = letters_of([texts[k] for k in np.flatnonzero(langs == lang)])
@@ -234,9 +235,10 @@ def identified(
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<begin:int,end:int,lang:string>>" * spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("languages", lambda: None)  # frees what an earlier job left in this worker
         model = shared.value
         names = np.array([*model.languages, UNKNOWN])
-        for batch, texts in text_batches(batches, most=2 << 20):
+        for batch, texts in text_batches(batches, most=1 << 20):
             best, score, found, docs_of, labels = labelled(model, texts, penalty)
             out = [batch.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score)]
             if spans:
@@ -267,7 +269,8 @@ def in_known_languages(docs: DataFrame, model: Model, least: float = 0.5, penalt
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, at, most=2 << 20):
+        kept("languages", lambda: None)
+        for batch, texts in text_batches(batches, at, most=1 << 20):
             best, score, *_ = labelled(shared.value, texts, penalty)
             yield batch.filter(pa.array((best < len(shared.value.languages)) & (score >= least)))
 

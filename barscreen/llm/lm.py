@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,16 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import Numbered, stored, text_batches
+from barscreen.llm.common import Numbered, kept, stored, text_batches
 
 #: The end of a text; no word holds a space.
 END = b" "
 #: Words that are classes of their own, and classes of the other words.
 OWN, OTHER = 1000, 23
 SIZE = 24
-NOISE = 100
+NOISE = 32
 BATCH = 1024
-ROUNDS = 2
+ROUNDS = 1
+RATE = 0.1
 FREQUENT = 1 << 19
 #: Distinct words a task counts before it hands them on.
 HELD = 300_000
@@ -139,17 +141,18 @@ class LogBilinear:
     @classmethod
     def new(cls, class_counts: np.ndarray, seed: int = 7) -> LogBilinear:
         draw, n = np.random.default_rng(seed), len(class_counts)
-        part = lambda *shape: draw.normal(0, 0.1, shape)
+        part = lambda *shape: draw.normal(0, 0.1, shape).astype(np.float32)
         share = (class_counts + 1) / (class_counts + 1).sum()
-        return cls(part(n, SIZE), part(n, SIZE), np.eye(SIZE) * 0.7, np.eye(SIZE) * 0.5, np.log(share))
+        eye = np.eye(SIZE, dtype=np.float32)
+        return cls(part(n, SIZE), part(n, SIZE), eye * np.float32(0.7), eye * np.float32(0.5), np.log(share).astype(np.float32))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.target, self.near, self.far, self.bias)])
+        return np.concatenate([x.ravel() for x in (self.context, self.target, self.near, self.far, self.bias)]).astype(np.float64)
 
     def with_weights(self, flat: np.ndarray) -> LogBilinear:
         parts, at = [], 0
         for x in (self.context, self.target, self.near, self.far, self.bias):
-            parts.append(flat[at : at + x.size].reshape(x.shape))
+            parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return LogBilinear(*parts)
 
@@ -174,20 +177,20 @@ class Trainer:
     """Noise-contrastive estimation by AdaGrad."""
 
     def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int):
-        self.model, self.log_noise = model, np.log(noise * NOISE)
+        self.model, self.log_noise = model, np.log(noise * NOISE).astype(np.float32)
         self.edges, self.draw = np.cumsum(noise), np.random.default_rng(seed)
-        self.sums = [np.full(x.shape, 1e-2) for x in (model.context, model.target, model.near, model.far, model.bias)]
+        self.sums = [np.full(x.shape, 1e-2, np.float32) for x in (model.context, model.target, model.near, model.far, model.bias)]
 
     def _step(self, k: int, weights: np.ndarray, slope: np.ndarray, rows: np.ndarray | None = None) -> None:
         if rows is None:
             self.sums[k] += slope**2
-            weights -= 0.05 * slope / np.sqrt(self.sums[k])
+            weights -= RATE * slope / np.sqrt(self.sums[k])
             return
         used, place = np.unique(rows, return_inverse=True)
         order = np.argsort(place, kind="stable")
         total = np.add.reduceat(slope[order], np.searchsorted(place[order], np.arange(len(used))), axis=0)
         self.sums[k][used] += total**2
-        weights[used] -= 0.05 * total / np.sqrt(self.sums[k][used])
+        weights[used] -= RATE * total / np.sqrt(self.sums[k][used])
 
     def learn(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
         m = self.model
@@ -197,8 +200,12 @@ class Trainer:
         own, theirs = m.target[word], m.target[noise]
         real = (predicted * own).sum(1) + m.bias[word] - self.log_noise[word]
         false = predicted @ theirs.T + (m.bias[noise] - self.log_noise[noise])
-        real = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1) / len(word)
-        false = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / len(word)
+        part = np.float32(1 / len(word))
+        real = (1 / (1 + np.exp(np.clip(-real, -30, 30))) - 1) * part
+        np.clip(false, -30, 30, out=false)
+        np.exp(np.negative(false, out=false), out=false)
+        false += 1
+        false = part / false
         back = real[:, None] * own + false @ theirs
         self._step(2, m.near, a.T @ back)
         self._step(3, m.far, b.T @ back)
@@ -219,11 +226,12 @@ def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, text_col: str = "
     rows = docs.select(F.col(text_col).alias("text"))
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((Words(0, 0, {}, words.own), model))
+        mark = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn, mark=mark) -> Iterator[pa.RecordBatch]:
             words, start = shared.value
             trainer = Trainer(start.with_weights(start.flat()), noise, turn)
-            known, seen = _classes(words), 0
+            known, seen = kept(mark, lambda: _classes(words)), 0
             for _, texts in text_batches(batches):
                 split = [tokens(t) for t in texts]
                 counts = np.array([len(s) for s in split])
@@ -271,17 +279,17 @@ class Scorer:
 def scored(docs: DataFrame, counts: DataFrame, words: Words, model: LogBilinear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast((words, model))
-    base = math.log10(words.total + words.distinct + 1)
+    base, mark = math.log10(words.total + words.distinct + 1), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = shared.value
-        scorer, ends = Scorer(model), len(words.own)
+        ends = len(words.own)
         parts = np.log10(words.class_parts)
 
         def row(new: list[bytes], first: bool) -> np.ndarray:  # class, count or -1 if it must be looked up
             return np.array([(words.class_of(w), words.counts.get(w, -1)) for w in new], np.int64).reshape(-1, 2)
 
-        known = Numbered(row, most=150_000)
+        scorer, known = kept(mark, lambda: (Scorer(model), Numbered(row, most=200_000)))
         for batch, texts in text_batches(batches, most=2 << 20):
             split = [tokens(t) for t in texts]
             sizes = np.array([len(s) for s in split])

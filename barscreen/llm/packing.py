@@ -14,10 +14,10 @@ an empty result.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import Numbered, text_batches
+from barscreen.llm.common import Numbered, kept, text_batches
 
 SEQUENCE = 4096
 END = 1
@@ -46,12 +46,6 @@ def parts_of(chunk: str) -> list[str]:
     return [chunk]
 
 
-@cache
-def worker_tokens(path: str) -> ChunkTokens:
-    """One store of tokens for all tasks that a worker runs."""
-    return ChunkTokens(path)
-
-
 class ChunkTokens:
     """Token ids of texts; `path` names a tokenizer file that drops white space between chunks.
 
@@ -59,7 +53,7 @@ class ChunkTokens:
     tokenizer separates too; the same word in other surroundings or in capitals is then known already.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -119,8 +113,10 @@ def tokenized(
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, unless `keep_ids` is off, ids."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
+    mark = f"tokens {tokenizer_path} {uuid.uuid4().hex}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = worker_tokens(tokenizer_path)
+        tokens = kept(mark, lambda: ChunkTokens(tokenizer_path))
         for batch, texts in text_batches(batches, most=1 << 20):
             out = defaultdict(list)
             for doc, found in zip(batch.column("doc_id").to_pylist(), tokens.of(texts)):

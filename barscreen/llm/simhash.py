@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import components, stored, text_batches
+from barscreen.llm.common import components, kept, stored, text_batches
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -60,7 +60,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     """Other hashes, made from `hashes`."""
-    out = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    out = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         out = (out ^ out >> np.uint64(shift)) * np.uint64(factor)
     return out ^ out >> np.uint64(31)
@@ -75,6 +75,7 @@ def fingerprints(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("fingerprints", lambda: None)  # frees what an earlier job left in this worker
         for batch, texts in text_batches(batches):
             prints = []
             for text in texts:
