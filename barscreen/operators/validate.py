@@ -95,8 +95,10 @@ def dedupe_isin(df: DataFrame, keep_null_isin: bool = False) -> DataFrame:
     """First row per ISIN. Rows without ISIN count as one company unless kept on request."""
     if not keep_null_isin:
         return first_per_key(df, "isin")
-    known = first_per_key(df.where(F.col("isin").isNotNull()), "isin")
-    return known.unionByName(df.where(F.col("isin").isNull()))
+    # A row without ISIN is a company of its own, by its place; so one pass does for both kinds.
+    own = F.when(F.col("isin").isNull(), F.col("ord"))
+    ranked = W.partitionBy("isin", own).orderBy("ord")
+    return df.withColumn("_rn", F.row_number().over(ranked)).where("_rn = 1").drop("_rn")
 
 
 def validate(

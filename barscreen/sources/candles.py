@@ -94,9 +94,9 @@ def parse_responses(responses: DataFrame) -> Responses:
     unread = F.lit(False)
     if "_corrupt_record" in responses.columns:
         unread = F.col("_corrupt_record").isNotNull()
-        # The symbol is asked for too, since Spark refuses to read nothing but unreadable records.
+        # The symbol is looked at too, since Spark refuses to read nothing but unreadable records.
         rejects = responses.select("symbol", "file", F.col("_corrupt_record").alias("record"))
-        rejects = rejects.where("record is not null")
+        rejects = rejects.where("record is not null and coalesce(symbol, '') >= ''")
     whole = responses.withColumn("candles", F.coalesce("candles", F.array())).withColumn(
         "bad", F.coalesce(response_is_bad(), F.lit(False)) | unread
     )
