@@ -207,3 +207,34 @@ def test_validated_csv_copy_is_in_file_order(spark, tmp_path):
     parts = sorted((tmp_path / "csv").glob("part-*"))
     names = [line.split(",")[0] for p in parts for line in p.read_text().splitlines()[1:]]
     assert names == [f"N{i}" for i in range(20)]
+
+
+def test_files_with_other_header_orders_are_refused(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write_csv(folder / "a.csv", [row("A", "A1", "IN1", **{"Debt to Equity": "1"})])
+    assert read_fundamentals(spark, str(folder)).frame.count() == 1
+    swapped = [*REQUIRED_HEADERS]
+    i, j = swapped.index("Debt to Equity"), swapped.index("Return on Capital Employed")
+    swapped[i], swapped[j] = swapped[j], swapped[i]
+    write_csv(folder / "b.csv", [row("B", "B1", "IN2", **{"Debt to Equity": "2"})], swapped)
+    with pytest.raises(Exception, match=r"b\.csv|a\.csv"):
+        read_fundamentals(spark, str(folder)).frame.collect()
+
+
+@pytest.mark.parametrize("text, day", [
+    ("2024-03-31T00:00:00", 31), ("31-Mar-2024", 31), ("31 Mar 2024", 31), ("Mar 2024", 1), ("2024-3-1", 1)])
+def test_more_spellings_of_dates(spark, tmp_path, text, day):
+    path = write_csv(tmp_path / "d.csv", [row("A", **{"Last quarterly result date": text})])
+    assert read_fundamentals(spark, path).frame.first()["last_quarterly_result_date"] == datetime(2024, 3, day)
+
+
+def test_master_survives_what_a_crashed_write_left(spark, tmp_path):
+    root = str(tmp_path / "master")
+    frame = read_fundamentals(spark, write_csv(tmp_path / "m.csv", [row("A", "A1", "IN1")])).frame
+    sinks.update_master(frame, root)
+    (tmp_path / "master" / "version=00000002").mkdir()
+    (tmp_path / "master" / "version=00000002" / "part-0.parquet").write_text("half")
+    assert sinks.update_master(frame, root).count() == 1
+    assert sinks.update_master(frame, root, keep=1).count() == 1
+    assert sorted(p.name for p in (tmp_path / "master").iterdir() if (p / "_SUCCESS").exists()) == ["version=00000004"]
