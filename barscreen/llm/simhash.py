@@ -67,11 +67,12 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(
-    docs: DataFrame, shingle: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False
 ) -> DataFrame:
     """(doc_id, fingerprint): one row per document, the fingerprint an array of 64-bit longs.
 
-    The first 64 bits come from the shingles' hashes, further ones from these hashes mixed anew.
+    The first 64 bits come from the shingles' hashes, further ones from these hashes mixed anew. A
+    repeated shingle counts each time or, if `distinct`, once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +82,7 @@ def fingerprints(
             for text in texts:
                 words = words_of(text)
                 hashes = shingle_hashes(words, shingle)
+                hashes = np.unique(hashes) if distinct else hashes
                 parts = [majority(hashes if k == 0 else mixed(hashes, k)) for k in range(bits // 64)]
                 prints.append([p - (1 << 64) if p >> 63 else p for p in parts])
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +196,7 @@ def near_links(
     chance, so beyond some tens of millions of texts take wider segments of longer fingerprints.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    prints = stored(fingerprints(rows, shingle, bits), "fingerprints")
+    prints = stored(fingerprints(rows, shingle, bits, distinct=True), "fingerprints")
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
     equal = prints.join(nodes, "fingerprint").where("doc_id > node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     pairs = stored(links(nodes, radius, segments, ball, bits, first).union(equal).distinct(), "candidates")

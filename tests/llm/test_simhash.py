@@ -80,3 +80,14 @@ def test_empty_and_null_ids(spark):
     assert simhash.near_groups(none).count() == 0
     odd = spark.createDataFrame([(None, "a b"), (4, "a b"), (4, "a b")], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in simhash.near_groups(odd).collect()} == {(None, 4), (4, 4)}
+
+
+def test_near_links_count_repeats_once(spark):
+    draw = random.Random(4)
+    line = " ".join(f"l{k}" for k in range(24))
+    rows = []
+    for k in range(12):
+        own = " ".join(f"x{draw.getrandbits(40)}" for _ in range(200))
+        rows += [(2 * k, f"{own} " + f"{line} " * 2), (2 * k + 1, f"{own} " + f"{line} " * 20)]
+    got = {tuple(r) for r in simhash.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(12)}
