@@ -91,3 +91,22 @@ def test_near_links_count_repeats_once(spark):
         rows += [(2 * k, f"{own} " + f"{line} " * 2), (2 * k + 1, f"{own} " + f"{line} " * 20)]
     got = {tuple(r) for r in simhash.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(2 * k, 2 * k + 1) for k in range(12)}
+
+
+def test_near_links_behind_a_first_one_that_is_not_alike(spark):
+    """Every fingerprint stands for four texts: three copies of two kinds, and one of a third kind."""
+    draw = random.Random(6)
+    words = lambda n: [f"x{draw.getrandbits(40)}" for _ in range(n)]
+    first, other, third = words(60), words(60), words(60)
+    near = [*other, *words(2)]
+    texts = dict(enumerate([first, other, near, third, [*first, *words(1)], [*third, *words(2)]]))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    plain = simhash.fingerprints
+    try:
+        same = F.array(*[F.lit(0).cast("long")] * 3)
+        far = F.array(F.lit(1).cast("long"), *[F.lit(0).cast("long")] * 2)
+        simhash.fingerprints = lambda *a, **b: plain(*a, **b).withColumn("fingerprint", F.when(F.col("doc_id") == 5, far).otherwise(same))
+        got = {tuple(r) for r in simhash.near_links(docs).collect()}
+    finally:
+        simhash.fingerprints = plain
+    assert got == {(0, 4), (1, 2), (3, 5)}
