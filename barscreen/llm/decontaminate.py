@@ -1,6 +1,7 @@
 """Passages of benchmark items inside documents.
 
-For every benchmark item of n words, the document's windows of n words are its possible copies. A
+For every benchmark item of n words, the document's windows of n words are its possible copies; a
+document with fewer words is one window. A
 window's SimHash fingerprint over five-word shingles is looked up among the fingerprints of the items
 of its length by multi-index Hamming blocks: 64 bits are cut into `radius + 1` blocks, and two
 fingerprints within the radius agree in one block at least, so none is missed. Candidates are verified
@@ -129,12 +130,14 @@ class Items:
                 continue
             sums = None
             for n, k, items, theirs, marks, group_known in self.groups:
-                if k != size or len(hashes) < n:
-                    continue
                 m = n - k + 1
+                enough = math.ceil(self.least * m - 1e-9)
+                if k != size or len(own) < enough:
+                    continue
+                m = min(m, len(own))
                 place = np.minimum(np.searchsorted(group_known, own), len(group_known) - 1)
                 held = np.concatenate([[0], np.cumsum(group_known[place] == own)])
-                starts = np.flatnonzero(held[m:] - held[:-m] >= math.ceil(self.least * m - 1e-9))
+                starts = np.flatnonzero(held[m:] - held[:-m] >= enough)
                 if not len(starts):
                     continue
                 sums = bit_sums(own) if sums is None else sums
@@ -144,7 +147,7 @@ class Items:
                     like = weighted_similarity(own[start : start + m], theirs[item])
                     if like >= self.least and like > best.get(item, (0.0, 0))[0]:
                         best[item] = (like, start)
-                out += [(items[item], start, start + n - 1, like) for item, (like, start) in best.items()]
+                out += [(items[item], start, start + m + k - 2, like) for item, (like, start) in best.items()]
         return out
 
 

@@ -89,3 +89,12 @@ def test_blocks_miss_none_within_the_radius(radius):
     w, i = decontaminate.within_radius(windows, items, radius)
     want = {(a, b) for a in range(400) for b in range(40) if int(windows[a] ^ items[b]).bit_count() <= radius}
     assert set(zip(w.tolist(), i.tolist())) == want
+
+
+def test_a_document_shorter_than_the_item(spark):
+    words = [f"w{k}" for k in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words[:95])), (2, " ".join(words[3:])), (3, " ".join(words[:80])), (4, "w1 w2")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.first_word, r.last_word, round(r.similarity, 4)) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {1: (0, 94, round(91 / 96, 4)), 2: (0, 96, round(93 / 96, 4))}
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, items).collect()} == {3, 4}
