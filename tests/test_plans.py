@@ -60,7 +60,7 @@ def test_ticks_are_read_once_and_pruned(spark):
     # Ticks to bars, bars to their symbol, and nothing more up to the profile.
     assert text.count("Exchange") == 2
     pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
-    assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThanOrEqual(ts" in pushed
     assert "event_type" not in text and "props" not in text
 
 
