@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barscreen.llm import decontaminate, exact, langid, lm, packing, pii, quality, simhash, substring, suffix
+from barscreen.llm import decontaminate, exact, langid, lm, oracle, packing, pii, quality, simhash, substring, suffix, urls
 from barscreen.llm.common import remainder, stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -73,6 +73,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+#: Fixed values of the registered query.
+URL_RULES = [urls.parse_rule(r) for r in ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by rules and by its host's trust."""
+    return urls.filtered(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -84,9 +93,11 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op13_url_filters": op13_url_filters,
 }
 
 ORACLE = {
+    "op13_url_filters": oracle.url_filters(URL_RULES),
     "op8_exact_dedup": r"""
         with d as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as content
