@@ -28,6 +28,64 @@ HARD_NEGATIVES = """
     qualify rank <= 10"""
 
 
+def crc32_table() -> list[int]:
+    """What CRC-32 adds for each byte: eight steps of the reflected polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def spelling_variants() -> str:
+    """CRC-32 byte by byte; near words by equal words with one letter masked or left out."""
+    return rf"""
+        with recursive runs as (
+            select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), '{urls.UPPER}', '{urls.LOWER}') as run
+            from documents),
+        places as (
+            select run, count(*) as c, hex(coalesce(doc_id::varchar, '') || ':' || run) as hexed
+            from runs group by doc_id, run),
+        hashed as (
+            select run, c, xor(4294967295::bigint, list_reduce(
+                list_prepend(4294967295::bigint, list_transform(range(1, length(hexed), 2), lambda i: ('0x' || substr(hexed, i, 2))::bigint)),
+                lambda h, b: xor(h >> 8, ({crc32_table()}::bigint[])[(xor(h, b) & 255) + 1]))) as h
+            from places),
+        typed as (
+            select c, case when h % 31 = 0
+                then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word
+            from hashed),
+        words as materialized (
+            select word, sum(c)::bigint as n from typed where length(word) >= 7 group by word having sum(c) >= 2),
+        spots as materialized (
+            select word, n, substr(word, 1, i - 1) as head, substr(word, i + 1) as tail, i
+            from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+        pairs as (
+            select a.word, a.n, b.word as near, b.n as near_n
+            from spots a join spots b on a.head = b.head and a.tail = b.tail and a.i = b.i and a.word <> b.word),
+        shorter as (
+            select distinct a.word, a.n, b.word as near, b.n as near_n
+            from spots a join words b on a.head || a.tail = b.word),
+        near as (
+            select * from pairs union all select * from shorter union all select near, near_n, word, n from shorter),
+        best as (
+            select word, count(*) as n_near,
+                   arg_min(struct_pack(form := near, form_n := near_n), struct_pack(x := -near_n, y := near)) as b
+            from near group by word),
+        forms as materialized (
+            select word, n, coalesce(n_near, 0) as n_near,
+                   case when b.form_n >= 10 * n then b.form end as form,
+                   case when b.form_n >= 10 * n then b.form_n end as form_n
+            from words left join best using (word)),
+        walk as (
+            select word, word as place, 0 as step from forms
+            union all
+            select w.word, f.form, step + 1 from walk w join forms f on w.place = f.word where f.form is not null),
+        roots as (select word, arg_max(place, step) as root from walk group by word)
+        select word, form, root, n, n_near, form_n from forms join roots using (word)"""
+
+
 def url_filters(rules: Sequence[urls.Rule], damping: float = 0.85, rounds: int = 20, least: float = 0.01) -> str:
     """The rules as conditions, and the terms of the PageRank series one after another."""
     listed = ", ".join(f"('{r.host}', '{r.path}', '{r.host}{r.path}', '{r.verdict}')" for r in rules)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barscreen.llm import decontaminate, exact, langid, lm, negatives, oracle, packing, pii, quality, simhash, substring, suffix, urls
+from barscreen.llm import decontaminate, exact, langid, lm, negatives, oracle, packing, pii, quality, simhash, spelling, substring, suffix, urls
 from barscreen.llm.common import remainder, stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words one edit from each other, and the frequent word that each is a variant of."""
+    runs = spelling.long_runs(table(spark, sf_dir, "documents"), least=7)
+    # Fixed value: one run in 31 is mistyped.
+    words = runs.select(spelling.mistyped(F.col("doc_id"), F.col("run"), 31).alias("word"))
+    return spelling.variants(spelling.counted(words, least_letters=7, least_count=2), ratio=10)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of other labels that are nearly as like to an anchor as its nearest rows of its own."""
     rows = table(spark, sf_dir, "embeddings")
@@ -103,11 +111,13 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_url_filters": op13_url_filters,
 }
 
 ORACLE = {
+    "op11_spelling_variants": oracle.spelling_variants(),
     "op12_hard_negatives": oracle.HARD_NEGATIVES,
     "op13_url_filters": oracle.url_filters(URL_RULES),
     "op8_exact_dedup": r"""
