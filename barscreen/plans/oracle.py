@@ -386,3 +386,4 @@ select symbol, title, link, event_type, sentiment from announced""",
   select * from bars where ts + interval 1440 minute {CLOSED}), {_lagged("closed")}
 {_signals()}""",
 }
+ORACLE["stream_signals_stateful"] = ORACLE["stream_signals"]

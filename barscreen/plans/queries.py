@@ -28,6 +28,7 @@ from barscreen.sources.storage import shared_dir
 from barscreen.streaming.bars import stream_bars
 from barscreen.streaming.feed import start_announcement_stream, stream_feed
 from barscreen.streaming.signals import start_signal_stream
+from barscreen.streaming.stateful import keyed_state, stateful_signals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -551,6 +552,18 @@ def stream_signals(spark, sf_dir):
     )
 
 
+def stream_signals_stateful(spark, sf_dir):
+    """The same with keyed state: only series that have bars in a batch are read and written."""
+    path = shared_dir(spark, "stream-signals-stateful")
+    bars = stream_bars(_tick_stream(spark, sf_dir), DAILY[0], STREAM_DELAY)
+    with keyed_state(spark):
+        _run_to_end(stateful_signals(bars), path)
+    found = spark.read.parquet(f"{path}/out")
+    return found.select(
+        "symbol", "interval_min", F.col("ts").cast("timestamp_ntz").alias("ts"), *signals.SIGNALS
+    )
+
+
 QUERIES: dict[str, Query] = {
     "daily_candles": daily_candles,
     "fourh_candles": fourh_candles,
@@ -604,4 +617,5 @@ QUERIES: dict[str, Query] = {
     "stream_candles": stream_candles,
     "stream_announcements": stream_announcements_query,
     "stream_signals": stream_signals,
+    "stream_signals_stateful": stream_signals_stateful,
 }

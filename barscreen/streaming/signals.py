@@ -51,7 +51,8 @@ def start_signal_stream(bars: DataFrame, out: str, state: str, checkpoint: str,
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         known = [v for v in committed_versions(spark, state) if v < batch_id]
-        if not known and any(v < batch_id for v in committed_versions(spark, out)):
+        begun = any(v < batch_id for v in committed_versions(spark, out))
+        if begun and (not known or known[-1] != batch_id - 1):
             raise RuntimeError(f"the state below {state} that batch {batch_id} needs is gone")
         recent = spark.read.parquet(version_path(state, known[-1])) if known else None
         written = version_path(out, batch_id)
