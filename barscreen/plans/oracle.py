@@ -387,3 +387,4 @@ select symbol, title, link, event_type, sentiment from announced""",
 {_signals()}""",
 }
 ORACLE["stream_signals_stateful"] = ORACLE["stream_signals"]
+ORACLE["late_ticks_merged"] = f"{_candles(1440)} where ts between timestamp '2024-01-31' - interval 365 day and timestamp '2024-01-30'"

@@ -16,8 +16,8 @@ from barscreen.operators.master import incoming_companies, upsert
 from barscreen.plans import screen
 from barscreen.plans import warehouse as wh
 from barscreen.schemas import DAILY, FOUR_HOUR, HOURLY, MASTER_FIELDS, REQUIRED_HEADERS, snake
+from barscreen.sources import barstates, sinks
 from barscreen.sources import candles as candle_source
-from barscreen.sources import sinks
 from barscreen.sources.feed import ROW_TAG, read_feed
 from barscreen.sources.fundamentals import (
     non_numeric_warnings,
@@ -108,6 +108,22 @@ def candle_table_append(spark, sf_dir):
     return found.select(*cd.KEYS, *cd.VALUES)
 
 
+def late_ticks_merged(spark, sf_dir):
+    """Daily bars whose ticks land in three parts, which have most bars in common.
+
+    The candle table gets the bars that each landing touched; no tick is read twice.
+    """
+    root, path = shared_dir(spark, "bar-states"), shared_dir(spark, "candles-merged-ticks")
+    ticks = wh.ticks(spark, sf_dir)
+    for version in range(3):
+        barstates.land_ticks(ticks.where(F.col("seq") % 3 == version), root, version, DAILY[0])
+        if version == 1:
+            barstates.compact(spark, root, up_to=1)
+        sinks.write_candles(barstates.touched_states(spark, root, after=version - 1), path)
+    found = candle_source.read_candles(spark, path, [DAILY], AS_OF)
+    return found.select(*cd.KEYS, *cd.VALUES)
+
+
 def daily_candles_as_of(spark, sf_dir):
     """Daily bars as they stood in the middle of a day."""
     recent = cd.recent_ticks(wh.ticks(spark, sf_dir), DAILY[0], 7, HOURLY_AS_OF)
@@ -572,6 +588,7 @@ QUERIES: dict[str, Query] = {
     "lookback_filter": lookback_filter,
     "candle_table": candle_table,
     "candle_table_append": candle_table_append,
+    "late_ticks_merged": late_ticks_merged,
     "daily_candles_as_of": daily_candles_as_of,
     "restated_bars": restated_bars,
     "candle_responses": candle_responses,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from barscreen.functions.instants import Instant, instant
 from barscreen.operators.candles import KEYS, VALUES, ohlcv, resample_ticks
+from barscreen.sources.barstates import land_ticks
 
 
 def stream_bars(
@@ -32,6 +34,23 @@ def stream_bars(
     )
 
 
+def start_bar_state_stream(
+    ticks: DataFrame, root: str, checkpoint: str, interval_min: int, offset_minutes: int = 0, **trigger
+) -> StreamingQuery:
+    """Land every batch of ticks as bar states in `root`, however late its ticks are.
+
+    There is no watermark and no state: a batch writes the states of its own ticks as version `<batch>`, and
+    readers merge them. `sources.barstates.touched_states` gives the bars to land in the candle table
+    after a batch; its cost follows the batch. `missed_bars` finds the same by reading all ticks again.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        land_ticks(batch, root, batch_id, interval_min, offset_minutes)
+
+    writer = ticks.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def missed_bars(
     ticks: DataFrame, streamed: DataFrame, interval_min: int, up_to: Instant, offset_minutes: int = 0
 ) -> DataFrame:
