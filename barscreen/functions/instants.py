@@ -53,3 +53,8 @@ def check_nesting(fine: int, coarse: int, fine_offset: int = 0, coarse_offset: i
 def day_number(ts: Column) -> Column:
     """Days since 1970-01-01; never decreases with `ts`, whatever its timestamp type."""
     return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
+
+
+def utc_day(ts: Column) -> Column:
+    """The day of UTC that `ts` falls into, whatever the session's zone: the day folders of the tables."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts.cast("timestamp")) / 86400).cast("int"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barscreen.functions.instants import utc_day
 from barscreen.operators.barstates import bar_states, merge_states
 from barscreen.operators.candles import KEYS
 from barscreen.sources.storage import committed_versions, drop_versions, version_path
@@ -27,8 +28,7 @@ def _increments(root: str) -> str:
 
 
 def _write(states: DataFrame, path: str) -> None:
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    placed = states.withColumn("day", F.date_from_unix_date(F.floor(seconds / 86400).cast("int")))
+    placed = states.withColumn("day", utc_day(F.col("ts")))
     placed.hint("rebalance", *PLACE).write.mode("overwrite").partitionBy(*PLACE).parquet(path)
 
 

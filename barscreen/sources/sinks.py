@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barscreen.functions.instants import utc_day
 from barscreen.operators.master import incoming_companies, upsert
 from barscreen.operators.candles import KEYS, VALUES
 from barscreen.schemas import MASTER, REQUIRED_HEADERS, snake
@@ -44,17 +45,20 @@ def write_candles(bars: DataFrame, path: str, landed: str | None = None) -> None
     go to scratch storage first, since a day cannot be overwritten while it is read. The rebalance
     hint merges small days and splits large ones.
     """
+    write_by_day(bars, path, VALUES, landed)
+
+
+def write_by_day(bars: DataFrame, path: str, columns: list[str], landed: str | None = None) -> None:
+    """`write_candles` for any `columns` that belong to a bar."""
     spark = bars.sparkSession
-    values = F.struct(*VALUES)
+    values = F.struct(*columns)
     order = F.struct(F.lit(1), F.col(landed) if landed else F.lit(0), values)
     new = bars.select(*KEYS, values.alias("bar"), order.alias("place"))
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    new = new.groupBy(*KEYS).agg(F.max_by("bar", "place").alias("bar"))
-    new = new.withColumn("day", F.date_from_unix_date(F.floor(seconds / 86400).cast("int")))
+    new = new.groupBy(*KEYS).agg(F.max_by("bar", "place").alias("bar")).withColumn("day", utc_day(F.col("ts")))
     staged = shared_dir(spark, "candles-new")
     new.write.parquet(staged)
     new = spark.read.parquet(staged)
-    if _exists(spark, path):
+    if table_exists(spark, path):
         held = spark.read.parquet(path).join(new.select("interval_min", "day").distinct(), ["interval_min", "day"], "left_semi")
         held = held.select(*KEYS, values.alias("bar"), "day", F.lit(0).alias("turn"))
         both = held.unionByName(new.withColumn("turn", F.lit(1)))
@@ -71,7 +75,7 @@ def write_candles(bars: DataFrame, path: str, landed: str | None = None) -> None
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to `path`; an empty one has no partition to read."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
