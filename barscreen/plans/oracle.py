@@ -389,4 +389,7 @@ select symbol, title, link, event_type, sentiment from announced""",
 ORACLE["stream_signals_stateful"] = ORACLE["stream_signals"]
 for _kept in ("signal_history", "order_blocks", "fair_value_gaps"):
     ORACLE[f"{_kept}_append"] = ORACLE[_kept]
+ORACLE["response_stream_candles"] = f"""with {DELIVERED}
+select {CANDLE_COLUMNS} from delivered where not {BAD} and right(symbol, 1) <> '5'"""
+ORACLE["response_stream_rejects"] = ORACLE["landing_rejects"]
 ORACLE["late_ticks_merged"] = f"{_candles(1440)} where ts between timestamp '2024-01-31' - interval 365 day and timestamp '2024-01-30'"

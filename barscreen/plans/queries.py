@@ -27,6 +27,7 @@ from barscreen.sources.fundamentals import (
 from barscreen.sources.storage import shared_dir
 from barscreen.streaming.bars import stream_bars
 from barscreen.streaming.feed import start_announcement_stream, stream_feed
+from barscreen.streaming.responses import read_rejects, start_response_stream, stream_responses
 from barscreen.streaming.signals import start_signal_stream
 from barscreen.streaming.stateful import keyed_state, stateful_signals
 
@@ -182,12 +183,17 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _landed_responses(spark: SparkSession, sf_dir: str) -> candle_source.Responses:
-    path = shared_dir(spark, "responses")
+def _response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responses as (symbol, value), one of ten cut in the middle."""
     line = F.to_json(F.struct("symbol", "interval_min", "candles"))
     half = F.substring(line, F.lit(1), (F.length(line) / 2).cast("int"))
     cut = F.when(F.right("symbol", F.lit(1)) == CUT, half).otherwise(line)
-    _responses(spark, sf_dir).select(cut.alias("value")).write.text(path)
+    return _responses(spark, sf_dir).select("symbol", cut.alias("value"))
+
+
+def _landed_responses(spark: SparkSession, sf_dir: str) -> candle_source.Responses:
+    path = shared_dir(spark, "responses")
+    _response_lines(spark, sf_dir).select("value").write.text(path)
     return candle_source.parse_responses(candle_source.read_responses(spark, path))
 
 
@@ -211,6 +217,32 @@ def landing_rejects(spark, sf_dir):
         record.endswith("}").alias("is_whole"))
 
 
+def _streamed_responses(spark: SparkSession, sf_dir: str) -> str:
+    """A folder below which the responses of two polls went through the stream, one poll after the other."""
+    path = shared_dir(spark, "response-stream")
+    lines = _response_lines(spark, sf_dir)
+    second = F.pmod(F.xxhash64("symbol"), F.lit(2)) == 1
+    for number, poll in enumerate((lines.where(~second), lines.where(second))):
+        poll.select("value").write.text(f"{path}/landed/poll{number}")
+        landed = stream_responses(spark, f"{path}/landed/*")
+        start_response_stream(landed, f"{path}/candles", path, f"{path}/checkpoint").awaitTermination()
+    return path
+
+
+def response_stream_candles(spark, sf_dir):
+    """The candle table after both polls."""
+    path = _streamed_responses(spark, sf_dir)
+    found = candle_source.read_candles(spark, f"{path}/candles", [DAILY], AS_OF, unfinished=True)
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*cd.KEYS, *cd.VALUES)
+
+
+def response_stream_rejects(spark, sf_dir):
+    """The lines of both polls that could not be read, each once."""
+    record = F.col("record")
+    return read_rejects(spark, _streamed_responses(spark, sf_dir)).select(
+        F.regexp_extract(record, r'"symbol":"([0-9]+)"', 1).alias("symbol"), record.endswith("}").alias("is_whole"))
+
+
 # Signals and zones ---------------------------------------------------------------------------
 
 
@@ -619,6 +651,8 @@ QUERIES: dict[str, Query] = {
     "candle_responses": candle_responses,
     "bad_candle_series": bad_candle_series,
     "landing_rejects": landing_rejects,
+    "response_stream_candles": response_stream_candles,
+    "response_stream_rejects": response_stream_rejects,
     "latest_trend": _latest("trend"),
     "latest_bullish_bos": _latest("bullish_bos"),
     "latest_bearish_bos": _latest("bearish_bos"),
