@@ -4,8 +4,9 @@ Tokens come from a public tokenizer file; ids of a white-space separated chunk a
 worker and reused, since the tokenizer never looks across white space. Packing looks at lengths only:
 every task packs its own pieces, holding `open_bins` bins at most in a bitset keyed by free space.
 The next piece goes to the open bin with the least room that still fits; where none does and the
-limit is reached, the fullest bin closes first. Pieces reach a task longest first, the order in which
-best fit wastes least.
+limit is reached, the fullest bin closes first. Pieces reach a task in the order of a hash, so that at any time
+its open bins meet pieces of all lengths; sorted by length, long pieces would close the bins before short
+ones could fill them. The number of tasks follows from the size of the texts alone, not from the session.
 
 Edge cases: null and empty texts have the end token alone; a text longer than a sequence is cut, its
 last piece may be shorter; rows repeated with the same id are packed once each; an empty table gives
@@ -14,6 +15,7 @@ an empty result.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections import defaultdict
@@ -30,74 +32,76 @@ from barscreen.llm.common import Numbered, kept, text_batches
 
 SEQUENCE = 4096
 END = 1
+#: Least number of sequences for which a task of its own is made.
+SEQUENCES_A_TASK = 4096
 #: Bins a task holds open at once.
 OPEN_BINS = 1024
 #: Marks around a word that end it for the tokenizer; the apostrophe can be a part of it.
 AROUND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def parts_of(chunk: str) -> list[str]:
-    """The marks before a word, the word and the marks after it, or else the chunk as it is."""
-    low = chunk.lower()
-    word = low.strip(AROUND)
-    if word and word.isalpha() and max(word) < "\u0250":
-        at = low.index(word)
-        return [p for p in (low[:at], word, low[at + len(word) :]) if p]
-    return [chunk]
+#: Words of Latin letters, and the marks before and after them.
+PARTS = (
+    "^(?P<before>[{0}]*)(?P<word>[a-z\\x{{C0}}-\\x{{D6}}\\x{{D8}}-\\x{{F6}}\\x{{F8}}-\\x{{24F}}]+)(?P<after>[{0}]*)$"
+).format("".join("\\" + c for c in AROUND))
+
+
+def parts_of(chunks: pa.Array) -> list[pa.Array]:
+    """For each chunk the marks before a word, the word and the marks after it, or else the chunk between two empty texts."""
+    found = pa.compute.extract_regex(chunks, pattern=PARTS)
+    before, word, after = (pa.compute.struct_field(found, name) for name in ("before", "word", "after"))
+    return [pa.compute.fill_null(before, ""), pa.compute.coalesce(word, chunks), pa.compute.fill_null(after, "")]
 
 
 class ChunkTokens:
     """Token ids of texts; `path` names a tokenizer file that drops white space between chunks.
 
     A chunk that is a word of Latin letters between punctuation is tokenized in these parts, which the
-    tokenizer separates too; the same word in other surroundings or in capitals is then known already.
+    tokenizer separates too; the same word in other surroundings or in capitals is then known already. Arrow splits a
+    batch into chunks and numbers the different ones, so only these are looked up. What a worker keeps
+    are the ids of at most `most` parts, of `most_bytes` together.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000, most_bytes: int = 1 << 23):
+        # Tasks are spread by Spark; threads of the tokenizer's own would contend for the same cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = Numbered(self._extend, most)
+        self.known = Numbered(self._extend, most, most_bytes)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.parts: dict[str, bytes] = {}
-        self.parts_bytes = 0
-        self.most_parts = 5 * most // 4
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _extend(self, chunks: list[bytes], first: bool) -> np.ndarray:
-        """Appends the chunks' ids to the flat store; (start, length) of each."""
+    def _extend(self, parts: list[bytes], first: bool) -> np.ndarray:
+        """Appends the parts' ids to the flat store; (start, length) of each."""
         if first:
             self.used = 0
-        if len(self.parts) > self.most_parts or self.parts_bytes > 64 * self.most_parts:
-            self.parts, self.parts_bytes = {}, 0
-        parts = self.parts
-        split = [parts_of(c.decode("utf-8", "replace")) for c in chunks]
-        new = [p for p in dict.fromkeys(p for x in split for p in x) if p not in parts]
-        parts.update((p, np.array(ids, np.uint32).tobytes()) for p, ids in zip(new, self.encode(new)))
-        self.parts_bytes += sum(map(len, new))
-        found = [parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x]) for x in split]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(new), self.used), np.uint32)])
+        self.flat[self.used : self.used + len(new)] = new
         starts = self.used + np.cumsum(lengths) - lengths
-        self.used += len(ids)
+        self.used += len(new)
         return np.stack([starts, lengths], 1)
 
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
-        chunks = [t.lower().split() for t in texts]  # as the tokenizer does; then fewer chunks differ
-        at = self.known.of(list(chain.from_iterable(chunks)))
-        if not len(at):
-            return [np.zeros(0, np.uint32) for _ in texts]
-        starts, lengths = self.known.values[at].T
+        # The tokenizer lower-cases too; done first, fewer chunks differ.
+        split = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts))
+        chunks = split.flatten().dictionary_encode()
+        parts = pa.concat_arrays([x.cast(pa.string()) for x in parts_of(chunks.dictionary)]).dictionary_encode()
+        rows = self.known.of(parts.dictionary.cast(pa.binary()).to_pylist())
+        if not len(rows):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        three = rows[parts.indices.to_numpy()].reshape(3, -1).T
+        starts, lengths = (x[three][chunks.indices.to_numpy()].ravel() for x in self.known.values.T)
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, chunks)])]
+        of_text = 3 * split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(of_text)])]
         return [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
@@ -117,8 +121,9 @@ def tokenized(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = kept(mark, lambda: ChunkTokens(tokenizer_path))
-        for batch, texts in text_batches(batches, most=1 << 20):
+        for batch, _ in text_batches(batches, most=1 << 21):
             out = defaultdict(list)
+            texts = batch.column("text").fill_null("")
             for doc, found in zip(batch.column("doc_id").to_pylist(), tokens.of(texts)):
                 ids = np.append(found, np.uint32(end)).astype("<u4", copy=False)
                 for piece, start in enumerate(range(0, len(ids), sequence)):
@@ -185,16 +190,20 @@ class BestFit:
         return number, self.capacity - room
 
 
-def packed(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, tasks: int | None = None) -> DataFrame:
+def tasks_for(docs: DataFrame, sequence: int = SEQUENCE, text_col: str = "text") -> int:
+    """Tasks of `SEQUENCES_A_TASK` sequences or more each, if a token has four bytes at most on average."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, size // (4 * sequence * SEQUENCES_A_TASK))
+
+
+def packed(pieces: DataFrame, tasks: int, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
     """`pieces` (doc_id, piece, length, ...) with sequence_id and offset.
 
-    Each of `tasks` partitions (the session's shuffle partitions by default) fills its own sequences;
-    at most one of them per task stays far from full, so keep a task's pieces to many sequences.
+    Each of `tasks` partitions fills its own sequences; at most one of them per task stays far from
+    full, so keep a task's pieces to many sequences, as `tasks_for` does.
     """
-    spark = pieces.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(tasks, "doc_id", "piece", "start", "ids_crc32")
-    dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    key = ["doc_id", "piece", "start", "ids_crc32"]
+    dealt = pieces.repartition(tasks, *key).sortWithinPartitions(F.xxhash64(*key), *key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = BestFit(sequence, open_bins)

@@ -54,8 +54,8 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of 4096; the digests of the pieces and their places."""
-    pieces = packing.tokenized(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False)
-    return packing.packed(pieces)
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed(packing.tokenized(docs, TOKENIZER, keep_ids=False), packing.tasks_for(docs))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ from functools import cache
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from barscreen.llm import packing
+from barscreen.llm.queries import op3_best_fit_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -55,13 +57,13 @@ def test_parts_of_words_are_the_tokenizers_too():
     texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' limit 300").fetchall()]
     texts += ["(Don't) 'said ''s x's' THE!! İstanbul ΣΑΣ straße, ÀÉ... a-b c.d -x- 'tis e\u0301. n\u0303a", "$$ ... 3rd 4,5 #tag"]
     tokens = packing.ChunkTokens(PATH, most=500)
-    got = [ids for k in range(0, len(texts), 7) for ids in tokens.of([t.encode() for t in texts[k : k + 7]])]
+    got = [ids for k in range(0, len(texts), 7) for ids in tokens.of(pa.array(texts[k : k + 7]))]
     assert [[*ids, 1] for ids in got] == [plain(t) for t in texts]
 
 
 def test_places_are_gapless_and_few(docs):
-    pieces = packing.tokenized(docs, PATH, 64).withColumn("extra", F.lit("x"))
-    rows = packing.packed(pieces, 64, tasks=2).collect()
+    pieces = packing.tokenized(docs, PATH, 64).withColumn("sequence", F.lit("x")).withColumn("base", F.lit(1))
+    rows = packing.packed(pieces, 2, 64).collect()
     assert len(rows) == pieces.count()
     bins = {}
     for r in rows:
@@ -75,6 +77,38 @@ def test_places_are_gapless_and_few(docs):
     assert len(bins) <= sum(r.length for r in rows) / 64 + 2 + 1
 
 
+@pytest.mark.parametrize("kind", ["texts", "even"])
+def test_many_pieces_of_a_task_take_few_sequences(kind):
+    rng = np.random.default_rng(7)
+    if kind == "even":
+        lengths = rng.integers(200, 3900, 100_000)
+    else:
+        whole = np.maximum(1, rng.lognormal(5.5, 1.6, 90_000)).astype(int)
+        lengths = rng.permutation(np.concatenate([np.full(int((whole // 4096).sum()), 4096), whole % 4096 + 1]))
+    fit = packing.BestFit(4097)
+    for n in lengths.tolist():
+        fit.place(n)
+    assert fit.count <= 1.01 * lengths.sum() / 4097 + 1
+
+
+@pytest.mark.parametrize("partitions", ["8", "200"])
+def test_sequences_do_not_depend_on_the_session(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = op3_best_fit_packing(spark, "/root/testdata/sf0.01").select("sequence_id", "length").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({r.sequence_id for r in rows}) <= 1.01 * sum(r.length for r in rows) / 4096 + 1
+
+
+def test_ties_and_repeated_rows_keep_their_places(spark):
+    pieces = spark.createDataFrame([(i % 5, 0, 0, 20, 7) for i in range(50)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.packed(pieces, 1, 64).collect()
+    assert len(rows) == 50 and len({(r.sequence_id, r.offset) for r in rows}) == 50
+    assert len({r.sequence_id for r in rows}) == 17
+
+
 def test_fullest_bin_closes_first():
     fit = packing.BestFit(10, open_bins=2)
     assert [fit.place(n) for n in (6, 5, 7, 4, 5)] == [(0, 0), (1, 0), (2, 0), (1, 5), (3, 0)]
@@ -97,4 +131,4 @@ def test_best_fit_against_a_scan():
 
 
 def test_empty(docs):
-    assert packing.packed(packing.tokenized(docs.limit(0), PATH)).count() == 0
+    assert packing.packed(packing.tokenized(docs.limit(0), PATH), packing.tasks_for(docs.limit(0))).count() == 0
