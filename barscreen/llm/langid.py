@@ -7,8 +7,8 @@ changing the language costs `penalty`, labels the spans. The language of a docum
 labels most of its letters, the score their share.
 
 Edge cases: null, empty and letterless texts are `und` with score 0; equal shares go to the first
-language in alphabetical order; words of a script no language has are neutral; rows repeated are
-labelled alike; without any labelled row every text is `und`; other columns are not looked at.
+language in alphabetical order; words of a script no language has count for none and lower the score, so
+a text of nothing else has the first language with score 0; rows repeated are labelled alike; very long texts are taken whole; without any labelled row every text is `und`; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -203,9 +203,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
 
 
 def labelled(model: Model, texts: list[bytes], penalty: float) -> tuple:
-    """(language numbers, scores, letters, text number and language number of each word).
+    """(language numbers, scores, shares, letters, text number and language number of each word).
 
-    The number after the last language stands for an unknown one.
+    The number after the last language stands for an unknown one. Words of a script that no language is
+    written in have no say; the score is the best language's share of all letters, the share that of all languages.
     """
     found = letters_of(texts)
     docs_of = np.repeat(np.arange(len(texts)), found.words)
@@ -213,10 +214,12 @@ def labelled(model: Model, texts: list[bytes], penalty: float) -> tuple:
     labels = None
     if model.languages:
         labels = viterbi(model.word_scores(found), found.words, penalty)
-        np.add.at(shares, (docs_of, labels), found.ends - found.starts)
-    total = shares.sum(1)
+        legible = model.written[found.scripts].any(1)
+        np.add.at(shares, (docs_of, labels), np.where(legible, found.ends - found.starts, 0))
+    total = np.bincount(docs_of, found.ends - found.starts, len(texts)) if model.languages else np.zeros(len(texts))
     best = np.where(total > 0, shares.argmax(1), len(model.languages))
-    return best, shares.max(1) / np.maximum(total, 1), found, docs_of, labels
+    total = np.maximum(total, 1)
+    return best, shares.max(1) / total, shares.sum(1) / total, found, docs_of, labels
 
 
 def identified(
@@ -239,7 +242,7 @@ def identified(
         model = shared.value
         names = np.array([*model.languages, UNKNOWN])
         for batch, texts in text_batches(batches, most=1 << 20):
-            best, score, found, docs_of, labels = labelled(model, texts, penalty)
+            best, score, _, found, docs_of, labels = labelled(model, texts, penalty)
             out = [batch.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score)]
             if spans:
                 out.append(_spans(found, docs_of, labels, names, len(texts)))
@@ -264,14 +267,14 @@ def _spans(found: Letters, docs_of: np.ndarray, labels: np.ndarray | None, names
 
 
 def in_known_languages(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = PENALTY, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, one language of which labels at least the share `least`."""
+    """The rows of `docs`, all columns, of which known languages, one or several, label at least the share `least` of the letters."""
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("languages", lambda: None)
         for batch, texts in text_batches(batches, at, most=1 << 20):
-            best, score, *_ = labelled(shared.value, texts, penalty)
-            yield batch.filter(pa.array((best < len(shared.value.languages)) & (score >= least)))
+            best, _, share, *_ = labelled(shared.value, texts, penalty)
+            yield batch.filter(pa.array((best < len(shared.value.languages)) & (share >= least)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -53,12 +53,24 @@ def test_odd_texts_and_spans(spark, model):
     assert [(got[k].lang_pred, got[k].score, got[k].spans) for k in (0, 1, 2)] == [("und", 0.0, [])] * 3
     assert got[4].lang_pred == got[7].lang_pred == got[None].lang_pred == got[8].lang_pred == "en"
     assert got[5].lang_pred == "ru"
-    assert got[6].lang_pred in model.languages
+    assert (got[6].lang_pred, got[6].score) == (model.languages[0], 0.0)
     assert [s.lang for s in got[3].spans] == ["en", "fr"]
     assert abs(got[3].spans[1].begin - len(en) * 3) <= 8
     assert got[3].spans[1].end == len((en * 3 + fr * 3).rstrip())
 
 
+def test_unknown_scripts_go_and_mixtures_stay(spark, model):
+    en = "the reation of the thing and that was for the inering of this "
+    fr = "les queaux de la tionment pour avec une éreeau que des mentaux "
+    ru = "привет мир как дела сегодня "
+    rows = [(1, "日本語のテキストです。"), (2, "שלום עולם"), (3, en + "中文字" * 5), (4, en * 2 + fr * 2 + ru * 4), (5, "中文字" * 99 + en), (6, "12"), (7, en), (7, en)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
+    kept = langid.in_known_languages(docs, model)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 7, 7]
+    scores = {r.doc_id: r.score for r in langid.identified(docs, model, spans=False).collect()}
+    assert scores[1] == scores[2] == 0 and 0 < scores[5] < 0.3 and scores[4] < 0.5 < scores[3] < 1 == scores[7]
+
+
 def test_no_labels(spark, model):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     empty = langid.learn(none)
