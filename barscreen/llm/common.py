@@ -93,6 +93,7 @@ def kept(mark: str, make):
     """The caches of the job `mark`, made once per worker; those of any other job are let go first."""
     if _KEPT[0] != mark:
         _KEPT[:] = ["", None]
+        pa.default_memory_pool().release_unused()
         _KEPT[:] = [mark, make()]
     return _KEPT[1]
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import Numbered, kept, text_batches
+from barscreen.llm.common import Numbered, kept, stored, text_batches
 
 SEQUENCE = 4096
 END = 1
@@ -121,7 +121,7 @@ def tokenized(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = kept(mark, lambda: ChunkTokens(tokenizer_path))
-        for batch, _ in text_batches(batches, most=1 << 21):
+        for batch, _ in text_batches(batches, most=1 << 20):
             out = defaultdict(list)
             texts = batch.column("text").fill_null("")
             for doc, found in zip(batch.column("doc_id").to_pylist(), tokens.of(texts)):
@@ -200,24 +200,30 @@ def packed(pieces: DataFrame, tasks: int, sequence: int = SEQUENCE, open_bins: i
     """`pieces` (doc_id, piece, length, ...) with sequence_id and offset.
 
     Each of `tasks` partitions fills its own sequences; at most one of them per task stays far from
-    full, so keep a task's pieces to many sequences, as `tasks_for` does.
+    full, so keep a task's pieces to many sequences, as `tasks_for` does. Pieces with ids are written to the
+    shared folder first; only their row numbers and lengths are packed, and meet them again in a join.
     """
-    key = ["doc_id", "piece", "start", "ids_crc32"]
+    if "ids" not in pieces.columns:
+        key = ["doc_id", "piece", "start", "ids_crc32"]
+        return placed(pieces, key, tasks, sequence, open_bins)
+    whole = pieces.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("whole"))
+    whole = stored(whole, "pieces")
+    places = placed(whole.select("row", "whole.length"), ["row"], tasks, sequence, open_bins).drop("length")
+    return whole.join(places, "row").select("whole.*", "sequence_id", "offset")
+
+
+def placed(pieces: DataFrame, key: list[str], tasks: int, sequence: int, open_bins: int) -> DataFrame:
+    """`pieces` with their places, dealt to tasks and ordered by a hash of `key`."""
     dealt = pieces.repartition(tasks, *key).sortWithinPartitions(F.xxhash64(*key), *key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("packing", lambda: None)  # frees the tokenizer's cache in this worker
         fit = BestFit(sequence, open_bins)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             at = [fit.place(n) for n in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array([base + n for n, _ in at], pa.int64()),
-                    pa.array([o for _, o in at], pa.int64()),
-                ],
-                [*batch.schema.names, "sequence_id", "offset"],
-            )
+            places = [pa.array([base + n for n, _ in at], pa.int64()), pa.array([o for _, o in at], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *places], [*batch.schema.names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
