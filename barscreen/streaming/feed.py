@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barscreen.operators.news import classify, shape_items
-from barscreen.schemas import FEED_ITEM
-from barscreen.sources.feed import ROW_TAG
+from barscreen.sources.feed import is_readable, item_fields, split_documents
 from barscreen.sources.storage import committed_versions, version_path
 
 
 def stream_feed(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Items of documents as they land."""
-    reader = spark.readStream.format("xml").schema(FEED_ITEM).option("rowTag", ROW_TAG)
+    """Items of documents as they land; a broken item is left out, `read_feed_rejects` lists it."""
+    reader = spark.readStream.option("wholetext", True)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path).select(
-        "title", "link", "pubDate", F.col("_metadata.file_modification_time").alias("landed_at")
-    )
+    documents = reader.text(path).select(F.col("_metadata.file_modification_time").alias("landed_at"), "value")
+    return split_documents(documents).where(is_readable()).select(*item_fields(), "landed_at")
 
 
 KEY = ["link", "title", "date"]
