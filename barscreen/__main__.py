@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> None:
     candles = parser.add_mutually_exclusive_group(required=True)
     candles.add_argument("--candles", help="candle table written by write_candles")
     candles.add_argument("--responses", help="folder of landed candle responses (JSON lines)")
+    parser.add_argument("--feed-ledger", help="folder that keeps when feed documents landed")
     parser.add_argument("--out", required=True, help="folder of the run's results")
     parser.add_argument("--master", help="company master folder (default: OUT/master)")
     parser.add_argument("--as-of", default=datetime.now().isoformat(timespec="seconds"))
@@ -34,7 +35,9 @@ def main(argv: list[str] | None = None) -> None:
     screened = screen_stored(
         spark, validated, args.feed, args.as_of, args.out,
         candle_table=args.candles, responses=args.responses, mapping=args.mapping,
+        feed_ledger=args.feed_ledger,
     )
+    print(f"Unreadable announcements: {spark.read.parquet(f'{args.out}/feed_rejects').count()}")
     if args.responses is not None:
         print(f"Unreadable lines: {spark.read.parquet(f'{args.out}/rejects').count()}")
     screened.failures.write.mode("overwrite").parquet(f"{args.out}/failures")

@@ -387,6 +387,14 @@ select symbol, title, link, event_type, sentiment from announced""",
 {_signals()}""",
 }
 ORACLE["stream_signals_stateful"] = ORACLE["stream_signals"]
+# What had been traded and announced by a moment amid the ticks.
+MOMENT = "timestamp '2024-01-20 12:00:00'"
+ORACLE["shortlist_as_of"] = (
+    ORACLE["shortlist"].replace("from events", f"from (select * from events where ts <= {MOMENT})").replace("timestamp '2024-01-31'", MOMENT)
+)
+ORACLE["feed_rejects"] = f"""with {ITEMS}
+select link, false as is_whole from items where feed_ord % 7 = 0"""
+ORACLE["feed_beside_rejects"] = f"{ORACLE['announcement_feed']} where feed_ord % 7 <> 0"
 for _kept in ("signal_history", "order_blocks", "fair_value_gaps"):
     ORACLE[f"{_kept}_append"] = ORACLE[_kept]
 ORACLE["response_stream_candles"] = f"""with {DELIVERED}

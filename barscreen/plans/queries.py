@@ -18,7 +18,7 @@ from barscreen.plans import warehouse as wh
 from barscreen.schemas import DAILY, FOUR_HOUR, HOURLY, MASTER_FIELDS, REQUIRED_HEADERS, snake
 from barscreen.sources import barstates, history, sinks
 from barscreen.sources import candles as candle_source
-from barscreen.sources.feed import ROW_TAG, read_feed
+from barscreen.sources.feed import ROW_TAG, read_feed, read_feed_rejects
 from barscreen.sources.fundamentals import (
     non_numeric_warnings,
     read_fundamentals,
@@ -496,6 +496,28 @@ def announcement_feed(spark, sf_dir):
     return shaped.select("symbol", "title", "link", "date", "event_type", "sentiment")
 
 
+def _broken_feed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of feed documents in which every seventh item has a wrong closing tag and no document has an end."""
+    path = shared_dir(spark, "broken-feed")
+    items = wh.announcement_items(spark, sf_dir)
+    tags = [F.concat(F.lit(f"<{c}>"), c, F.lit(f"</{c}>")) for c in ("title", "link", "pubDate")]
+    end = F.when(F.col("feed_ord") % 7 == 0, "</itm>").otherwise(f"</{ROW_TAG}>")
+    items.select(F.concat(F.lit(f"<{ROW_TAG}>"), *tags, end).alias("value")).write.text(path)
+    return path
+
+
+def feed_rejects(spark, sf_dir):
+    """The items that could not be read, by their links."""
+    rejects = read_feed_rejects(spark, _broken_feed(spark, sf_dir)).where("pos > 0")
+    return rejects.select(F.regexp_extract("record", "<link>(.*?)</link>", 1).alias("link"), F.col("record").endswith("</item>").alias("is_whole"))
+
+
+def feed_beside_rejects(spark, sf_dir):
+    """The items around the broken ones."""
+    shaped = news.classify(news.shape_items(read_feed(spark, _broken_feed(spark, sf_dir))))
+    return shaped.select("symbol", "title", "link", "date", "event_type", "sentiment")
+
+
 # Screen --------------------------------------------------------------------------------------
 
 
@@ -544,6 +566,17 @@ def shortlist(spark, sf_dir):
     return screen.shortlist(_assessed(spark, sf_dir)).select("ord", "symbol", "line")
 
 
+def shortlist_as_of(spark, sf_dir):
+    """The shortlist as it was at a moment amid the ticks, from what had been traded and announced by then."""
+    moment = F.lit(HOURLY_AS_OF.isoformat(sep=" ")).cast("timestamp_ntz")
+    events = wh.table(spark, sf_dir, "events").where(F.col("ts") <= moment)
+    ticks = cd.recent_ticks(wh.tick_columns(events), DAILY[0], DAILY[1], HOURLY_AS_OF)
+    bars = cd.timeframes(cd.resample_ticks(ticks, FOUR_HOUR[0]), [FOUR_HOUR[0], DAILY[0]])
+    announced = news.shape_items(wh.announcement_columns(events))
+    assessed = screen.assess(bars, _validated(spark, sf_dir), announced, HOURLY_AS_OF, split_bars=None)
+    return screen.shortlist(assessed).select("ord", "symbol", "line")
+
+
 def shortlist_literal(spark, sf_dir):
     return screen.shortlist(_assessed(spark, sf_dir, "literal")).select("ord", "symbol", "line")
 
@@ -687,11 +720,14 @@ QUERIES: dict[str, Query] = {
     "first_announcement": first_announcement,
     "event_profile": event_profile,
     "announcement_feed": announcement_feed,
+    "feed_rejects": feed_rejects,
+    "feed_beside_rejects": feed_beside_rejects,
     "assembled_profiles": assembled_profiles,
     "evaluate_candidates": evaluate_candidates,
     "evaluate_with_slots": evaluate_with_slots,
     "shortlist": shortlist,
     "shortlist_literal": shortlist_literal,
+    "shortlist_as_of": shortlist_as_of,
     "failures": failures,
     "stream_candles": stream_candles,
     "stream_announcements": stream_announcements_query,

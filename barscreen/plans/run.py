@@ -13,7 +13,7 @@ from barscreen.plans import screen
 from barscreen.schemas import DAILY, FOUR_HOUR
 from barscreen.sources import sinks
 from barscreen.sources.candles import Responses, parse_responses, read_candles, read_responses
-from barscreen.sources.feed import read_feed
+from barscreen.sources.feed import read_feed, read_feed_rejects, update_ledger
 from barscreen.sources.fundamentals import non_numeric_warnings, read_fundamentals, read_validated
 
 
@@ -63,12 +63,17 @@ def screen_stored(
     responses: str | None = None,
     mapping: str = "corrected",
     news_since: timedelta = timedelta(0),
+    feed_ledger: str | None = None,
 ) -> Screened:
     """Screen stored inputs; assessments are written once and the two reports read from them.
 
     The news are those of the newest feed document landed by `as_of`, and of the ones landed up to
-    `news_since` before it.
+    `news_since` before it. Name a `feed_ledger` to have landing times kept when the documents are copied. Items
+    that could not be read go to `feed_rejects`.
     """
+    if feed_ledger is not None:
+        update_ledger(spark, feed_path, feed_ledger)
+    read_feed_rejects(spark, feed_path).write.mode("overwrite").parquet(f"{out}/feed_rejects")
     bad_series = None
     if candle_table is not None:
         bars, landed = read_candles(spark, candle_table, [DAILY, FOUR_HOUR], as_of), None
@@ -82,7 +87,7 @@ def screen_stored(
     screen.assess(
         bars,
         read_validated(spark, validated_path),
-        news.shape_items(read_feed(spark, feed_path, as_of, news_since)),
+        news.shape_items(read_feed(spark, feed_path, as_of, news_since, feed_ledger)),
         as_of,
         bad_series=bad_series,
         landed=landed,

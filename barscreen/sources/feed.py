@@ -28,7 +28,7 @@ def split_documents(documents: DataFrame) -> DataFrame:
 
     A document that was cut off has one more row, without an item, for its last characters.
     """
-    pieces = F.slice(F.split("value", ITEM_BEGIN), F.lit(2), F.size(F.split("value", ITEM_BEGIN)))
+    pieces = F.filter(F.split("value", ITEM_BEGIN), lambda p: p.rlike(rf"^<{ROW_TAG}[\s>]"))
     records = F.transform(pieces, lambda p, i: F.struct((i + 1).alias("pos"), p.alias("record"), F.lit(True).alias("is_item")))
     cut = F.struct(F.lit(0).alias("pos"), F.right("value", F.lit(200)).alias("record"), F.lit(False).alias("is_item"))
     ended = F.col("value").rlike(DOCUMENT_END)
@@ -53,7 +53,7 @@ def item_fields() -> list[Column]:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(file, landed_at, value) of every landed document; `landed_at` is the file's time."""
-    documents = spark.read.option("wholetext", True).text(path)
+    documents = spark.read.text(path, wholetext=True)
     return documents.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed_at"), "value"
     )

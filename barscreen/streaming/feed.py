@@ -13,10 +13,10 @@ from barscreen.sources.storage import committed_versions, version_path
 
 def stream_feed(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Items of documents as they land; a broken item is left out, `read_feed_rejects` lists it."""
-    reader = spark.readStream.option("wholetext", True)
+    reader = spark.readStream
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    documents = reader.text(path).select(F.col("_metadata.file_modification_time").alias("landed_at"), "value")
+    documents = reader.text(path, wholetext=True).select(F.col("_metadata.file_modification_time").alias("landed_at"), "value")
     return split_documents(documents).where(is_readable()).select(*item_fields(), "landed_at")
 
 
