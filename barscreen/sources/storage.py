@@ -65,6 +65,16 @@ def _versions(spark: SparkSession, root: str, committed: bool) -> list[int]:
     return sorted(found)
 
 
+def is_committed(spark: SparkSession, path: str) -> bool:
+    fs, folder = _file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(folder)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, folder = _file_system(spark, path)
+    fs.delete(folder, True)
+
+
 def version_path(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/{VERSION}{version:08d}"
 
@@ -73,5 +83,4 @@ def drop_versions(spark: SparkSession, root: str, below: int) -> None:
     """Delete the versions of `root` that are older than `below`."""
     for version in committed_versions(spark, root):
         if version < below:
-            fs, path = _file_system(spark, version_path(root, version))
-            fs.delete(path, True)
+            delete_path(spark, version_path(root, version))
