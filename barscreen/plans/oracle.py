@@ -401,3 +401,26 @@ ORACLE["response_stream_candles"] = f"""with {DELIVERED}
 select {CANDLE_COLUMNS} from delivered where not {BAD} and right(symbol, 1) <> '5'"""
 ORACLE["response_stream_rejects"] = ORACLE["landing_rejects"]
 ORACLE["late_ticks_merged"] = f"{_candles(1440)} where ts between timestamp '2024-01-31' - interval 365 day and timestamp '2024-01-30'"
+
+# Decisions at the end of every day: the moment goes in front of every symbol, and what it does not know is left out.
+AT = "cast(moment as varchar) || '|' || symbol"
+RECENT_BY_DAY = f"""{TICKS}, {_bars(1440, "daily")}, {_bars(240, "fourh")}, moments as (
+  select unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-31', interval 1 day)) as moment),
+recent as (
+  select daily.* replace ({AT} as symbol) from daily join moments
+    on ts + interval 1 day <= moment and ts >= moment - interval 365 day
+  union all
+  select fourh.* replace ({AT} as symbol) from fourh join moments
+    on ts + interval 4 hour <= moment and ts >= moment - interval 90 day)"""
+FILED_BY_DAY = f"""once as ({FIRST_FILED.removeprefix("filed as (").removesuffix(")")}),
+filed as (select once.* replace ({AT.replace('symbol', 'nse_code')} as nse_code) from once, moments)"""
+ANNOUNCED_BY_DAY = ANNOUNCED[: ANNOUNCED.index("first_announced")] + f"""known as (
+  select announced.* replace ({AT} as symbol) from announced join moments on published_at <= moment),
+first_announced as (
+  select * from known qualify row_number() over (partition by symbol order by feed_ord) = 1)"""
+ORACLE["decision_history"] = (
+    CORRECTED.replace(RECENT, RECENT_BY_DAY).replace(FIRST_FILED, FILED_BY_DAY).replace(ANNOUNCED, ANNOUNCED_BY_DAY)
+    + """
+select split_part(symbol, '|', 2) as symbol, cast(split_part(symbol, '|', 1) as timestamp) as moment,
+  decision, veto_reason, reasons from decided"""
+)

@@ -13,7 +13,7 @@ from barscreen.functions.text import zones_text
 from barscreen.operators import candles as cd
 from barscreen.operators import news, rules, signals, symbols, validate, zones
 from barscreen.operators.master import incoming_companies, upsert
-from barscreen.plans import screen
+from barscreen.plans import decisions, screen
 from barscreen.plans import warehouse as wh
 from barscreen.schemas import DAILY, FOUR_HOUR, HOURLY, MASTER_FIELDS, REQUIRED_HEADERS, snake
 from barscreen.sources import barstates, history, sinks
@@ -38,6 +38,8 @@ AS_OF = datetime(2024, 1, 31)
 FILED_AS_OF = datetime(1999, 6, 30, 12)
 HOURLY_AS_OF = datetime(2024, 1, 20, 12)
 STREAM_DELAY = "1 hour"
+# The ends of all days on which something was traded.
+HISTORY_START, HISTORY_DAYS = datetime(2024, 1, 2), 30
 
 FILING_COLUMNS = [
     "ord", "name", "nse_code", "bse_code", "isin", "industry", "sector",
@@ -577,6 +579,15 @@ def shortlist_as_of(spark, sf_dir):
     return screen.shortlist(assessed).select("ord", "symbol", "line")
 
 
+def decision_history(spark, sf_dir):
+    """Decisions of every listed symbol at the end of every day, from the bars ended and the news out by then."""
+    bars = cd.timeframes(_bars(spark, sf_dir, FOUR_HOUR[0]), [FOUR_HOUR[0], DAILY[0]])
+    moments = decisions.Moments(HISTORY_START, HISTORY_DAYS)
+    decided = decisions.decision_history(bars, _validated(spark, sf_dir), _announcements(spark, sf_dir), moments)
+    return decided.where(F.col("cause").isNull()).select(
+        "symbol", "moment", "decision", "veto_reason", F.concat_ws("; ", "reasons").alias("reasons"))
+
+
 def shortlist_literal(spark, sf_dir):
     return screen.shortlist(_assessed(spark, sf_dir, "literal")).select("ord", "symbol", "line")
 
@@ -728,6 +739,7 @@ QUERIES: dict[str, Query] = {
     "shortlist": shortlist,
     "shortlist_literal": shortlist_literal,
     "shortlist_as_of": shortlist_as_of,
+    "decision_history": decision_history,
     "failures": failures,
     "stream_candles": stream_candles,
     "stream_announcements": stream_announcements_query,

@@ -88,6 +88,18 @@ def failure_cause() -> Column:
     )
 
 
+def filed_profiles(fundamentals: DataFrame, mapping: str | dict[str, str] = "corrected") -> DataFrame:
+    """The ratios of every code, from its first row."""
+    coded = fundamentals.where(F.col("nse_code").isNotNull())
+    return (
+        rules.fundamental_profile(first_per_key(coded, "nse_code"), mapping)
+        .select(
+            F.col("nse_code").alias("symbol"), "ord", F.lit(True).alias("filed"),
+            "roce", "de_ratio", "altman_z", "piotroski_score",
+        )
+    )
+
+
 def assess(
     bars: DataFrame,
     fundamentals: DataFrame,
@@ -110,14 +122,7 @@ def assess(
         recent = cd.dedupe_bars(recent, landed)
     technical = technical_profile(recent, split_bars)
 
-    coded = fundamentals.where(F.col("nse_code").isNotNull())
-    filed = (
-        rules.fundamental_profile(first_per_key(coded, "nse_code"), mapping)
-        .select(
-            F.col("nse_code").alias("symbol"), "ord", F.lit(True).alias("filed"),
-            "roce", "de_ratio", "altman_z", "piotroski_score",
-        )
-    )
+    filed = filed_profiles(fundamentals, mapping)
     listed = filed if symbols is None else symbols.join(filed.drop("ord"), "symbol", "left")
 
     events = news.first_announcement(announcements).select("symbol", "sentiment", "title")
