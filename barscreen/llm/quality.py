@@ -3,11 +3,13 @@
 A document is a sparse vector: its distinct words hashed to buckets (damped counts, scaled to unit
 length), statistics of its structure cut into steps, and metadata columns as fields of their own. The score
 is `bias + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)`: all pairwise interactions
-in time linear in the number of features.
+in time linear in the number of features. Learning goes on until the loss on a share of the labelled documents kept aside no longer
+falls; then the scores are calibrated on that share, so that a threshold on them means a probability.
 
 Edge cases: a null text counts as empty and has structure features only, so it gets a score; null
 metadata is a value of its own; labels other than 0 and 1 and null labels are not learned from; a
-document labelled twice with both values is learned from twice; without labels every score is 0.5;
+document labelled twice with both values is learned from twice; without labels every score is 0.5; where the share
+kept aside lacks one of the labels, learning takes a fixed number of rounds and no calibration;
 repeated rows score alike; columns other than those named are not looked at.
 """
 
@@ -32,7 +34,11 @@ EXTRA = 1 << 10
 FACTORS = 8
 #: Labelled documents learned from, about: a bounded sample chosen by a hash of the id.
 SAMPLE = 8000
-EPOCHS = 6
+#: Rounds at most; learning stops when the share kept aside has not improved for so many rounds.
+EPOCHS = 120
+PATIENCE = 4
+#: One in so many labelled documents is kept aside to end learning and to calibrate.
+ASIDE = 5
 BATCH = 64
 MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -109,12 +115,45 @@ class Machine:
         return self.bias + linear + 0.5 * ((sums**2).sum(1) - squares), sums
 
     def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> None:
-        """Logistic loss, minimised by AdaGrad over shuffled batches."""
+        """Learn from all but a share, which tells when to stop and how to calibrate."""
+        aside = np.arange(len(docs)) % ASIDE == ASIDE - 1
+        own, tests = [d for d, a in zip(docs, aside) if not a], [d for d, a in zip(docs, aside) if a]
+        if len(set(labels[aside])) < 2:
+            for _ in self.rounds(docs, labels, min(epochs, 4 * ASIDE), seed):
+                pass
+            return
+        best, kept, since = math.inf, self.copy(), 0
+        for _ in self.rounds(own, labels[~aside], epochs, seed):
+            loss = log_loss(self.of(tests), labels[aside])
+            since += 1
+            if loss < best:
+                best, kept, since = loss, self.copy(), 0
+            if since == PATIENCE:
+                break
+        self.bias, self.linear, self.factors = kept.bias, kept.linear, kept.factors
+        self.rescale(*calibration(self.of(tests), labels[aside]))
+
+    def copy(self) -> Machine:
+        return Machine(self.bias, self.linear.copy(), self.factors.copy())
+
+    def of(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Margins of documents."""
+        at, value = (np.concatenate(x) for x in zip(*docs))
+        return self.margins(at, value, np.array([len(a) for a, _ in docs]))[0]
+
+    def rescale(self, slope: float, shift: float) -> None:
+        """Make every margin m into slope * m + shift."""
+        self.bias = slope * self.bias + shift
+        self.linear = slope * self.linear
+        self.factors = math.sqrt(slope) * self.factors
+
+    def rounds(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, seed: int = 1) -> Iterator[int]:
+        """Logistic loss, minimised by AdaGrad over shuffled batches; stops after each round."""
         draw = np.random.default_rng(seed)
         sums_w, sums_v = np.full(len(self.linear), 1e-3), np.full(self.factors.shape, 1e-3)
         rate = float(labels.mean())
         self.bias = math.log((rate + 1e-3) / (1 - rate + 1e-3))
-        for _ in range(epochs):
+        for epoch in range(epochs):
             order = draw.permutation(len(docs))
             for k in range(0, len(order), BATCH):
                 own = order[k : k + BATCH]
@@ -133,6 +172,33 @@ class Machine:
                 self.linear[used] -= 0.2 * by_w / np.sqrt(sums_w[used])
                 self.factors[used] -= 0.05 * by_v / np.sqrt(sums_v[used])
                 self.bias -= 0.05 * float(off.sum())
+            yield epoch
+
+
+def log_loss(margins: np.ndarray, labels: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(labels == 1, -margins, margins)).mean())
+
+
+def calibration(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make margins log odds: least logistic loss against labels drawn towards each other.
+
+    The targets are (n1 + 1) / (n1 + 2) and 1 / (n0 + 2) for n1 and n0 labels, so the slope is finite where the margins part the
+    labels; it is never negative.
+    """
+    ones = float((labels == 1).sum())
+    target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (len(labels) - ones + 2))
+    # Scaled to deviation one, which the steps are made for.
+    middle, scale = float(margins.mean()), max(float(margins.std()), 1e-6)
+    x = np.stack([(margins - middle) / scale, np.ones(len(margins))], 1)
+    weights = np.zeros(2)
+    for _ in range(50):
+        p = expit(x @ weights)
+        slope = x.T @ (p - target) + 1e-6 * weights
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        weights = weights - step * min(1.0, 2 / max(1e-12, float(np.abs(step).max())))
+    gradient = max(float(weights[0]), 0.0) / scale
+    return gradient, float(weights[1]) - gradient * middle
 
 
 def expit(x: np.ndarray) -> np.ndarray:
