@@ -34,9 +34,10 @@ EXTRA = 1 << 10
 FACTORS = 8
 #: Labelled documents learned from, about: a bounded sample chosen by a hash of the id.
 SAMPLE = 8000
-#: Rounds at most; learning stops when the share kept aside has not improved for so many rounds.
+#: Rounds at most; learning stops when the loss on the share kept aside has not fallen by this part for so many rounds.
 EPOCHS = 120
-PATIENCE = 4
+GAIN = 0.05
+PATIENCE = 2
 #: One in so many labelled documents is kept aside to end learning and to calibrate.
 ASIDE = 5
 BATCH = 64
@@ -122,12 +123,14 @@ class Machine:
             for _ in self.rounds(docs, labels, min(epochs, 4 * ASIDE), seed):
                 pass
             return
-        best, kept, since = math.inf, self.copy(), 0
+        best, goal, kept, since = math.inf, math.inf, self.copy(), 0
         for _ in self.rounds(own, labels[~aside], epochs, seed):
             loss = log_loss(self.of(tests), labels[aside])
             since += 1
             if loss < best:
-                best, kept, since = loss, self.copy(), 0
+                best, kept = loss, self.copy()
+            if loss < goal:
+                goal, since = loss * (1 - GAIN), 0
             if since == PATIENCE:
                 break
         self.bias, self.linear, self.factors = kept.bias, kept.linear, kept.factors

@@ -44,6 +44,29 @@ def test_held_out(spark):
     good, bad = ([r.score for r in held if r.quality == q] for q in (1, 0))
     assert np.mean([g > b for g in good for b in bad]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    # The prediction itself, not only the order: of either label most are told right.
+    for quality in (0, 1):
+        assert np.mean([r.predicted == quality for r in held if r.quality == quality]) >= 0.75
+
+
+def test_calibration_gives_log_odds():
+    """Margins whose odds are known, stretched and shifted, come back; parted labels give a finite slope."""
+    draw = np.random.default_rng(4)
+    odds = draw.normal(0.5, 1.5, 20_000)
+    labels = (draw.random(20_000) < quality.expit(odds)).astype(float)
+    slope, shift = quality.calibration(odds / 3 + 7, labels)
+    assert np.abs(quality.expit(slope * (odds / 3 + 7) + shift) - quality.expit(odds)).max() < 0.03
+    slope, shift = quality.calibration(np.array([-1.0, -2, 1, 2]), np.array([0.0, 0, 1, 1]))
+    assert 0 < slope < 10 and abs(shift) < 1
+    assert quality.calibration(np.array([1.0, -1, 1, -1]), np.array([0.0, 1, 0, 1]))[0] == 0
+
+
+def test_rescaling_changes_margins_alone():
+    machine = quality.Machine.new(3)
+    docs = [quality.features(t, {}) for t in (b"a b c", b"d e", b"")]
+    before = machine.of(docs)
+    machine.rescale(2.5, -1)
+    assert np.allclose(machine.of(docs), 2.5 * before - 1)
 
 
 def test_odd_rows_and_no_labels(spark):
