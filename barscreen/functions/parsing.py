@@ -28,9 +28,14 @@ NULL_TOKENS = [
     "null",
 ]
 
-DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "yyyyMM", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-M-d",
-    "d-MMM-yyyy", "d MMM yyyy", "MMM yyyy",
+#: Formats by what a text looks like; of each kind the first that fits counts. Days come before months, unless only the
+#: other order gives a date.
+DATE_KINDS = [
+    ("^[0-9]{4}-", ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-M-d", "yyyy-MM-dd'T'HH:mm:ssXXX"]),
+    ("/", ["dd/MM/yyyy", "d/M/yyyy", "M/d/yyyy"]),
+    ("[.]", ["dd.MM.yyyy"]),
+    ("[A-Za-z]", ["d-MMM-yyyy", "d MMM yyyy", "MMM yyyy", "d MMMM yyyy", "MMMM yyyy"]),
+    ("", ["yyyyMM", "yyyyMMdd"]),
 ]
 RSS_FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d-MMM-yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss"]
 
@@ -53,10 +58,21 @@ def nan_to_null(col: Column) -> Column:
 
 
 def date_or_null(col: Column, formats: list[str] | None = None) -> Column:
-    """Text to timestamp by the first format that fits; unparseable becomes null."""
-    return F.coalesce(
-        *[F.try_to_timestamp(col, F.lit(fmt)) for fmt in (formats or DATE_FORMATS)]
-    )
+    """Text to timestamp by the first format that fits; unparseable becomes null.
+
+    Without `formats`, those of `DATE_KINDS`; a text is tried with the formats of its kind only.
+    """
+
+    def first_of(some: list[str]) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(col, F.lit(fmt)) for fmt in some])
+
+    if formats:
+        return first_of(formats)
+    (pattern, some), *rest = DATE_KINDS
+    chosen = F.when(col.rlike(pattern), first_of(some))
+    for pattern, some in rest:
+        chosen = chosen.when(col.rlike(pattern), first_of(some))
+    return chosen
 
 
 def rss_date_or_null(col: Column) -> Column:

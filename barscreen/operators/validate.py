@@ -67,11 +67,11 @@ def report(df: DataFrame, as_of: Instant) -> DataFrame:
         F.count_if(is_stale(df, as_of)).alias("stale_count"),
         F.count_if(F.col("nse_code").isNull()).alias("missing_code_count"),
         F.coalesce(kept, F.lit(0)).cast("bigint").alias("rows_out"),
-        *(
-            [F.coalesce(F.sum(F.size("non_numeric")), F.lit(0)).alias("non_numeric_cells")]
-            if "non_numeric" in df.columns
-            else []
-        ),
+        *[
+            F.coalesce(F.sum(F.size(listed)), F.lit(0)).alias(f"{listed}_cells")
+            for listed in ("non_numeric", "unparsed_dates")
+            if listed in df.columns
+        ],
     )
     return counts.withColumns(
         {

@@ -319,6 +319,9 @@ select ord, name, nse_code, bse_code, isin, return_on_capital_employed, debt_to_
     "fundamentals_warnings": f"""with {FILINGS}
 select nse_code as symbol, 'Interest Coverage Ratio' as header from filings
 where isin is null""",
+    "unparsed_dates": f"""with {FILINGS}
+select nse_code as symbol, 'Last quarterly result date' as header from filings
+where bse_code is null""",
     "validated_reload": f"with {VALIDATED} select {FILING_COLUMNS} from validated",
     "validated_csv_reload": f"""with {FILINGS}
 select ord, name, nse_code, bse_code, isin, return_on_capital_employed, debt_to_equity,

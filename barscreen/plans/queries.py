@@ -20,6 +20,7 @@ from barscreen.sources import barstates, history, sinks
 from barscreen.sources import candles as candle_source
 from barscreen.sources.feed import ROW_TAG, read_feed, read_feed_rejects
 from barscreen.sources.fundamentals import (
+    date_warnings,
     non_numeric_warnings,
     read_fundamentals,
     read_validated,
@@ -408,6 +409,11 @@ def fundamentals_warnings(spark, sf_dir):
     return non_numeric_warnings(_landed_csv(spark, sf_dir))
 
 
+def unparsed_dates(spark, sf_dir):
+    """Date cells of the landed CSV that could not be read."""
+    return date_warnings(_landed_csv(spark, sf_dir))
+
+
 def validated_reload(spark, sf_dir):
     """Store the validated table and read it again."""
     path = shared_dir(spark, "validated")
@@ -720,6 +726,7 @@ QUERIES: dict[str, Query] = {
     "symbol_head": symbol_head,
     "fundamentals_csv": fundamentals_csv,
     "fundamentals_warnings": fundamentals_warnings,
+    "unparsed_dates": unparsed_dates,
     "validated_reload": validated_reload,
     "validated_csv_reload": validated_csv_reload,
     "fundamental_profile": _profile("corrected"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +43,7 @@ def _csv(spark: SparkSession, multi_line: bool):
 def column_names(headers: list[str]) -> list[str]:
     """Required headers in snake case, others as spelled; names that differ only in case apart."""
     names = {h: snake(h) for h in REQUIRED_HEADERS}
-    taken = {names[h] for h in headers if h in names} | {"ord", "non_numeric"}
+    taken = {names[h] for h in headers if h in names} | {"ord", "non_numeric", "unparsed_dates"}
     out = []
     for header in headers:
         name = names.get(header)
@@ -64,7 +65,7 @@ def read_fundamentals(
     """Read, check the headers, unify missing values and type the columns.
 
     All columns are read as text first. `non_numeric` lists the headers of number cells that hold
-    other text; those cells become null. With `multi_line` cells may contain line breaks, but a file
+    other text, `unparsed_dates` those of date cells; those cells become null. With `multi_line` cells may contain line breaks, but a file
     is then one task.
     """
     headers = read_headers(spark, path, multi_line)
@@ -100,15 +101,19 @@ def read_fundamentals(
     parsed = cells.select(
         "*", *[typed(h, F.col(f"c{i}")).alias(f"t{i}") for i, h in enumerate(headers)]
     )
-    bad_cells = [
-        F.when(F.col(f"c{i}").isNotNull() & F.col(f"t{i}").isNull(), h)
-        for i, h in enumerate(headers)
-        if h in NUMERIC_HEADERS
-    ]
+    def bad_cells(kind: Collection[str]) -> Column:
+        found = [
+            F.when(F.col(f"c{i}").isNotNull() & F.col(f"t{i}").isNull(), h)
+            for i, h in enumerate(headers)
+            if h in kind
+        ]
+        return F.array_compact(F.array(*found))
+
     frame = parsed.select(
         "ord",
         *[F.col(f"t{i}").alias(name) for i, name in enumerate(names)],
-        F.array_compact(F.array(*bad_cells)).alias("non_numeric"),
+        bad_cells(NUMERIC_HEADERS).alias("non_numeric"),
+        bad_cells(DATE_HEADERS).alias("unparsed_dates"),
     )
     return Landed(frame, extra)
 
@@ -118,6 +123,13 @@ def read_validated(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def date_warnings(fundamentals: DataFrame) -> DataFrame:
+    """One row per date cell that could not be read; such a company is never counted as stale."""
+    return fundamentals.select(
+        F.col("nse_code").alias("symbol"), F.explode("unparsed_dates").alias("header")
+    )
+
+
 def non_numeric_warnings(fundamentals: DataFrame) -> DataFrame:
     """One row per number cell that held other text."""
     return fundamentals.select(

@@ -19,7 +19,7 @@ from barscreen.sources.storage import (
     version_path,
 )
 
-HELPERS = ["ord", "non_numeric"]
+HELPERS = ["ord", "non_numeric", "unparsed_dates"]
 
 
 def write_validated(frame: DataFrame, path: str, csv_path: str | None = None) -> None:

@@ -7,7 +7,7 @@ from barscreen.operators.master import master_key
 from barscreen.plans.run import ingest
 from barscreen.schemas import MASTER, REQUIRED_HEADERS
 from barscreen.sources import sinks
-from barscreen.sources.fundamentals import non_numeric_warnings, read_fundamentals
+from barscreen.sources.fundamentals import date_warnings, non_numeric_warnings, read_fundamentals
 
 AS_OF = datetime(2024, 7, 31, 10)
 
@@ -223,12 +223,22 @@ def test_files_with_other_header_orders_are_refused(spark, tmp_path):
 
 
 @pytest.mark.parametrize("text, day", [
-    ("2024-03-31T00:00:00", 31), ("31-Mar-2024", 31), ("31 Mar 2024", 31), ("Mar 2024", 1), ("2024-3-1", 1)])
+    ("2024-03-31T00:00:00", 31), ("31-Mar-2024", 31), ("31 Mar 2024", 31), ("Mar 2024", 1), ("2024-3-1", 1),
+    ("March 2024", 1), ("31 March 2024", 31), ("31.03.2024", 31), ("3/31/2024", 31), ("1/3/2024", 1), ("2024-03-31T00:00:00Z", 31),
+    ("20240331", 31), ("202403", 1)])
 def test_more_spellings_of_dates(spark, tmp_path, text, day):
     path = write_csv(tmp_path / "d.csv", [row("A", **{"Last quarterly result date": text})])
     assert read_fundamentals(spark, path).frame.first()["last_quarterly_result_date"] == datetime(2024, 3, day)
 
 
+def test_unread_dates_are_listed_and_counted(spark, tmp_path):
+    rows = [row("A", "A1", "IN1", **{"Last quarterly result date": "31/31/2024", "Last annual result date": "soon"}),
+            row("B", "B1", "IN2", **{"Last quarterly result date": "NA"})]
+    frame = read_fundamentals(spark, write_csv(tmp_path / "d.csv", rows)).frame
+    assert sorted(tuple(r) for r in date_warnings(frame).collect()) == [("A1", "Last annual result date"), ("A1", "Last quarterly result date")]
+    assert validate.report(frame, AS_OF).first().unparsed_dates_cells == 2
+
+
 def test_master_survives_what_a_crashed_write_left(spark, tmp_path):
     root = str(tmp_path / "master")
     frame = read_fundamentals(spark, write_csv(tmp_path / "m.csv", [row("A", "A1", "IN1")])).frame
