@@ -316,6 +316,11 @@ select ord, name, nse_code, bse_code, isin, return_on_capital_employed, debt_to_
   cast(null as double) as interest_coverage_ratio,
   case when bse_code is not null then last_quarterly_result_date end as last_quarterly_result_date,
   case when isin is null then 1 else 0 end as bad_cells from filings""",
+    "fundamentals_multi_line": f"""with {FILINGS}
+select ord, name || chr(10) || '"' || industry || '", ' || chr(10) || chr(10) || sector as name,
+  nse_code, bse_code, isin, return_on_capital_employed, debt_to_equity,
+  case when bse_code is not null then last_quarterly_result_date end as last_quarterly_result_date
+from filings""",
     "fundamentals_warnings": f"""with {FILINGS}
 select nse_code as symbol, 'Interest Coverage Ratio' as header from filings
 where isin is null""",

@@ -404,6 +404,19 @@ def fundamentals_csv(spark, sf_dir):
     )
 
 
+def fundamentals_multi_line(spark, sf_dir):
+    """The filings as CSV whose names hold line breaks, quotes and commas, read in splits."""
+    path = shared_dir(spark, "fundamentals-lines")
+    name = F.concat("name", F.lit('\n"'), "industry", F.lit('", '), F.lit("\n\n"), "sector")
+    cells = _csv_cells(wh.filings(spark, sf_dir).withColumn("name", name))
+    cells.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    frame = read_fundamentals(spark, path, multi_line=True).frame
+    return frame.select(
+        F.col("Serial").cast("bigint").alias("ord"), "name", "nse_code", "bse_code", "isin",
+        "return_on_capital_employed", "debt_to_equity", "last_quarterly_result_date",
+    )
+
+
 def fundamentals_warnings(spark, sf_dir):
     """Number cells of the landed CSV that hold other text."""
     return non_numeric_warnings(_landed_csv(spark, sf_dir))
@@ -725,6 +738,7 @@ QUERIES: dict[str, Query] = {
     "symbol_count": symbol_count,
     "symbol_head": symbol_head,
     "fundamentals_csv": fundamentals_csv,
+    "fundamentals_multi_line": fundamentals_multi_line,
     "fundamentals_warnings": fundamentals_warnings,
     "unparsed_dates": unparsed_dates,
     "validated_reload": validated_reload,

@@ -13,6 +13,7 @@ from barscreen.functions.parsing import date_or_null, missing_to_null, number_or
 from barscreen.functions.text import clean_code
 from barscreen.operators.validate import check_headers
 from barscreen.schemas import DATE_HEADERS, NUMERIC_HEADERS, REQUIRED_HEADERS, snake
+from barscreen.sources.records import read_records
 from barscreen.sources.storage import file_order_fields
 
 
@@ -36,8 +37,27 @@ def read_headers(spark: SparkSession, path: str, multi_line: bool = False) -> li
     return headers
 
 
-def _csv(spark: SparkSession, multi_line: bool):
-    return spark.read.option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+CELLS = {"quote": '"', "escape": '"'}
+
+
+def _csv(spark: SparkSession, multi_line: bool = False):
+    return spark.read.options(multiLine=multi_line, **CELLS)
+
+
+def _split_records(spark: SparkSession, path: str, headers: list[str], plain: bool) -> DataFrame:
+    """`ord` and the cells `c0`, `c1`, ... of files whose cells may contain line breaks.
+
+    The place of a row is its number in the file, however the file was split.
+    """
+    kind = ", ".join(f"c{i} string" for i in range(len(headers)))
+    cells = F.from_csv("record", kind, {**CELLS, "multiLine": "true"}).alias("cells")
+    place = F.struct("file", F.lit(0).cast("bigint").alias("block"), F.col("number").alias("row")).alias("ord")
+    rows = read_records(spark, path).select(place, "is_header", cells)
+    same = F.array(*[F.col(f"cells.c{i}").eqNullSafe(h) for i, h in enumerate(headers)])
+    other = F.raise_error(F.concat(F.lit("CSV header does not conform to that of the first file: "), F.col("ord.file")))
+    fits = F.forall(same, lambda x: x) if plain else F.lit(True)
+    kept = F.when(F.col("is_header"), F.when(fits, F.lit(False)).otherwise(other.cast("boolean"))).otherwise(F.lit(True))
+    return rows.where(kept).select("ord", "cells.*")
 
 
 def column_names(headers: list[str]) -> list[str]:
@@ -65,22 +85,25 @@ def read_fundamentals(
     """Read, check the headers, unify missing values and type the columns.
 
     All columns are read as text first. `non_numeric` lists the headers of number cells that hold
-    other text, `unparsed_dates` those of date cells; those cells become null. With `multi_line` cells may contain line breaks, but a file
-    is then one task.
+    other text, `unparsed_dates` those of date cells; those cells become null. With `multi_line` cells may contain line breaks;
+    files are split then too, for a shuffle of their lines (`sources/records.py`).
     """
     headers = read_headers(spark, path, multi_line)
     extra = check_headers(headers)
     names = column_names(headers)
     # Every file's header row is compared with the names of the schema, where they are names.
     plain = len({h.lower() for h in headers}) == len(headers) and not any("Unnamed: " in h for h in headers)
-    cells = headers if plain else [f"c{i}" for i in range(len(headers))]
-    raw_schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
-    reader = _csv(spark, multi_line).option("header", True).option("enforceSchema", not plain)
-    raw = reader.schema(raw_schema).csv(path)
-    raw = raw.select(
-        F.struct(*file_order_fields()).alias("ord"),
-        *[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(cells)],
-    )
+    if multi_line:
+        raw = _split_records(spark, path, headers, plain)
+    else:
+        cells = headers if plain else [f"c{i}" for i in range(len(headers))]
+        raw_schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+        reader = _csv(spark).option("header", True).option("enforceSchema", not plain)
+        raw = reader.schema(raw_schema).csv(path)
+        raw = raw.select(
+            F.struct(*file_order_fields()).alias("ord"),
+            *[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(cells)],
+        )
 
     # Cells, typed columns and the list of bad cells are separate projections, so that every cell
     # is parsed once although it is referred to twice.
