@@ -39,9 +39,9 @@ END = b" "
 #: Words that are classes of their own, and classes of the other words.
 OWN, OTHER = 1000, 23
 SIZE = 24
-NOISE = 32
+NOISE = 100
 BATCH = 1024
-ROUNDS = 1
+ROUNDS = 2
 RATE = 0.1
 FREQUENT = 1 << 19
 #: Distinct words a task counts before it hands them on.
