@@ -46,6 +46,22 @@ def check_headers(headers: list[str]) -> list[str]:
     return extra
 
 
+def header_report(df: DataFrame) -> DataFrame:
+    """(file, header, kind) of landed header rows `(file, headers)`: every required header that a file lacks and every extra one.
+
+    Headers are compared as they are spelled; of a repeated header the later ones are not told.
+    """
+    required = F.array(*[F.lit(h) for h in REQUIRED_HEADERS])
+    listed = F.coalesce("headers", F.array().cast("array<string>"))
+
+    def entries(headers: Column, kind: str) -> Column:
+        return F.transform(headers, lambda h: F.struct(h.alias("header"), F.lit(kind).alias("kind")))
+
+    found = F.concat(
+        entries(F.array_except(required, listed), "missing"), entries(F.array_except(listed, required), "extra"))
+    return df.select("file", F.explode(found).alias("found")).select("file", "found.*")
+
+
 def is_stale(df: DataFrame, as_of: Instant,
              column: str = "last_quarterly_result_date") -> Column:
     """Quarterly date more than four calendar months before `as_of`; false when missing."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from barscreen.schemas import REQUIRED_HEADERS
+
+HEADER_LIST = "[" + ", ".join(f"'{h}'" for h in REQUIRED_HEADERS) + "]"
 TICKS = """ticks as (
   select cast(user_id as varchar) as symbol, ts, event_id as seq, value as price from events)"""
 
@@ -321,6 +324,19 @@ select ord, name || chr(10) || '"' || industry || '", ' || chr(10) || chr(10) ||
   nse_code, bse_code, isin, return_on_capital_employed, debt_to_equity,
   case when bse_code is not null then last_quarterly_result_date end as last_quarterly_result_date
 from filings""",
+    "header_report": f"""with {FILINGS}, exports as (
+  select industry as nation, count(*) % 2 = 0 as short from filings group by 1)
+select nation, {HEADER_LIST}[length(nation) + 1] as header, 'missing' as kind from exports where short
+union all select nation, 'Notes, ' || nation, 'extra' from exports""",
+    "landed_report": f"""with {FILINGS}, counts as (
+  select count(*) as rows_in,
+    count(*) filter (where bse_code is not null and last_quarterly_result_date < {STALE_LIMIT}) as stale_count,
+    count(*) filter (where nse_code is null) as missing_code_count,
+    count(distinct isin) + max(case when isin is null then 1 else 0 end) as rows_out,
+    count(*) filter (where isin is null) as non_numeric_cells,
+    count(*) filter (where bse_code is null) as unparsed_dates_cells from filings)
+select *, missing_code_count > 0 as has_missing_code, rows_in > rows_out as has_duplicates
+from counts""",
     "fundamentals_warnings": f"""with {FILINGS}
 select nse_code as symbol, 'Interest Coverage Ratio' as header from filings
 where isin is null""",

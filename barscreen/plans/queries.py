@@ -15,6 +15,7 @@ from barscreen.operators import news, rules, signals, symbols, validate, zones
 from barscreen.operators.master import incoming_companies, upsert
 from barscreen.plans import decisions, screen
 from barscreen.plans import warehouse as wh
+from barscreen.plans.run import land
 from barscreen.schemas import DAILY, FOUR_HOUR, HOURLY, MASTER_FIELDS, REQUIRED_HEADERS, snake
 from barscreen.sources import barstates, history, sinks
 from barscreen.sources import candles as candle_source
@@ -23,6 +24,7 @@ from barscreen.sources.fundamentals import (
     date_warnings,
     non_numeric_warnings,
     read_fundamentals,
+    read_header_rows,
     read_validated,
 )
 from barscreen.sources.storage import shared_dir
@@ -383,12 +385,14 @@ def _csv_cells(filings: DataFrame) -> DataFrame:
     return filings.select(*cells, F.col("ord").alias("Serial"))
 
 
+def _written_csv(cells: DataFrame) -> str:
+    path = shared_dir(cells.sparkSession, "fundamentals")
+    cells.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
 def _landed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "fundamentals")
-    _csv_cells(wh.filings(spark, sf_dir)).write.option("header", True).option(
-        "ignoreLeadingWhiteSpace", False
-    ).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return read_fundamentals(spark, path).frame
+    return read_fundamentals(spark, _written_csv(_csv_cells(wh.filings(spark, sf_dir)))).frame
 
 
 def fundamentals_csv(spark, sf_dir):
@@ -406,17 +410,37 @@ def fundamentals_csv(spark, sf_dir):
 
 def fundamentals_multi_line(spark, sf_dir):
     """The filings as CSV whose names hold line breaks, quotes and commas, read in splits."""
-    path = shared_dir(spark, "fundamentals-lines")
     name = F.concat("name", F.lit('\n"'), "industry", F.lit('", '), F.lit("\n\n"), "sector")
     cells = _csv_cells(wh.filings(spark, sf_dir).withColumn("name", name))
-    cells.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    frame = read_fundamentals(spark, path, multi_line=True).frame
+    frame = read_fundamentals(spark, _written_csv(cells), multi_line=True).frame
     return frame.select(
         F.col("Serial").cast("bigint").alias("ord"), "name", "nse_code", "bse_code", "isin",
         "return_on_capital_employed", "debt_to_equity", "last_quarterly_result_date",
     )
 
 
+def header_report(spark, sf_dir):
+    """Exports of every nation, one file each: some lack a required header, all have an extra one."""
+    path = shared_dir(spark, "exports")
+    filings = wh.filings(spark, sf_dir)
+    # An export names the figures its nation gives, beside the other required headers.
+    names = F.array(*[F.lit(h) for h in REQUIRED_HEADERS])
+    lacks = F.element_at(names, (F.length("industry") + 1).cast("int"))
+    headers = F.filter(names, lambda h: ~((h == lacks) & F.col("short")))
+    exports = filings.groupBy("industry").agg((F.count("*") % 2 == 0).alias("short"))
+    line = F.concat_ws(",", headers, F.concat(F.lit('"Notes, '), "industry", F.lit('"')))
+    exports.select("industry", line.alias("value")).write.partitionBy("industry").text(path)
+    found = validate.header_report(read_header_rows(spark, path))
+    nation = F.regexp_extract("file", "industry=([^/]*)/", 1)
+    return found.select(F.replace(nation, F.lit("%20"), F.lit(" ")).alias("nation"), "header", "kind")
+
+
+def landed_report(spark, sf_dir):
+    """The validation report of a CSV that was parsed once, with the cells that could not be read."""
+    landed = land(spark, _written_csv(_csv_cells(wh.filings(spark, sf_dir))))
+    return validate.report(landed.frame, FILED_AS_OF)
+
+
 def fundamentals_warnings(spark, sf_dir):
     """Number cells of the landed CSV that hold other text."""
     return non_numeric_warnings(_landed_csv(spark, sf_dir))
@@ -739,6 +763,8 @@ QUERIES: dict[str, Query] = {
     "symbol_head": symbol_head,
     "fundamentals_csv": fundamentals_csv,
     "fundamentals_multi_line": fundamentals_multi_line,
+    "header_report": header_report,
+    "landed_report": landed_report,
     "fundamentals_warnings": fundamentals_warnings,
     "unparsed_dates": unparsed_dates,
     "validated_reload": validated_reload,

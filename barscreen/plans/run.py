@@ -14,7 +14,8 @@ from barscreen.schemas import DAILY, FOUR_HOUR
 from barscreen.sources import sinks
 from barscreen.sources.candles import Responses, parse_responses, read_candles, read_responses
 from barscreen.sources.feed import read_feed, read_feed_rejects, update_ledger
-from barscreen.sources.fundamentals import non_numeric_warnings, read_fundamentals, read_validated
+from barscreen.sources.fundamentals import Landed, non_numeric_warnings, read_fundamentals, read_validated
+from barscreen.sources.storage import shared_dir
 
 
 class Ingested(NamedTuple):
@@ -31,15 +32,36 @@ class Screened(NamedTuple):
     failures: DataFrame
 
 
+def land(
+    spark: SparkSession, csv_path: str, landed_path: str | None = None, multi_line: bool = False
+) -> Landed:
+    """The typed rows of fundamentals CSV files, parsed once and stored; scratch storage unless a path is given.
+
+    Row order and cells are drawn from the files here and nowhere else, so all that follows sees the same
+    rows. Counting by metrics observed on the way to the validated table would save this step, but tasks
+    ahead of a shuffle that run again after a lost executor count twice there.
+    """
+    path = landed_path or shared_dir(spark, "landed-fundamentals")
+    landed = read_fundamentals(spark, csv_path, multi_line=multi_line)
+    landed.frame.write.mode("overwrite").parquet(path)
+    return Landed(spark.read.parquet(path), landed.extra)
+
+
 def ingest(
-    spark: SparkSession, csv_path: str, validated_path: str, master_root: str, as_of: Instant
+    spark: SparkSession,
+    csv_path: str,
+    validated_path: str,
+    master_root: str,
+    as_of: Instant,
+    landed_path: str | None = None,
+    multi_line: bool = False,
 ) -> Ingested:
     """Fundamentals CSV to the stored validated table and the company master.
 
-    The validated table is read back from storage, so that the row order, once drawn from the
-    files, stays what it is.
+    The CSV is scanned once; the report reads the few landed columns it counts. With a `landed_path` a
+    later run of the day can `validate` what was landed without the CSV.
     """
-    landed = read_fundamentals(spark, csv_path)
+    landed = land(spark, csv_path, landed_path, multi_line)
     checked = validate.validate(landed.frame, as_of, landed.extra)
     sinks.write_validated(checked.frame, validated_path)
     frame = read_validated(spark, validated_path)

@@ -37,6 +37,22 @@ def read_headers(spark: SparkSession, path: str, multi_line: bool = False) -> li
     return headers
 
 
+def read_header_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, headers) of every CSV file of `path`, whatever its headers; a file without lines is not told.
+
+    Only files' first blocks are kept, and of each the first line that is not blank; a header row has no line breaks.
+    """
+    lines = spark.read.text(path).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+    place = F.monotonically_increasing_id()
+    first = lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    first = first.groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    # As many cells as commas can part.
+    cells = F.split(F.regexp_replace("line", "^\ufeff", ""), ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    plain = F.transform(cells, lambda c: F.when(
+        c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    return first.select("file", plain.alias("headers"))
+
+
 CELLS = {"quote": '"', "escape": '"'}
 
 

@@ -7,7 +7,12 @@ from barscreen.operators.master import master_key
 from barscreen.plans.run import ingest
 from barscreen.schemas import MASTER, REQUIRED_HEADERS
 from barscreen.sources import sinks
-from barscreen.sources.fundamentals import date_warnings, non_numeric_warnings, read_fundamentals
+from barscreen.sources.fundamentals import (
+    date_warnings,
+    non_numeric_warnings,
+    read_fundamentals,
+    read_header_rows,
+)
 
 AS_OF = datetime(2024, 7, 31, 10)
 
@@ -200,6 +205,33 @@ def test_ingest_stores_table_master_and_report(spark, tmp_path):
     assert found == {"I1": ("A", "s", "new"), "I2": ("B", None, None), "I3": ("C", None, None)}
 
 
+def test_csv_is_parsed_once_in_a_run(spark, tmp_path):
+    """What is stored and reported stays as it was landed, though the CSV is gone."""
+    path = write_csv(tmp_path / "s.csv", [row("A", "A", "I1", **{"Debt to Equity": "x"}), row("A2", "A", "I1")])
+    landed = str(tmp_path / "landed")
+    found = ingest(spark, path, str(tmp_path / "v"), str(tmp_path / "m"), AS_OF, landed)
+    (tmp_path / "s.csv").unlink()
+    report = found.report.first()
+    assert (report["rows_in"], report["rows_out"], report["non_numeric_cells"]) == (2, 1, 1)
+    for frame in (found.report, found.frame, found.master, found.warnings):
+        assert "FileScan csv" not in frame._jdf.queryExecution().executedPlan().toString()
+    again = validate.validate(spark.read.parquet(landed), AS_OF)
+    assert [r["name"] for r in again.frame.collect()] == ["A"]
+
+
+def test_headers_of_all_files_are_reported(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write_csv(folder / "whole.csv", [row("A")])
+    short = [h for h in REQUIRED_HEADERS if h not in ("Sector", "ISIN")]
+    write_csv(folder / "short.csv", [], [*short, 'a "quoted", one', "isin"])
+    (folder / "blank.csv").write_text("\n\n")
+    found = validate.header_report(read_header_rows(spark, str(folder)))
+    assert sorted((r.file.rsplit("/", 1)[1], r.kind, r.header) for r in found.collect()) == [
+        ("short.csv", "extra", 'a "quoted", one'), ("short.csv", "extra", "isin"),
+        ("short.csv", "missing", "ISIN"), ("short.csv", "missing", "Sector")]
+
+
 def test_validated_csv_copy_is_in_file_order(spark, tmp_path):
     path = write_csv(tmp_path / "s.csv", [row(f"N{i}", f"C{i}", f"I{i}") for i in range(20)])
     frame = validate.dedupe_isin(read_fundamentals(spark, path).frame)
