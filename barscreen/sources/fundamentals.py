@@ -102,7 +102,7 @@ def read_fundamentals(
 
     All columns are read as text first. `non_numeric` lists the headers of number cells that hold
     other text, `unparsed_dates` those of date cells; those cells become null. With `multi_line` cells may contain line breaks;
-    files are split then too, for a shuffle of their lines (`sources/records.py`).
+    files are split then too, and their lines are read twice (`sources/records.py`).
     """
     headers = read_headers(spark, path, multi_line)
     extra = check_headers(headers)

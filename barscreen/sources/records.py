@@ -4,10 +4,11 @@ A reader of such files must know whether a line begins inside quotes, which depe
 it, so Spark's `multiLine` reads a file as one task. Here the physical lines are read in splits, and a line
 tells two things about itself: the state (inside quotes or not) after it if it begins outside, and if it
 begins inside. These pairs compose, first along the lines of a block (one split), then along the blocks of
-a file, of which there is one row each (a small stored table). Then every line knows its record. A record
-that crosses blocks gets the first lines of the later ones; only these lines travel again. So the lines are
-read twice and shuffled by block each time, and no task holds more than a block and the rest of its last
-record. This takes several times the work of the reader that has one task per file.
+a file, of which there is one row each (a small stored table). Then every line knows its record. A task reads
+the lines of its blocks in order, so no line is shuffled or sorted; they are read twice. A record that crosses
+blocks gets the first lines of the later ones; only these lines travel, by a stored table. No task holds more
+than a record and the lines with which a block begins. This takes several times the work of the reader that
+has one task per file.
 
 Lines end with a line feed; a carriage return before it is dropped, within cells too. A quote opens a cell at its beginning only,
 two quotes within a quoted cell stand for one, and what follows a closing quote belongs to the cell up to
@@ -17,6 +18,10 @@ of its file, in one task. Compressed files have one split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,55 +58,123 @@ def _states_after(df: DataFrame, ordered: WindowSpec, if_outside: str, if_inside
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their place, and, under both states at the begin of their block, the record they belong to.
-
-    `n0` and `n1` count the records begun within the block up to the line.
-    """
+    """Lines with their block, and the state after each (1: inside quotes) if it begins outside, inside."""
     read = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
         F.rtrim("value", F.lit("\r")).alias("line"),
     )
     quoted = F.col("line").contains('"')
-    outcomes = read.withColumns({
+    return read.withColumns({
         "f0": F.when(quoted, (~F.col("line").rlike(ENDS_OUTSIDE)).cast("int")).otherwise(0),
         "f1": F.when(quoted, (~F.col("line").rlike(ENDS_OUTSIDE_IF_INSIDE)).cast("int")).otherwise(1),
     })
-    ordered = W.partitionBy(*BLOCK).orderBy("row")
-    states = _states_after(outcomes, ordered, "f0", "f1").drop("f0", "f1")
-    before = {f"before{s}": F.lag(f"after{s}", 1, s).over(ordered) for s in (0, 1)}
-    states = states.withColumns(before)
-    begun = {f"n{s}": F.sum((F.col(f"before{s}") == 0).cast("bigint")).over(ordered) for s in (0, 1)}
-    return states.withColumns(begun).drop("before0", "before1")
 
 
-def _joined(lines: Column) -> Column:
-    """A list of (place, line) as one text."""
-    return F.array_join(F.transform(F.array_sort(lines), lambda e: e["line"]), "\n")
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The parts of a batch that are of one block each, with the block."""
+    if not batch.num_rows:
+        return
+    file, block = batch.column("file").dictionary_encode(), batch.column("block").to_numpy()
+    other = (np.diff(file.indices.to_numpy()) != 0) | (np.diff(block) != 0)
+    ends = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+    for begin, end in zip(ends, ends[1:]):
+        yield (file[begin].as_py(), int(block[begin])), batch.slice(begin, end - begin)
 
 
-def _blocks(lines: DataFrame) -> DataFrame:
-    """One row per block, stored: the state after it, the records in it and its first lines, under both states at its begin."""
-    filled = F.col("line") != ""
+class _Block:
+    """What the lines of a block tell so far, under both states at its begin."""
 
-    def lead(s: int) -> Column:
-        return F.min(F.when(filled & (F.col(f"n{s}") > 0), F.col(f"n{s}")))
+    def __init__(self) -> None:
+        self.state, self.begun, self.lead, self.head = [0, 1], [0, 0], [None, None], []
+
+    def add(self, lines: list[str], f0: list[int], f1: list[int]) -> None:
+        for line, *after in zip(lines, f0, f1):
+            for s in (0, 1):
+                if not self.state[s]:
+                    self.begun[s] += 1
+                if self.lead[s] is None and line and self.begun[s]:
+                    self.lead[s] = self.begun[s]
+                self.state[s] = after[self.state[s]]
+            if not self.begun[1]:
+                self.head.append(line)
+
+    def row(self) -> tuple:
+        return (*self.state, *self.begun, *self.lead, "\n".join(self.head) if self.head else None)
+
+
+BLOCKS = "file string, block long, f0 int, f1 int, n0 long, n1 long, lead0 long, lead1 long, head string"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    names, types = zip(*(field.split() for field in kind.split(", ")))
+    columns = zip(*rows) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, t in zip(columns, types)], list(names))
+
+
+def _columns(piece: pa.RecordBatch, *names: str) -> list[list]:
+    return [piece.column(name).to_pylist() for name in names]
 
-    head = F.collect_list(F.when(F.col("n1") == 0, F.struct("row", "line")))
-    blocks = lines.groupBy(*BLOCK).agg(
-        F.max_by("after0", "row").alias("f0"), F.max_by("after1", "row").alias("f1"),
-        F.max("n0").alias("n0"), F.max("n1").alias("n1"),
-        lead(0).alias("lead0"), lead(1).alias("lead1"),
-        _joined(head).alias("head"),
-    )
-    path = shared_dir(lines.sparkSession, "csv-blocks")
-    blocks.write.parquet(path)
-    return lines.sparkSession.read.parquet(path)
 
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block (`BLOCKS`) from the lines of blocks, each in one row of batches and in order."""
+    at, block = None, _Block()
+    for batch in batches:
+        for found, piece in _pieces(batch):
+            if found != at:
+                if at is not None:
+                    yield _batch([(*at, *block.row())], BLOCKS)
+                at, block = found, _Block()
+            block.add(*_columns(piece, "line", "f0", "f1"))
+    if at is not None:
+        yield _batch([(*at, *block.row())], BLOCKS)
 
-def _chained(blocks: DataFrame) -> DataFrame:
-    """Per block in which a record begins: its state at the begin, records before and in it, the rest of its last record."""
+
+RECORDS = "file string, block long, number long, is_header boolean, is_last boolean, text string"
+
+
+def _record_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records that begin in each block (`RECORDS`), as far as they are in it, from its lines and what `_chained` tells."""
+    at, state, n, held = None, 0, 0, []
+    earlier = begun = header = 0
+
+    def done() -> Iterator[tuple]:
+        if n:
+            yield (*at, earlier + n, earlier + n == header, n == begun, "\n".join(held))
+
+    for batch in batches:
+        out = []
+        for found, piece in _pieces(batch):
+            if found != at:
+                out += done()
+                state, earlier, begun, header = (piece.column(c)[0].as_py() for c in ("inside", "earlier", "begun", "header"))
+                at, n, held = found, 0, []
+            for line, *after in zip(*_columns(piece, "line", "f0", "f1")):
+                if state:
+                    if n:
+                        held.append(line)
+                else:
+                    out += done()
+                    n, held = n + 1, [line]
+                state = after[state]
+        yield _batch(out, RECORDS)
+    yield _batch([*done()], RECORDS)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _joined(lines: Column) -> Column:
+    """A list of (place, line) as one text."""
+    return F.array_join(F.transform(F.array_sort(lines), lambda e: e["line"]), "\n")
+
+
+def _chained(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per block in which a record begins: its state at the begin, records before and in it; and the rest of its last record."""
     ordered = W.partitionBy("file").orderBy("block")
     blocks = _states_after(blocks, ordered, "f0", "f1").withColumn("inside", F.lag("after0", 1, 0).over(ordered))
     is_inside = F.col("inside") == 1
@@ -116,10 +189,12 @@ def _chained(blocks: DataFrame) -> DataFrame:
         "place": F.sum(begins).over(ordered),
     })
     blocks = blocks.withColumn("header", F.min(F.col("earlier") + F.col("lead")).over(W.partitionBy("file")))
+    begun = blocks.where("begun > 0")
     # The first lines of a block that begins inside belong to the last block before it in which a record begins.
     heads = blocks.where(is_inside).groupBy("file", (F.col("place") - begins).alias("place")).agg(
         _joined(F.collect_list(F.struct("block", F.col("head").alias("line")))).alias("tail"))
-    return blocks.drop("head").join(heads, ["file", "place"], "left").where("begun > 0")
+    tails = begun.select(*BLOCK, "place").join(heads, ["file", "place"]).select(*BLOCK, "tail")
+    return begun.drop("head", "place", "lead"), tails
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -128,15 +203,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     The header is the first record of a file.
     """
     lines = _lines(spark, path)
-    found = lines.join(_chained(_blocks(lines)), BLOCK)
-    n = F.when(F.col("inside") == 1, F.col("n1")).otherwise(F.col("n0"))
-    whole = found.withColumn("n", n).where("n > 0").groupBy(*BLOCK, "n").agg(
-        _joined(F.collect_list(F.struct("row", "line"))).alias("text"),
-        *[F.first(c).alias(c) for c in ("earlier", "begun", "header", "tail")],
-    )
-    number = F.col("earlier") + F.col("n")
-    rest = F.when(F.col("n") == F.col("begun"), F.concat(F.lit("\n"), F.col("tail")))
-    text = F.concat(F.col("text"), F.coalesce(rest, F.lit("")))
+    blocks, tails = _chained(_stored(lines.mapInArrow(_block_rows, BLOCKS), "csv-blocks"))
+    # A few numbers a block; as a broadcast they leave the lines where they are and in their order.
+    found = lines.join(F.broadcast(_stored(blocks, "csv-chained")), BLOCK).mapInArrow(_record_rows, RECORDS)
+    tails = _stored(tails.withColumn("is_last", F.lit(True)), "csv-tails")
+    whole = found.join(tails, [*BLOCK, "is_last"], "left")
+    text = F.concat("text", F.coalesce(F.concat(F.lit("\n"), F.col("tail")), F.lit("")))
     # The mark of the character encoding may stand before the first record of a file.
     text = F.regexp_replace(text, "^\ufeff", "")
-    return whole.select("file", number.alias("number"), (number == F.col("header")).alias("is_header"), text.alias("record")).where("record <> ''")
+    return whole.select("file", "number", "is_header", text.alias("record")).where("record <> ''")

@@ -106,3 +106,15 @@ def test_lines_are_shuffled_by_block_and_files_are_split(spark, tmp_path):
 def test_empty_file(spark, tmp_path):
     (tmp_path / "r.csv").write_text("")
     assert read_records(spark, str(tmp_path / "r.csv")).count() == 0
+
+
+def test_lines_are_not_shuffled(spark, tmp_path):
+    """Only what crosses blocks travels: a record costs neither an exchange nor a sort."""
+    path = tmp_path / "r.csv"
+    path.write_text("".join(f'{k},"a\nb",c\n' for k in range(2000)))
+    records = read_records(spark, str(path))
+    assert records.count() == 2000
+    records.collect()
+    text = records._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("== Initial Plan ==")]
+    assert "Exchange hashpartitioning" not in final and "Sort " not in final and "Window" not in final
