@@ -3,10 +3,11 @@
 import os
 from datetime import timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from barscreen.operators import signals
-from barscreen.streaming.stateful import keyed_state, stateful_signals
+from barscreen.streaming.stateful import FLAGS, NUMBERS, LastBars, keyed_state, stateful_signals
 from tests.helpers import START
 
 BARS = "symbol string, interval_min int, ts timestamp, open double, high double, low double, close double, volume long"
@@ -83,3 +84,38 @@ def test_bars_behind_their_series_are_left_out(spark, tmp_path):
         spark.createDataFrame(part, BARS).coalesce(1).write.parquet(f"{tmp_path}/in{n}")
         run(spark, tmp_path)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+class OneValue:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+
+def test_a_series_costs_one_call_to_read_and_one_to_keep():
+    names = ["symbol", "interval_min", "at", "open", "high", "low", "close", "volume", *FLAGS, *NUMBERS]
+    bar = Row(*names[:8])
+    state, processor = OneValue(), LastBars(names)
+    processor.init(state)
+    bars = [bar("A", 240, i, 1.0, None if i == 2 else float(i * 5 % 7), float(i), float(i), 1) for i in range(9)]
+    found = [*processor.handleInputRows(("A", 240), iter(bars[5::-1]), None)]
+    found += processor.handleInputRows(("A", 240), iter(bars[4:]), None)
+    assert state.calls == ["get", "update"] * 2
+    assert [r.at for r in found] == list(range(9))
+    for i, r in enumerate(found):
+        highs = [b.high for b in bars[max(0, i - 5) : i] if b.high is not None]
+        assert r.swing_high == (max(highs) if highs else None) and r.has2 == (i >= 2)
+        assert r.low3 == (bars[i - 3].low if i >= 3 else None)
+    assert [b[0] for b in state.value[0]] == [4, 5, 6, 7, 8]
