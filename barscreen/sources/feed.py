@@ -19,8 +19,8 @@ from barscreen.sources.storage import committed_versions, next_version, version_
 ROW_TAG = "item"
 #: In front of every item.
 ITEM_BEGIN = rf"(?=<{ROW_TAG}[\s>])"
-#: The end of a whole document: the closing tag of something other than an item.
-DOCUMENT_END = rf"</(?!{ROW_TAG}>)[^<>/]+>\s*$"
+#: What follows `</` at the end of a whole document: the closing tag of something other than an item.
+DOCUMENT_END = rf"^(?!{ROW_TAG}>)[^<>/]+>\s*$"
 
 
 def split_documents(documents: DataFrame) -> DataFrame:
@@ -28,19 +28,23 @@ def split_documents(documents: DataFrame) -> DataFrame:
 
     A document that was cut off has one more row, without an item, for its last characters.
     """
-    pieces = F.filter(F.split("value", ITEM_BEGIN), lambda p: p.rlike(rf"^<{ROW_TAG}[\s>]"))
-    records = F.transform(pieces, lambda p, i: F.struct((i + 1).alias("pos"), p.alias("record"), F.lit(True).alias("is_item")))
-    cut = F.struct(F.lit(0).alias("pos"), F.right("value", F.lit(200)).alias("record"), F.lit(False).alias("is_item"))
-    ended = F.col("value").rlike(DOCUMENT_END)
-    every = F.concat(records, F.when(ended, F.array().cast(records_type())).otherwise(F.array(cut)))
-    rows = documents.withColumn("part", F.explode(every)).drop("value").select("*", "part.*").drop("part")
+    # The closing tag that a whole document ends with is the last one.
+    ended = F.col("value").contains("</") & F.substring_index("value", "</", -1).rlike(DOCUMENT_END)
+    cut = F.when(~ended, F.right("value", F.lit(200)))
+    begins = F.substring("value", 1, len(ROW_TAG) + 2).rlike(rf"^<{ROW_TAG}[\s>]")
+    # Place 0 is the end of a document that was cut off, place 1 what stands before the first item, if anything.
+    every = F.posexplode(F.concat(F.array(cut), F.split("value", ITEM_BEGIN))).alias("place", "record")
+    rows = documents.withColumn("begins", begins).select(*[c for c in documents.columns if c != "value"], "begins", every)
+    place = F.col("place")
+    rows = rows.where(F.col("record").isNotNull() & ((place != 1) | F.col("begins")))
+    pos = F.when(place == 0, 0).otherwise(place - 1 + F.col("begins").cast("int"))
+    rows = rows.withColumns({"pos": pos, "is_item": place > 0}).drop("begins", "place")
+    # A document is cut by one task; its items are parsed by many, and once: as a generator's output the parsed
+    # item is neither evaluated again for a filter on it, nor is that filter moved in front of the exchange.
+    rows = rows.repartition("pos")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FEED_ITEM) + ", _corrupt_record string"
     parsed = F.from_xml("record", F.lit(schema), {"rowTag": ROW_TAG})
-    return rows.withColumn("item", F.when(F.col("is_item"), parsed))
-
-
-def records_type() -> str:
-    return "array<struct<pos:int,record:string,is_item:boolean>>"
+    return rows.withColumn("item", F.explode(F.array(F.when(F.col("is_item"), parsed))))
 
 
 def is_readable() -> Column:

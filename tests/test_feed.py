@@ -77,3 +77,21 @@ def test_copies_keep_their_landing_times(spark, tmp_path):
     assert read_ledger(spark, ledger).count() == 7
     update_ledger(spark, str(folder), ledger)
     assert read_ledger(spark, ledger).count() == 7
+
+
+def test_items_are_parsed_once_by_many_tasks(spark, tmp_path):
+    """One document is cut by one task; nothing is parsed before its items are dealt out."""
+    (tmp_path / "a.xml").write_text(document([f"S{k}: bonus" for k in range(500)]))
+    items = read_feed(spark, str(tmp_path))
+    assert items.count() == 500
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
+    assert 0 < plan.index("from_xml") < plan.index("RepartitionByExpression")
+
+
+def test_documents_without_a_preamble_or_an_end(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<item><title>A: x</title></item><items/><item ><title>B: y</title></item>")
+    (tmp_path / "b.xml").write_text("no tags")
+    assert titles(read_feed(spark, str(tmp_path))) == ["A: x", "B: y"]
+    rejects = {(r.file.rsplit("/", 1)[1], r.pos, r.record[-7:]) for r in read_feed_rejects(spark, str(tmp_path)).collect()}
+    assert rejects == {("a.xml", 0, "</item>"), ("b.xml", 0, "no tags")}
