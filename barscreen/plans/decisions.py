@@ -114,7 +114,7 @@ def _known_news(announcements: DataFrame, moments: Moments, known_at: str) -> Da
     event = F.struct("feed_ord", "sentiment", "title")
     dated = news.classify(announcements).where(F.col(known_at).isNotNull())
     found = dated.select("symbol", moments.slot(_micros(F.col(known_at))).alias("slot"), event.alias("event"))
-    return found.where(F.col("slot") < moments.count)
+    return found.where(F.col("slot") < moments.count).groupBy("symbol", "slot").agg(F.min("event").alias("event"))
 
 
 def _signals(bars: Column) -> dict[str, Column]:
@@ -151,12 +151,15 @@ def decision_history(
     """
     c = F.col
     windows = [DAILY, FOUR_HOUR]
-    slots = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(moments.count - 1).cast("bigint"))).alias("slot")
+    slots = F.sequence(F.lit(0).cast("bigint"), F.lit(moments.count - 1).cast("bigint"))
     filed = filed_profiles(fundamentals, mapping)
     profile = F.struct(*[x for x in filed.columns if x != "symbol"]).alias("profile")
     parts = _known_bars(bars, moments, windows).unionByName(
         _known_news(announcements, moments, known_at), allowMissingColumns=True
-    ).unionByName(filed.select("symbol", profile, slots), allowMissingColumns=True)
+    ).unionByName(filed.select("symbol", profile), allowMissingColumns=True)
+    # A profile is sent once and repeated for every slot where its symbol is; slots and windows then need no other exchange.
+    of_profile = F.when(c("profile").isNotNull(), slots).otherwise(F.array("slot"))
+    parts = parts.repartition("symbol").withColumn("slot", F.explode(of_profile))
     by_slot = parts.groupBy("symbol", "slot").agg(
         F.coalesce(F.sum("daily"), F.lit(0)).alias("daily"),
         F.coalesce(F.sum("fourh"), F.lit(0)).alias("fourh"),
@@ -166,7 +169,9 @@ def decision_history(
         F.first("profile", ignorenulls=True).alias("profile"),
     )
     until = W.partitionBy("symbol").orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
-    within = W.partitionBy("symbol").orderBy("slot").rangeBetween(-(DAILY[1] * 1440 // moments.step_minutes), 0)
+    # Slots within the look-back; where that reaches before the first slot for all, a frame that only grows adds each row once.
+    back = DAILY[1] * 1440 // moments.step_minutes
+    within = until if moments.count <= back + 1 else W.partitionBy("symbol").orderBy("slot").rangeBetween(-back, 0)
     carried = by_slot.withColumns({
         "daily_bars": F.sum("daily").over(until),
         "fourh_bars": F.sum("fourh").over(until),

@@ -64,3 +64,12 @@ def test_bars_are_read_once(spark):
     text = q.decision_history(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     # Ticks, announcements (of the same table) and the four tables of the filings.
     assert text.count("FileScan") == 6
+
+
+def test_profiles_are_sent_once(spark):
+    """The rows of a symbol's slots are made after the exchange that brings its parts together, and not sent again."""
+    found = decisions.decision_history(sparse_bars(spark), fundamentals(spark), announcements(spark), decisions.Moments(FIRST, 30))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(") < plan.index("RepartitionByExpression")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(")]
