@@ -157,14 +157,23 @@ def near_groups(
         "doc_id", text.alias("fingerprint"), "component_id")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The `pairs` (a, b) whose texts' shingle sets have a Jaccard similarity of `least` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}  # a text of many pairs is cut once
+
+        def shingles(text: bytes) -> np.ndarray:
+            if text not in held:
+                if len(held) > 200:
+                    held.clear()
+                held[text] = np.unique(shingle_hashes(words_of(text), shingle))
+            return held[text]
+
         for batch in batches:
             likes = []
             for x, y in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))):
-                sets = [np.unique(shingle_hashes(words_of(t or b""), shingle)) for t in (x, y)]
+                sets = [shingles(t or b"") for t in (x, y)]
                 both = len(np.intersect1d(*sets, assume_unique=True))
                 whole = len(sets[0]) + len(sets[1]) - both
                 likes.append(both >= least * whole)  # two texts without words are alike
@@ -204,7 +213,7 @@ def near_links(
     def alike(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return stored(_verified(pairs, stored(texts, "candidate-texts"), shingle, least), "alike")
+        return stored(verified(pairs, stored(texts, "candidate-texts"), shingle, least), "alike")
 
     nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "nodes")
     found = members = None
@@ -232,16 +241,3 @@ def near_links(
         more = more.join(of.select(F.col("node").alias(side), F.col("doc_id").alias(f"{side}_own")), side)
     more = more.where("a <> a_own or b <> b_own").select(F.least("a_own", "b_own").alias("a"), F.greatest("a_own", "b_own").alias("b"))
     return found.union(good).union(alike(stored(more.distinct(), "further")))
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of `docs` that stay, with its columns: the smallest id of each group of linked ones.
-
-    Rows with the same id are one document, which stays or goes; rows without an id stay.
-    """
-    found = components(near_links(docs, id_col=id_col, text_col=text_col, **settings))
-    gone = found.where("node <> component").select(F.col("node").alias("_gone"))
-    own = [f"_c{i}" for i in range(len(docs.columns))]
-    key = own[docs.columns.index(id_col)]
-    rows = docs.toDF(*own)
-    return rows.join(gone, rows[key].cast("long") == gone._gone, "left_anti").toDF(*docs.columns)
