@@ -89,3 +89,19 @@ def test_given_table(spark):
 
 def test_empty(spark):
     assert suffix.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_whole_repeats_are_not_ordered(monkeypatch):
+    """Only fragments that share an owner with others, or occur once, go into the suffix array."""
+    asked, plain = [], suffix.repeated_starts
+
+    def repeated_starts(fragments, *rest):
+        asked.extend(fragments)
+        return plain(fragments, *rest)
+
+    monkeypatch.setattr(suffix, "repeated_starts", repeated_starts)
+    alike = {(b"abcdefgh", 5): [1, 3, []], (b"xxbcdefz", 5): [2, 1, []], (b"yybcdefz", 5): [2, 1, []], (b"mnopqrst", 5): [3, 1, []]}
+    got = suffix.repeats_of(alike, 4)
+    assert {f[0]: starts.tolist() for f, starts in got.items()} == {
+        b"abcdefgh": [0, 1, 2, 3, 4], b"xxbcdefz": [2, 3, 4], b"yybcdefz": [2, 3, 4], b"mnopqrst": []}
+    assert asked == [b"xxbcdefz", b"yybcdefz", b"mnopqrst"]
