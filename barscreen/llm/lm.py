@@ -26,13 +26,15 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import Numbered, kept, stored, text_batches
+from barscreen.llm.common import kept, stored, text_batches
 
 #: The end of a text; no word holds a space.
 END = b" "
@@ -52,25 +54,59 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def batch_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different tokens of `texts`, `END` last; the place there of every token in text order; tokens of each text.
+
+    The same as `tokens` of each text; Arrow splits them and tells the different ones.
+    """
+    low = pa.compute.ascii_lower(pa.compute.fill_null(texts, ""))
+    split = pa.compute.ascii_split_whitespace(low)
+    found = split.flatten().dictionary_encode()
+    words, at = found.dictionary.cast(pa.binary()), found.indices.to_numpy()
+    sizes = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    # White space at either end of a text leaves an empty word there.
+    empty = pa.compute.index(words, b"").as_py()
+    if empty >= 0:
+        real = at != empty
+        sizes = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(sizes)])])
+        at = at[real]
+    every = np.full(len(at) + len(sizes), len(words), np.int64)
+    inside = np.ones(len(every), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    every[inside] = at
+    return pa.concat_arrays([words, pa.array([END], pa.binary())]), every, sizes + 1
+
+
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts, the end of each included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for _, texts in text_batches(batches):
-            for text in texts:
-                counts.update(tokens(text))
-            if len(counts) > HELD:
-                yield _counted(counts)
-                counts = Counter()
-        yield _counted(counts)
+        held: list[pa.Table] = []
+        for batch, _ in text_batches(batches):
+            words, at, _ = batch_tokens(batch.column("text"))
+            n = np.bincount(at, minlength=len(words))
+            held.append(pa.table({"word": words, "n": n}).filter(pa.array(n > 0)))
+            if sum(map(len, held)) > HELD:
+                held = [_added_up(held)]
+                if len(held[0]) > HELD:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from _added_up(held).to_batches()
 
     rows = docs.select(F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+def _added_up(counts: list[pa.Table]) -> pa.Table:
+    summed = pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return summed.select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+
+@cache
+def ending_classes() -> np.ndarray:
+    """Class of a word by its last byte and the one before it, 256 for none, counted from the first class of several words."""
+    pairs = [bytes([a, b]) if a < 256 else bytes([b]) for a in range(257) for b in range(256)]
+    return np.array([zlib.crc32(p) % OTHER for p in pairs]).reshape(257, 256)
 
 
 @dataclass
@@ -92,6 +128,21 @@ class Words:
         number = self.own.get(word)
         return len(self.own) + zlib.crc32(word[-2:]) % OTHER if number is None else number
 
+    def classes_of(self, words: pa.Array) -> np.ndarray:
+        """Class of each word, none of them empty, in a short type."""
+        short = np.min_scalar_type(self.classes)
+        own = pa.compute.index_in(words, value_set=pa.array(list(self.own), pa.binary()))
+        numbers = np.array(list(self.own.values()), short)
+        known = own.is_valid().to_numpy(zero_copy_only=False)
+        _, offsets, data = words.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(1, np.uint8)
+        ends = np.where(known, data.size and 1, bounds[1:])  # an own word is not looked at
+        last, before = data[ends - 1].astype(np.int64), data[np.maximum(ends - 2, 0)].astype(np.int64)
+        found = (len(self.own) + ending_classes()[np.where(np.diff(bounds) > 1, before, 256), last]).astype(short)
+        found[known] = numbers[own.drop_null().to_numpy()]
+        return found
+
 
 def learn_words(counts: DataFrame, frequent: int = FREQUENT) -> Words:
     """From a stored table of counts. What reaches the driver is bounded by `frequent`."""
@@ -165,8 +216,8 @@ class LogBilinear:
 def contexts(classes: np.ndarray, counts: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Classes one and two places before each token; before a text stands the end."""
     first = np.cumsum(counts) - counts
-    one = np.concatenate([[end], classes[:-1]])
-    two = np.concatenate([[end, end], classes[:-2]])[: len(classes)]
+    one, two = np.full_like(classes, end), np.full_like(classes, end)
+    one[1:], two[2:] = classes[:-1], classes[:-2]
     one[first] = two[first] = end
     second = first[counts > 1] + 1
     two[second] = end
@@ -174,48 +225,58 @@ def contexts(classes: np.ndarray, counts: np.ndarray, end: int = 0) -> tuple[np.
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad."""
+    """Noise-contrastive estimation by AdaGrad; `model` is changed in place."""
 
     def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int):
         self.model, self.log_noise = model, np.log(noise * NOISE).astype(np.float32)
         self.edges, self.draw = np.cumsum(noise), np.random.default_rng(seed)
-        self.sums = [np.full(x.shape, 1e-2, np.float32) for x in (model.context, model.target, model.near, model.far, model.bias)]
-
-    def _step(self, k: int, weights: np.ndarray, slope: np.ndarray, rows: np.ndarray | None = None) -> None:
-        if rows is None:
-            self.sums[k] += slope**2
-            weights -= RATE * slope / np.sqrt(self.sums[k])
-            return
-        used, place = np.unique(rows, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        total = np.add.reduceat(slope[order], np.searchsorted(place[order], np.arange(len(used))), axis=0)
-        self.sums[k][used] += total**2
-        weights[used] -= RATE * total / np.sqrt(self.sums[k][used])
+        # What takes the same step stands side by side: target vectors and biases (a last column stays 0 and makes
+        # rows even), and the two matrices.
+        self.targets = np.concatenate([model.target, model.bias[:, None], np.zeros_like(model.bias)[:, None]], 1)
+        model.target, model.bias = self.targets[:, :SIZE], self.targets[:, SIZE]
+        self.places = np.concatenate([model.near, model.far])
+        model.near, model.far = self.places[:SIZE], self.places[SIZE:]
+        self.short = np.min_scalar_type(len(noise))
+        self.sums = [np.full(x.shape, 1e-2, np.float32) for x in (model.context, self.targets, self.places)]
+
+    def _step_rows(self, k: int, weights: np.ndarray, slope: np.ndarray, rows: np.ndarray) -> None:
+        """A step on some rows of `weights`; slopes of the same row add up."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        used = rows[first]
+        # Two floats are added at a time where they are seen as one complex number.
+        total = np.add.reduceat(slope[order].view(np.complex64), first, axis=0).view(np.float32)
+        sums = self.sums[k][used] + total**2
+        self.sums[k][used] = sums
+        weights[used] -= np.float32(RATE) * total / np.sqrt(sums)
 
     def learn(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
-        m = self.model
+        n = len(word)
         noise = np.minimum(np.searchsorted(self.edges, self.draw.random(NOISE)), len(self.edges) - 1)
-        a, b = m.context[one], m.context[two]
-        predicted = a @ m.near + b @ m.far
-        own, theirs = m.target[word], m.target[noise]
-        real = (predicted * own).sum(1) + m.bias[word] - self.log_noise[word]
-        false = predicted @ theirs.T + (m.bias[noise] - self.log_noise[noise])
-        part = np.float32(1 / len(word))
-        real = (1 / (1 + np.exp(np.clip(-real, -30, 30))) - 1) * part
-        np.clip(false, -30, 30, out=false)
-        np.exp(np.negative(false, out=false), out=false)
+        # Short integers are sorted by their digits.
+        before, after = (np.stack([one, two], 1).ravel().astype(self.short), np.concatenate([word, noise]).astype(self.short))
+        both = self.model.context[before].reshape(n, 2 * SIZE)
+        predicted = np.zeros((n, SIZE + 2), np.float32)
+        predicted[:, :SIZE] = both @ self.places
+        predicted[:, SIZE] = 1
+        targets = self.targets[after]
+        targets[:, SIZE] -= self.log_noise[after]
+        own, theirs = targets[:n], targets[n:]
+        part = np.float32(1 / n)
+        with np.errstate(over="ignore"):  # one by infinity is 0
+            real = -part / (1 + np.exp(np.einsum("ij,ij->i", predicted, own)))
+            false = predicted @ -theirs.T
+            np.exp(false, out=false)
         false += 1
-        false = part / false
-        back = real[:, None] * own + false @ theirs
-        self._step(2, m.near, a.T @ back)
-        self._step(3, m.far, b.T @ back)
-        self._step(0, m.context, np.concatenate([back @ m.near.T, back @ m.far.T]), np.concatenate([one, two]))
-        self._step(1, m.target, np.concatenate([real[:, None] * predicted, false.T @ predicted]), np.concatenate([word, noise]))
-        self._step(4, m.bias, np.concatenate([real, false.sum(0)]), np.concatenate([word, noise]))
-
-
-def _classes(words: Words) -> Numbered:
-    return Numbered(lambda new, first: np.array([words.class_of(w) for w in new], np.int64), most=200_000)
+        np.divide(part, false, out=false)
+        back = false @ theirs[:, :SIZE]
+        back += real[:, None] * own[:, :SIZE]
+        slope = both.T @ back
+        self.sums[2] += slope**2
+        self.places -= np.float32(RATE) * slope / np.sqrt(self.sums[2])
+        self._step_rows(0, self.model.context, (back @ self.places.T).reshape(2 * n, SIZE), before)
+        self._step_rows(1, self.targets, np.concatenate([real[:, None] * predicted, false.T @ predicted]), after)
 
 
 def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, text_col: str = "text") -> LogBilinear:
@@ -226,22 +287,18 @@ def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, text_col: str = "
     rows = docs.select(F.col(text_col).alias("text"))
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((Words(0, 0, {}, words.own), model))
-        mark = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn, mark=mark) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             words, start = shared.value
             trainer = Trainer(start.with_weights(start.flat()), noise, turn)
-            known, seen = kept(mark, lambda: _classes(words)), 0
-            for _, texts in text_batches(batches):
-                split = [tokens(t) for t in texts]
-                counts = np.array([len(s) for s in split])
-                at = known.of([w for s in split for w in s])
-                at = known.values[at]
-                one, two = contexts(at, counts)
+            seen = 0
+            for batch, _ in text_batches(batches):
+                different, at, counts = batch_tokens(batch.column("text"))
+                at = words.classes_of(different)[at]
                 order = trainer.draw.permutation(len(at))
+                one, two, at = (x[order] for x in (*contexts(at, counts), at))
                 for k in range(0, len(at), BATCH):
-                    own = order[k : k + BATCH]
-                    trainer.learn(one[own], two[own], at[own])
+                    trainer.learn(one[k : k + BATCH], two[k : k + BATCH], at[k : k + BATCH])
                 seen += len(at)
             if seen:
                 weights = trainer.model.flat()
@@ -267,9 +324,10 @@ class Scorer:
 
     def of(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
         n = len(self.near)
-        missing = np.unique((one * n + two)[np.isnan(self.sums[one, two])])
-        for k in range(0, len(missing), 4096):
-            a, b = np.divmod(missing[k : k + 4096], n)
+        missing = np.flatnonzero(np.isnan(self.sums[one, two]))
+        missing = np.unique(one[missing].astype(np.int64) * n + two[missing])
+        for k in range(0, len(missing), 256):  # about 1 MB of logits
+            a, b = np.divmod(missing[k : k + 256], n)
             logits = self.near[a] + self.far[b]
             top = logits.max(1)
             self.sums[a, b] = top + np.log(np.exp(logits - top[:, None]).sum(1))
@@ -285,27 +343,20 @@ def scored(docs: DataFrame, counts: DataFrame, words: Words, model: LogBilinear,
         words, model = shared.value
         ends = len(words.own)
         parts = np.log10(words.class_parts)
-
-        def row(new: list[bytes], first: bool) -> np.ndarray:  # class, count or -1 if it must be looked up
-            return np.array([(words.class_of(w), words.counts.get(w, -1)) for w in new], np.int64).reshape(-1, 2)
-
-        scorer, known = kept(mark, lambda: (Scorer(model), Numbered(row, most=200_000)))
+        scorer = kept(mark, lambda: Scorer(model))
         for batch, texts in text_batches(batches, most=2 << 20):
-            split = [tokens(t) for t in texts]
-            sizes = np.array([len(s) for s in split])
-            every = [w for s in split for w in s]
-            at = known.of(every)
-            at, n = known.values[at].T
-            one, two = contexts(at, sizes)
-            logs = scorer.of(one, two, at)
-            here = np.log10(np.maximum(n, 0) + 1.0)
-            several = at >= ends
-            logs += np.where(several, here - parts[at], 0)
+            different, every, sizes = batch_tokens(batch.column("text"))
+            classes, different = words.classes_of(different), different.to_pylist()
+            known = np.fromiter(map(words.counts.get, different, repeat(-1)), np.int64, len(different))  # -1 must be looked up
+            logs_of = np.log10(np.maximum(known, 0) + 1.0)
+            inside = np.where(classes >= ends, logs_of - parts[classes], 0)
+            at, n, here = classes[every], known[every], logs_of[every]
+            logs = scorer.of(*contexts(at, sizes), at) + inside[every]
             begin = np.cumsum(sizes) - sizes
             rest: list[list[tuple[bytes, int]]] = [[] for _ in texts]
             missing = np.flatnonzero(n < 0)
             docs_of = np.searchsorted(begin, missing, "right") - 1
-            for (doc, word), times in Counter(zip(docs_of.tolist(), (every[k] for k in missing.tolist()))).items():
+            for (doc, word), times in Counter(zip(docs_of.tolist(), (different[k] for k in every[missing].tolist()))).items():
                 rest[doc].append((word, times))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,55 @@ def test_tail_words_are_looked_up_exactly(spark, small, frequent):
         assert r.base_score == pytest.approx(want)
 
 
+def test_tokens_of_a_batch_are_those_of_each_text():
+    texts = ["", "  a B ", "a\x1cb\x0bc\x85 d\u3000f", " ", "É\t\nx  É", None, "the rare the"]
+    different, every, sizes = lm.batch_tokens(pa.array(texts))
+    want = [lm.tokens((t or "").encode()) for t in texts]
+    words = different.to_pylist()
+    assert [words[k] for k in every] == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+    real = words.index(b"") if b"" in words else len(words)
+    known = lm.Words(0, 0, {}, {lm.END: 0, b"the": 1, b"x": 2})
+    at = known.classes_of(different)
+    assert all(at[k] == known.class_of(w) for k, w in enumerate(words) if k != real)
+
+
+def test_a_step_is_that_of_loops():
+    """One batch against the slopes of every token and noise word, added up one by one."""
+    draw = np.random.default_rng(3)
+    counts = draw.integers(1, 50, 12).astype(float)
+    share = counts / counts.sum()
+    model, plain = lm.LogBilinear.new(counts), lm.LogBilinear.new(counts)
+    one, two, word = draw.integers(0, 12, (3, 40))
+    lm.Trainer(model, share, seed=5).learn(one, two, word)
+    noise = np.minimum(np.searchsorted(np.cumsum(share), np.random.default_rng(5).random(lm.NOISE)), 11)
+    log_noise = np.log(share * lm.NOISE)
+    slopes = {k: np.zeros(getattr(plain, k).shape) for k in ("context", "target", "near", "far", "bias")}
+    backs = []
+    for i, j, w in zip(one, two, word):
+        predicted = plain.context[i] @ plain.near + plain.context[j] @ plain.far
+        back = np.zeros(lm.SIZE)
+        for v, real in [(w, 1), *((v, 0) for v in noise)]:
+            logit = predicted @ plain.target[v] + plain.bias[v] - log_noise[v]
+            off = (1 / (1 + np.exp(-logit)) - real) / len(word)
+            back += off * plain.target[v]
+            slopes["target"][v] += off * predicted
+            slopes["bias"][v] += off
+        slopes["near"] += np.outer(plain.context[i], back)
+        slopes["far"] += np.outer(plain.context[j], back)
+        backs.append(back)
+
+    def step(name):
+        weights = getattr(plain, name)
+        weights -= lm.RATE * slopes[name] / np.sqrt(1e-2 + slopes[name] ** 2)
+
+    step("near"), step("far")  # before the contexts learn, as the operator does
+    for i, j, back in zip(one, two, backs):
+        slopes["context"][i] += plain.near @ back
+        slopes["context"][j] += plain.far @ back
+    step("context"), step("target"), step("bias")
+    assert np.allclose(model.flat(), plain.flat(), atol=1e-5)
+
+
 def test_probabilities_add_up(spark, small):
     docs, counts = small
     words = lm.learn_words(counts)
