@@ -61,6 +61,28 @@ def test_parts_of_words_are_the_tokenizers_too():
     assert [[*ids, 1] for ids in got] == [plain(t) for t in texts]
 
 
+@pytest.mark.parametrize("odd", ["", "İstanbul", "İ İ xİx"])
+def test_words_tokenized_together_are_parted(odd, monkeypatch):
+    """Unknown words go to the tokenizer as one text; a word that it parts itself is not counted as several."""
+    words = [f"{a}{b}é{c}" for a in ("ba", "straß", "x") for b in ("ner", "tiö") for c in ("", "ly", "ss")] + odd.split()
+    tokens = packing.ChunkTokens(PATH)
+    sizes = []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **how):
+            sizes.append(len(texts))
+            return tokenizer().encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(tokens, "tokenizer", Seen())
+    got = tokens.of(pa.array([" ".join(words), *words, "İ"]))
+    assert [[*ids, 1] for ids in got] == [plain(t) for t in (" ".join(words), *words, "İ")]
+    monkeypatch.setattr(packing, "LATIN", packing.re.compile("[a-zé]+"))
+    tokens.known = packing.Numbered(tokens._extend)
+    sizes.clear()
+    assert [[*ids, 1] for ids in tokens.of(pa.array(["one two", "three, one"]))] == [plain("one two"), plain("three, one")]
+    assert 1 in sizes  # three words as one text
+
+
 def test_places_are_gapless_and_few(docs):
     pieces = packing.tokenized(docs, PATH, 64).withColumn("sequence", F.lit("x")).withColumn("base", F.lit(1))
     rows = packing.packed(pieces, 2, 64).collect()
