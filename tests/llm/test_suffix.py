@@ -33,6 +33,27 @@ def test_suffix_array_and_prefixes(monkeypatch, small):
             assert n == want
 
 
+@pytest.mark.parametrize("top", [3, 900, 1 << 25])
+def test_ranks_of_prefixes_give_the_suffix_array(top):
+    """Long repeats, and symbols so large that only two ranks fit one number."""
+    draw = random.Random(top)
+    for _ in range(30):
+        part = [draw.randint(1, top) for _ in range(draw.randint(1, 60))]
+        text = part * draw.randint(1, 6) + part[: draw.randint(0, 9)] + [draw.randint(1, top)] + part + [0]
+        assert suffix._by_tripling(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_large_alphabets_are_not_induced_one_by_one(monkeypatch):
+    draw = random.Random(8)
+    text = [draw.randint(1, 255) for _ in range(40_000)] * 2 + [0]
+    asked, plain = [], suffix.induce
+    monkeypatch.setattr(suffix, "induce", lambda s, small, seeds, symbols: asked.append(symbols) or plain(s, small, seeds, symbols))
+    order = suffix.suffix_array(np.array(text), 256)
+    assert sorted(order.tolist()) == list(range(len(text))) and max(asked) <= suffix.SMALL
+    data = bytes(text)
+    assert all(data[a:] < data[b:] for a, b in zip(order[::997].tolist(), order[1::997].tolist()))
+
+
 def brute(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
@@ -69,6 +90,19 @@ def test_removed_bytes(spark, most, shard, monkeypatch):
     assert sorted((*r[:4], bytes(r[4])) for r in got) == brute([t for _, t in rows], 40)
 
 
+def test_common_fragments_give_rows_in_proportion_to_their_holders(spark):
+    draw = random.Random(4)
+    passage = "".join(draw.choices("abcde", k=120))
+    counts = []
+    for holders in (30, 60):
+        rows = [(f"{k}".encode(), 10 * k, 81, 1, 1, True, passage.encode()) for k in range(holders)]
+        kind = "key binary, low int, windows int, owner long, copies long, common boolean, bytes binary"
+        got = suffix._repeats_by_digest(spark.createDataFrame(rows, kind), 40).collect()
+        assert sorted(tuple(r.spans[0]) for r in got) == [(10 * k, 10 * k + 120) for k in range(holders)]
+        counts.append(len(got))
+    assert counts == [30, 60]
+
+
 def test_surroundings_lose_no_repeat(spark, monkeypatch):
     """Windows long enough for grams on both sides of an owner."""
     draw = random.Random(3)
