@@ -346,7 +346,7 @@ def scored(docs: DataFrame, counts: DataFrame, words: Words, model: LogBilinear,
         scorer = kept(mark, lambda: Scorer(model))
         for batch, texts in text_batches(batches, most=2 << 20):
             different, every, sizes = batch_tokens(batch.column("text"))
-            classes, different = words.classes_of(different), different.to_pylist()
+            classes, different = words.classes_of(different), different.to_numpy(zero_copy_only=False)
             known = np.fromiter(map(words.counts.get, different, repeat(-1)), np.int64, len(different))  # -1 must be looked up
             logs_of = np.log10(np.maximum(known, 0) + 1.0)
             inside = np.where(classes >= ends, logs_of - parts[classes], 0)
