@@ -30,7 +30,10 @@ NULL_TOKENS = [
 
 #: Formats by what a text looks like; of each kind the first that fits counts. Days come before months, unless only the
 #: other order gives a date.
+#: A format that does not fit costs an exception, so plain dates and texts without a digit, which fit none, are kinds of their own.
 DATE_KINDS = [
+    ("^[0-9]{4}-[0-9]{2}-[0-9]{2}$", ["yyyy-MM-dd", "yyyy-M-d"]),
+    ("^[^0-9]*$", []),
     ("^[0-9]{4}-", ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-M-d", "yyyy-MM-dd'T'HH:mm:ssXXX"]),
     ("/", ["dd/MM/yyyy", "d/M/yyyy", "M/d/yyyy"]),
     ("[.]", ["dd.MM.yyyy"]),
@@ -64,7 +67,7 @@ def date_or_null(col: Column, formats: list[str] | None = None) -> Column:
     """
 
     def first_of(some: list[str]) -> Column:
-        return F.coalesce(*[F.try_to_timestamp(col, F.lit(fmt)) for fmt in some])
+        return F.coalesce(*[F.try_to_timestamp(col, F.lit(fmt)) for fmt in some]) if some else F.lit(None).cast("timestamp")
 
     if formats:
         return first_of(formats)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,38 +120,43 @@ def read_fundamentals(
             *[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(cells)],
         )
 
-    # Cells, typed columns and the list of bad cells are separate projections, so that every cell
-    # is parsed once although it is referred to twice.
+    # Cells, typed columns and the lists of bad cells are separate projections, so that every cell is parsed once although
+    # it is referred to twice. Cells of a kind are parsed as one array: written out for every column, a projection's code
+    # is too long for the JVM to compile.
+    numeric, dated = ([i for i, h in enumerate(headers) if h in kind] for kind in (NUMERIC_HEADERS, DATE_HEADERS))
+    listed = {i: F.get("numbers", F.lit(k)) for k, i in enumerate(numeric)} | {i: F.get("dates", F.lit(k)) for k, i in enumerate(dated)}
+
+    def as_array(places: list[int]) -> Column:
+        return F.transform(F.array(*[F.col(f"c{i}") for i in places]), missing_to_null)
+
     cells = raw.select(
         "ord",
-        *[missing_to_null(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(headers))],
+        *[missing_to_null(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(headers)) if i not in listed],
+        as_array(numeric).alias("number_cells"),
+        as_array(dated).alias("date_cells"),
     )
 
-    def typed(header: str, cell: Column) -> Column:
-        if header in NUMERIC_HEADERS:
-            return number_or_null(cell)
-        if header in DATE_HEADERS:
-            return date_or_null(cell, date_formats)
-        if header in ("NSE Code", "BSE Code"):
-            return clean_code(cell)
-        return cell
+    def typed(i: int, header: str) -> Column:
+        if i in listed:
+            return listed[i]
+        return clean_code(F.col(f"c{i}")) if header in ("NSE Code", "BSE Code") else F.col(f"c{i}")
 
     parsed = cells.select(
-        "*", *[typed(h, F.col(f"c{i}")).alias(f"t{i}") for i, h in enumerate(headers)]
+        "*",
+        F.transform("number_cells", number_or_null).alias("numbers"),
+        F.transform("date_cells", lambda x: date_or_null(x, date_formats)).alias("dates"),
     )
-    def bad_cells(kind: Collection[str]) -> Column:
-        found = [
-            F.when(F.col(f"c{i}").isNotNull() & F.col(f"t{i}").isNull(), h)
-            for i, h in enumerate(headers)
-            if h in kind
-        ]
-        return F.array_compact(F.array(*found))
+
+    def bad_cells(places: list[int], texts: str, values: str) -> Column:
+        spelled = F.array(*[F.lit(headers[i]) for i in places])
+        bad = F.transform(texts, lambda x, k: F.when(x.isNotNull() & F.get(values, k).isNull(), F.get(spelled, k)))
+        return F.array_compact(bad)
 
     frame = parsed.select(
         "ord",
-        *[F.col(f"t{i}").alias(name) for i, name in enumerate(names)],
-        bad_cells(NUMERIC_HEADERS).alias("non_numeric"),
-        bad_cells(DATE_HEADERS).alias("unparsed_dates"),
+        *[typed(i, h).alias(name) for i, (h, name) in enumerate(zip(headers, names))],
+        bad_cells(numeric, "number_cells", "numbers").alias("non_numeric"),
+        bad_cells(dated, "date_cells", "dates").alias("unparsed_dates"),
     )
     return Landed(frame, extra)
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barscreen.functions.instants import utc_day
 from barscreen.operators.master import incoming_companies, upsert
@@ -31,7 +32,10 @@ def write_validated(frame: DataFrame, path: str, csv_path: str | None = None) ->
     if csv_path is not None:
         stored = frame.sparkSession.read.parquet(path)
         headers = {snake(h): h for h in REQUIRED_HEADERS}
-        named = stored.orderBy("ord").drop(*HELPERS)
+        # A place is ordered by its fields, which is faster than as a whole.
+        place = stored.schema["ord"].dataType
+        order = [f"ord.{name}" for name in place.names] if isinstance(place, T.StructType) else ["ord"]
+        named = stored.orderBy(*order).drop(*HELPERS)
         named = named.toDF(*[headers.get(c, c) for c in named.columns])
         named.write.mode("overwrite").csv(csv_path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss", escape='"')
 

@@ -1,7 +1,10 @@
+import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from barscreen.functions.parsing import DATE_KINDS, date_or_null
 from barscreen.operators import rules, symbols, validate
 from barscreen.operators.master import master_key
 from barscreen.plans.run import ingest
@@ -64,6 +67,28 @@ def test_landing_types_and_missing_values(spark, tmp_path):
     ]
 
 
+def test_cells_of_a_kind_are_parsed_by_one_expression(spark, tmp_path):
+    """Code that is written out for every number column is too long to be compiled."""
+    path = write_csv(tmp_path / "s.csv", [row("Acme")])
+    fields = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 5000)
+    try:
+        plan = read_fundamentals(spark, path).frame._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", fields)
+    assert plan.lower().count("rlike") < 10
+
+
+@pytest.mark.parametrize("text", ["2024-03-31", "2023-02-30", "2024-13-01", "pending", "", "31 March", "\u0663-x"])
+def test_kinds_of_dates_leave_out_formats_that_cannot_fit(spark, text):
+    every = [f for _, some in DATE_KINDS for f in some]
+    (pattern, some) = next(k for k in DATE_KINDS if re.search(k[0], text))
+    assert len(some) < 3 or "March" in text
+    frame = spark.createDataFrame([(text,)], "t string")
+    got = frame.select(date_or_null(F.col("t")), F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in every])).first()
+    assert got[0] == got[1]
+
+
 def test_warnings_name_symbol_and_header(spark, tmp_path):
     path = write_csv(tmp_path / "s.csv", [row("A", "A", "IN1", **{"Debt to Equity": "x"})])
     found = non_numeric_warnings(read_fundamentals(spark, path).frame).collect()
