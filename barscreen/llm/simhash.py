@@ -129,7 +129,8 @@ def links(prints: DataFrame, radius: int, segments: int, ball: int, bits: int =
     asked = asked.select(*at, F.col("node").alias("a"), F.col("print").alias("print_a"))
     apart = F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b")))
     near = (F.col("a") < F.col("b")) & (apart <= min(first, radius))
-    pairs = asked.join(held, names).where(near).select("a", "b").distinct()
+    # Spark takes an exploded table to be as small as the table was before, and would broadcast all its rows.
+    pairs = asked.hint("merge").join(held, names).where(near).select("a", "b").distinct()
     if bits == 64:
         return pairs
     whole = [prints.select(F.col("node").alias(c), F.col("fingerprint").alias(f"print_{c}")) for c in "ab"]

@@ -68,6 +68,14 @@ def test_links_lose_nothing_within_the_guarantee(spark, segments, ball, radius):
     assert got == want and want
 
 
+def test_links_broadcast_no_exploded_table(spark):
+    """Spark knows how large this table is, but not that each of its rows becomes 66."""
+    prints = spark.range(1000).select(F.col("id").alias("node"), F.array(F.xxhash64("id")).alias("fingerprint"))
+    found = simhash.links(prints, radius=2, segments=2, ball=1)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_chains_stars_and_rings(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     random.Random(1).shuffle(pairs)
