@@ -1,5 +1,6 @@
 """The stages in their order against plain definitions, and their behaviour on odd rows."""
 
+import random
 import re
 
 import pytest
@@ -79,3 +80,17 @@ def test_odd_rows(spark):
     left = [r.doc_id for r in docs.collect()]
     assert sorted(left) == [4, 7, 8]
     assert corpus_pipeline.sequences(spark, docs, SF).count() >= 3
+
+
+def test_near_copies_without_an_id_go(spark):
+    """Near copies leave one document, be it one with an id or not; texts of one id are compared each."""
+    draw = random.Random(3)
+    base, other, third = ([f"x{draw.getrandbits(40)}" for _ in range(80)] for _ in range(3))
+    rows = [(None, " ".join(base)), (7, " ".join([*base, "y"])), (None, " ".join([*base, "z"])),
+            (None, " ".join(other)), (None, " ".join([*other, "y"])), (None, None),
+            (9, " ".join(third)), (9, " ".join(third[::-1])), (8, " ".join([*third, "y"])), (None, " ".join([*third[::-1], "y"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.near_copies(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None) == [7, 8]
+    texts = [r.text for r in left if r.doc_id is None]
+    assert len(texts) == 2 and None in texts and any(t and t.startswith(other[0]) for t in texts)
